@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from stopwise.plans import q_calibration, q_policy
+from stopwise.plans import q_calibration, q_pairs, q_policy, q_profile
 
 QUERIES = [
     *q_policy.QUERIES,
     *q_calibration.QUERIES,
+    *q_profile.QUERIES,
+    *q_pairs.QUERIES,
 ]
