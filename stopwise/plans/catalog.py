@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from stopwise.plans import q_calibration, q_pairs, q_policy, q_profile
+from stopwise.plans import q_calibration, q_pairs, q_policy, q_profile, q_resample
 
 QUERIES = [
     *q_policy.QUERIES,
     *q_calibration.QUERIES,
     *q_profile.QUERIES,
     *q_pairs.QUERIES,
+    *q_resample.QUERIES,
 ]
