@@ -92,3 +92,37 @@ COMPONENTS = 64
 MIN_STEPS_FOR_TRAINING = 5
 VALID_MODELS_PER_TASK = 3
 SAFE_TARGET_MIN_STEP = 10
+
+# Rule gates: required values.
+ERRORS_MIN = 10
+DOMINANT_SHARE = 0.70
+MODELS_WITH_ERROR_MIN = 3
+LARGEST_MODEL_SHARE = 0.60
+SIGNATURE_RATE = 0.50
+ENRICHED_DIFFERENCE = 0.20
+ONE_DIRECTION_DIFFERENCE = 0.30
+ONE_DIRECTION_ERRORS = 30
+HETEROGENEITY_RANGE = 0.15
+HETEROGENEITY_CI = 0.05
+STRONG_RHO = 0.50
+LARGE_GAP_MODELS = 3
+RESIDUAL_RANGE = 0.10
+RESIDUAL_CI = 0.05
+PAIR_FOLDS_MIN = 20
+PAIR_MEDIAN_MIN = 0.05
+PAIR_CI_MIN = 0.03
+PERSISTENT_AGENTS_MIN = 2
+TARGET_OCCURRENCES_MIN = 7
+TARGET_GAP_MIN = 0.08
+TARGET_SAME_SIGN_MIN = 0.80
+JACKKNIFE_GAP_MIN = 0.06
+HALF_FOLDS_MIN = 5
+HALF_GAP_MIN = 0.06
+THRESHOLD_GAP_MIN = 0.06
+THRESHOLD_SAME_SIGN_MIN = 0.75
+THRESHOLDS_PASSED_MIN = 3
+DIAGNOSTIC_THRESHOLDS = (0.900, 0.925, 0.950)
+SIGNAL_MODELS_MIN = 3
+SIGNAL_LARGE_MIN = 2
+SIGNAL_FAMILIES_MIN = 2
+SIGNAL_THRESHOLDS_MIN = 2
