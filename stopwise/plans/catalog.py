@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stopwise.plans import q_calibration, q_coverage, q_gates, q_pairs, q_policy, q_profile, q_resample
+from stopwise.plans import q_calibration, q_coverage, q_gates, q_ingest, q_pairs, q_policy, q_profile, q_resample
 
 QUERIES = [
     *q_policy.QUERIES,
@@ -12,4 +12,5 @@ QUERIES = [
     *q_resample.QUERIES,
     *q_coverage.QUERIES,
     *q_gates.QUERIES,
+    *q_ingest.QUERIES,
 ]

@@ -162,6 +162,54 @@ class Tables:
             key.alias("row_key"),
         )
 
+    def documents_json(self) -> DataFrame:
+        """Raw run documents as JSON text, with every defect the validation knows."""
+        key = F.col("o_orderkey")
+        turns = (key % 5 + 1).cast("int")
+        number = lambda i: i.cast("string")
+        call = lambda i: F.concat(
+            F.lit('{"id":"c'),
+            number(i),
+            F.when(
+                i % 3 == 1,
+                F.concat(
+                    F.lit('","function":"bash","arguments":{"command":"'),
+                    F.get(F.array(*[F.lit(a) for a in ACTIONS]), ((key + i) % 7).cast("int")),
+                    F.lit('"}}'),
+                ),
+            )
+            .when(i % 3 == 0, F.concat(F.lit('","function":{"name":"edit","arguments":{"path":"f'), number(i), F.lit('.py"}}}')))
+            .otherwise(F.concat(F.lit('","arguments":"raw '), number(i), F.lit('"}'))),
+        )
+        turn = lambda i: F.concat(
+            F.lit('{"role":"assistant","content":"thought","tool_calls":['),
+            call(i),
+            F.lit(']},{"role":"tool","content":"'),
+            F.when(i % 2 == 0, F.concat(number(i), F.lit(" passed, OK"))).otherwise("1 failed FAILURES"),
+            F.lit('"}'),
+        )
+        turns_text = F.array_join(F.transform(F.sequence(F.lit(1), turns), turn), ",")
+        kind = key % 24
+        messages = F.when(kind == 2, F.lit("[]")).when(kind == 8, F.lit('[{"role":"user","content":"task"}]')).otherwise(
+            F.concat(F.lit('[{"role":"system","content":"rules"},{"role":"user","content":"task"},'), turns_text, F.lit("]"))
+        )
+        resolved = F.when(kind == 4, "1").when(kind == 5, '"true"').otherwise(F.when(F.col("o_orderstatus") == "F", "true").otherwise("false"))
+        docent = F.when(kind == 6, "{}").otherwise(F.concat(F.lit('{"model_label":"'), F.col("o_orderpriority"), F.lit('"}')))
+        info = F.concat(F.lit('{"resolved":'), resolved, F.lit(',"docent":'), docent, F.lit(',"submission":"patch"}'))
+        whole = F.concat(
+            F.lit("{"),
+            F.when(kind == 1, "").otherwise(F.concat(F.lit('"instance_id":"inst-'), number(key), F.lit('",'))),
+            F.lit('"messages":'),
+            messages,
+            F.when(kind == 3, "").otherwise(F.concat(F.lit(',"info":'), info)),
+            F.lit("}"),
+        )
+        return self.read("orders").select(
+            F.concat(F.col("o_orderpriority"), F.lit("/inst-"), number(key), F.lit(".traj.json")).alias("file"),
+            F.col("o_orderpriority").alias("model_dir"),
+            F.when(kind == 0, "[1]").when(kind == 7, "{bad").otherwise(whole).alias("document"),
+        )
+
     def messages(self) -> DataFrame:
         return self.read("conversations").select("conv_id", "turn", "role", F.col("text").alias("content"))
 
