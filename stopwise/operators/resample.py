@@ -17,30 +17,17 @@ from stopwise import fixed
 from stopwise.functions import stats
 from stopwise.operators import pairs as pr
 from stopwise.operators import profile
+from stopwise.operators.ranking import ordered_ids
 
 
 def dense_ids(clusters: DataFrame, scope: Sequence[str], key: str = "instance_id") -> DataFrame:
     """Number the clusters of each scope 0 .. n-1 without sorting a scope in one task.
 
-    Names are split over 256 hash buckets; a bucket numbers its own names and starts after the
-    buckets before it.
+    Names are split over 256 hash buckets.
     """
-    scope = list(scope)
-    named = clusters.select(*scope, key).distinct().withColumn("bucket", F.substring(F.md5(F.col(key).cast("binary")), 1, 2))
-    sizes = named.groupBy(*scope, "bucket").agg(F.count(F.lit(1)).alias("size"))
-    before = Window.partitionBy(*scope).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *scope,
-        "bucket",
-        F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"),
-        F.sum("size").over(Window.partitionBy(*scope)).alias("n"),
-    )
-    inside = Window.partitionBy(*scope, "bucket").orderBy(key)
-    return (
-        named.withColumn("rn", F.row_number().over(inside) - 1)
-        .join(offsets, scope + ["bucket"])
-        .select(*scope, key, (F.col("offset") + F.col("rn")).alias("id"), "n")
-    )
+    named = clusters.select(*scope, key).distinct()
+    bucket = F.substring(F.md5(F.col(key).cast("binary")), 1, 2)
+    return ordered_ids(named, scope, key, bucket, "id").withColumnRenamed("id_total", "n")
 
 
 def weights(
