@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stopwise import fixed
 from stopwise.functions import stats
+from stopwise.operators.ingest import evaluate_once
 
 STEP_SCHEMA = "array<struct<src:string,msg:string,tools:array<struct<fn:string,cmd:string>>,obs:string>>"
 STATES = ("NULL_FIELD", "EMPTY_STRING", "PARSE_FAIL", "JSON_NULL", "NOT_LIST", "EMPTY_LIST", "OK")
@@ -22,12 +23,11 @@ REASONS = ("TRAJECTORY_USABLE", "MISSING_REWARD", "NON_BINARY_REWARD", "SCHEMA_F
 
 def steps_state(col: str = "steps") -> Column:
     """State of a JSON steps field, from the parsed value's own type."""
-    value = F.try_parse_json(col)
-    kind = F.schema_of_variant(value)
+    kind = F.schema_of_variant(F.try_parse_json(col))
     return (
         F.when(F.col(col).isNull(), "NULL_FIELD")
         .when(F.col(col) == "", "EMPTY_STRING")
-        .when(value.isNull(), "PARSE_FAIL")
+        .when(kind.isNull(), "PARSE_FAIL")
         .when(kind == "VOID", "JSON_NULL")
         .when(~kind.startswith("ARRAY"), "NOT_LIST")
         .when(F.json_array_length(col) == 0, "EMPTY_LIST")
@@ -40,13 +40,14 @@ def classify_usability(trials: DataFrame) -> DataFrame:
     state = F.col("steps_state")
     binary = F.coalesce(F.col("reward").isin(0, 1), F.lit(False))
     has = state == "OK"
-    return trials.withColumn("steps_state", steps_state()).withColumns(
+    read = evaluate_once(trials, steps_state=steps_state(), listed=F.json_array_length("steps"))
+    return read.withColumns(
         {
             "has_steps": has,
             "binary_reward": binary,
             "schema_fail": state.isin("PARSE_FAIL", "NOT_LIST"),
             "usable": binary & has,
-            "n_steps": F.when(has, F.json_array_length("steps")),
+            "n_steps": F.when(has, F.col("listed")),
             "reason": F.when(binary & has, "TRAJECTORY_USABLE")
             .when(F.col("reward").isNull(), "MISSING_REWARD")
             .when(~binary, "NON_BINARY_REWARD")
@@ -54,7 +55,7 @@ def classify_usability(trials: DataFrame) -> DataFrame:
             .when(~has, "NO_STEPS")
             .otherwise("OTHER"),
         }
-    )
+    ).drop("listed")
 
 
 def task_counts(classified: DataFrame) -> DataFrame:

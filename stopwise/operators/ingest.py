@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from stopwise import fixed
 
-MESSAGES = "array<struct<role:string,content:string,tool_calls:array<variant>>>"
+MESSAGES = (
+    "array<struct<role:string,content:string,tool_calls:array<struct<id:string,function:variant,arguments:variant>>>>"
+)
+NO_CALLS = "array<struct<id:string,function:variant,arguments:variant>>"
 
 
 def _kind(v: Column) -> Column:
@@ -22,8 +25,17 @@ def _get(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
+def evaluate_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns through a generator of one row.
+
+    The optimizer copies a projected expression into every later filter and branch that uses it;
+    a generated column is computed once per row. Worth it for parsing, not for arithmetic.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def parse_documents(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("doc", F.try_parse_json("document"))
+    return evaluate_once(docs, doc=F.try_parse_json("document"))
 
 
 def validate_fields(doc: str = "doc") -> Column:
@@ -43,51 +55,73 @@ def validate_fields(doc: str = "doc") -> Column:
     )
 
 
-def call_name(tc: Column) -> Column:
-    """Function name of either tool-call shape."""
-    fn = _kind(_get(tc, "$.function"))
-    return (
-        F.when(fn.startswith("OBJECT"), F.coalesce(_get(tc, "$.function.name", "string"), F.lit("unknown")))
-        .when(fn == "STRING", _get(tc, "$.function", "string"))
-        .otherwise("unknown")
-    )
-
-
-def call_arguments(tc: Column) -> Column:
-    nested = _kind(_get(tc, "$.function")).startswith("OBJECT")
-    return F.when(nested, _get(tc, "$.function.arguments")).otherwise(_get(tc, "$.arguments"))
+def resolve_calls(calls: Column) -> Column:
+    """Tool calls of either shape as (id, name, keyed, arguments).
 
-
-def arguments_text(args: Column) -> Column:
-    """Strings as they are, everything else as compact JSON; absent arguments are empty."""
-    return F.coalesce(F.when(_kind(args) == "STRING", args.cast("string")).otherwise(F.to_json(args)), F.lit(""))
+    Done in two passes over the array so that each variant's type is looked up once: the first one
+    finds the shape, the second the arguments.
+    """
+    shaped = F.transform(calls, lambda c: F.struct(c["id"].alias("id"), c["function"].alias("fn"), c["arguments"].alias("args"), _kind(c["function"]).alias("kind")))
+    named = F.transform(
+        shaped,
+        lambda c: F.struct(
+            c["id"].alias("id"),
+            F.when(c["kind"] == "STRING", c["fn"].cast("string"))
+            .when(c["kind"].startswith("OBJECT"), F.coalesce(_get(c["fn"], "$.name", "string"), F.lit("unknown")))
+            .otherwise("unknown")
+            .alias("name"),
+            F.when(c["kind"].startswith("OBJECT"), _get(c["fn"], "$.arguments")).otherwise(c["args"]).alias("args"),
+        ),
+    )
+    return F.transform(
+        named, lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name"), c["args"].alias("args"), _kind(c["args"]).alias("kind"))
+    )
 
 
-def call_command(tc: Column) -> Column:
-    args = call_arguments(tc)
-    command = F.when(_kind(args).startswith("OBJECT"), _get(args, "$.command", "string"))
-    return F.coalesce(command, arguments_text(args))
+def with_text(calls: Column) -> Column:
+    """Arguments as text (strings as they are, everything else as compact JSON) and the command."""
+    texts = F.transform(
+        calls,
+        lambda c: F.struct(
+            c["id"].alias("id"),
+            c["name"].alias("name"),
+            F.coalesce(F.when(c["kind"] == "STRING", c["args"].cast("string")).otherwise(F.to_json(c["args"])), F.lit("")).alias("arguments"),
+            F.when(c["kind"].startswith("OBJECT"), _get(c["args"], "$.command", "string")).alias("command"),
+        ),
+    )
+    return F.transform(
+        texts,
+        lambda c: F.struct(
+            c["id"].alias("id"),
+            F.lit("function").alias("type"),
+            c["name"].alias("name"),
+            c["arguments"].alias("arguments"),
+            F.coalesce(c["command"], c["arguments"]).alias("command"),
+        ),
+    )
 
 
 def adapt_messages(messages: Column) -> Column:
     """Messages with their kind, command text and tool calls in one shape."""
-    call = lambda tc: F.struct(
-        _get(tc, "$.id", "string").alias("id"),
-        F.lit("function").alias("type"),
-        call_name(tc).alias("name"),
-        arguments_text(call_arguments(tc)).alias("arguments"),
+    resolved = F.transform(
+        messages,
+        lambda m: F.struct(
+            m["role"].alias("role"),
+            m["content"].alias("content"),
+            with_text(resolve_calls(m["tool_calls"])).alias("tool_calls"),
+        ),
     )
     return F.transform(
-        messages,
+        resolved,
         lambda m: F.struct(
             m["role"].alias("role"),
             m["content"].alias("content"),
             message_type(m["role"]).alias("message_type"),
             F.when(
                 m["role"] == "assistant",
-                F.array_join(F.transform(F.coalesce(m["tool_calls"], F.array().cast("array<variant>")), call_command), "\n"),
+                F.coalesce(F.array_join(F.transform(m["tool_calls"], lambda c: c["command"]), "\n"), F.lit("")),
             ).alias("action"),
-            F.transform(m["tool_calls"], call).alias("tool_calls"),
+            m["tool_calls"].alias("tool_calls"),
         ),
     )
 
@@ -102,7 +136,7 @@ def message_type(role: Column) -> Column:
 
 
 def to_contract(parsed: DataFrame) -> DataFrame:
-    """Normalised run rows of valid documents."""
+    """Normalised run rows of documents that passed ``quarantine``."""
     v = F.col("doc")
     model, instance = _get(v, "$.info.docent.model_label", "string"), _get(v, "$.instance_id", "string")
     return parsed.select(
@@ -111,17 +145,17 @@ def to_contract(parsed: DataFrame) -> DataFrame:
         F.concat_ws("::", model, instance).alias("traj_id"),
         model.alias("model_id"),
         F.coalesce(_get(v, "$.info.resolved", "boolean"), F.lit(False)).alias("resolved"),
-        adapt_messages(_get(v, "$.messages", MESSAGES)).alias("messages"),
+        adapt_messages(F.col("messages")).alias("messages"),
         F.coalesce(_get(v, "$.info.submission", "string"), F.lit("")).alias("patch"),
     )
 
 
 def quarantine(docs: DataFrame) -> DataFrame:
     """Every document with its stage and reason; PASS rows have neither."""
-    parsed = parse_documents(docs)
-    reason = validate_fields()
-    messages = _get(F.col("doc"), "$.messages", MESSAGES)
-    actions = F.size(F.filter(messages, lambda m: (m["role"] == "assistant") & m["tool_calls"].isNotNull()))
+    typed = evaluate_once(parse_documents(docs), messages=_get(F.col("doc"), "$.messages", MESSAGES))
+    acting = F.filter("messages", lambda m: (m["role"] == "assistant") & m["tool_calls"].isNotNull())
+    parsed = evaluate_once(typed, found=validate_fields(), n_actions=F.size(acting))
+    reason, actions = F.col("found"), F.col("n_actions")
     stage = (
         F.when(F.col("doc").isNull(), "read_json")
         .when(F.col("reason").isNotNull(), "field_validation")
@@ -174,36 +208,44 @@ def message_rows(runs: DataFrame) -> DataFrame:
 def source_schema_audit(parsed: DataFrame) -> DataFrame:
     """Roles, keys, command and observation counts of every document, all inside the row."""
     v = F.col("doc")
-    msgs = _get(v, "$.messages", MESSAGES)
-    maps = _get(v, "$.messages", "array<map<string,variant>>")
-    calls = F.flatten(F.transform(msgs, lambda m: F.coalesce(m["tool_calls"], F.array().cast("array<variant>"))))
-    acting = F.filter(msgs, lambda m: (m["role"] == "assistant") & (F.size(F.coalesce(m["tool_calls"], F.array().cast("array<variant>"))) > 0))
-    commands = F.transform(acting, lambda m: F.array_join(F.transform(m["tool_calls"], call_command), "\n"))
-    observations = F.array_join(
-        F.transform(F.filter(msgs, lambda m: m["role"] == "tool"), lambda m: F.coalesce(m["content"], F.lit(""))), "\n"
+    none = F.array().cast(NO_CALLS)
+    shaped = parsed.select(
+        "file",
+        F.col("messages").alias("msgs"),
+        _get(v, "$.messages", "array<map<string,variant>>").alias("maps"),
     )
-    joined = F.array_join(commands, "\n")
+    acting = F.filter("msgs", lambda m: (m["role"] == "assistant") & (F.size(F.coalesce(m["tool_calls"], none)) > 0))
+    texts = F.transform(F.filter("msgs", lambda m: m["role"] == "tool"), lambda m: F.coalesce(m["content"], F.lit("")))
+    called = shaped.select(
+        "file",
+        "msgs",
+        "maps",
+        F.transform(acting, lambda m: with_text(resolve_calls(m["tool_calls"]))).alias("acting"),
+        resolve_calls(F.flatten(F.transform("msgs", lambda m: F.coalesce(m["tool_calls"], none)))).alias("calls"),
+        F.array_join(texts, "\n").alias("observations"),
+    )
+    commands = F.transform("acting", lambda cs: F.array_join(F.transform(cs, lambda c: c["command"]), "\n"))
+    ready = called.withColumn("commands", commands)
     listed = lambda arr: F.array_join(F.array_sort(F.array_distinct(arr)), "|")
     hits = lambda text, pattern: F.regexp_count(text, F.lit(pattern))
     arg_keys = F.transform(
-        calls,
-        lambda tc: F.when(
-            _kind(call_arguments(tc)).startswith("OBJECT"),
-            F.array_join(F.array_sort(F.map_keys(call_arguments(tc).cast("map<string,variant>"))), "|"),
+        "calls",
+        lambda c: F.when(
+            c["kind"].startswith("OBJECT"), F.array_join(F.array_sort(F.map_keys(c["args"].cast("map<string,variant>"))), "|")
         ).otherwise("NON_DICT_ARGUMENTS"),
     )
-    return parsed.select(
+    return ready.select(
         "file",
-        F.size(msgs).alias("messages"),
-        listed(F.flatten(F.transform(maps, lambda m: F.map_keys(m)))).alias("message_keys"),
-        listed(F.transform(msgs, lambda m: m["role"])).alias("roles"),
-        F.size(acting).alias("action_messages"),
-        F.size(F.filter(commands, lambda c: c.rlike(fixed.AUDIT_TEST_PATTERN))).alias("test_commands"),
-        F.size(F.filter(commands, lambda c: c.rlike(fixed.AUDIT_EDIT_PATTERN))).alias("edit_commands"),
-        (hits(joined, fixed.SUBMIT_MARKER) + hits(observations, fixed.SUBMIT_MARKER)).alias("submit_markers"),
-        hits(observations, fixed.AUDIT_PASS_PATTERN).alias("pass_hits"),
-        hits(observations, fixed.AUDIT_FAIL_PATTERN).alias("fail_hits"),
-        listed(F.transform(calls, call_name)).alias("function_names"),
+        F.size("msgs").alias("messages"),
+        listed(F.flatten(F.transform("maps", lambda m: F.map_keys(m)))).alias("message_keys"),
+        listed(F.transform("msgs", lambda m: m["role"])).alias("roles"),
+        F.size("acting").alias("action_messages"),
+        F.size(F.filter("commands", lambda c: c.rlike(fixed.AUDIT_TEST_PATTERN))).alias("test_commands"),
+        F.size(F.filter("commands", lambda c: c.rlike(fixed.AUDIT_EDIT_PATTERN))).alias("edit_commands"),
+        (hits(F.array_join("commands", "\n"), fixed.SUBMIT_MARKER) + hits(F.col("observations"), fixed.SUBMIT_MARKER)).alias("submit_markers"),
+        hits(F.col("observations"), fixed.AUDIT_PASS_PATTERN).alias("pass_hits"),
+        hits(F.col("observations"), fixed.AUDIT_FAIL_PATTERN).alias("fail_hits"),
+        listed(F.transform("calls", lambda c: c["name"])).alias("function_names"),
         listed(arg_keys).alias("argument_keys"),
     )
 

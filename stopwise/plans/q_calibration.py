@@ -9,23 +9,27 @@ from stopwise.functions import stats
 from stopwise.operators import calibration as cal
 from stopwise.plans import oracle as o
 from stopwise.plans.q_policy import decisions
-from stopwise.plans.registry import Query
+from stopwise.plans.registry import Query, once
 
 
+@once()
 def coefficients(t):
     return cal.correction_table(cal.prior_table(t.runs()))
 
 
+@once()
 def corrected(t):
     return cal.corrected(decisions(t), coefficients(t))
 
 
+@once()
 def gaps(t):
     coef = coefficients(t)
     table = cal.gap_table(corrected(t), coef)
     return table.join(coef.select("model_id", "degenerate", "test_prior", "train_prior", "prior_shift"), "model_id")
 
 
+@once()
 def reliability_long(t):
     return cal.by_head(cal.reliability_table(decisions(t)))
 

@@ -8,22 +8,26 @@ from stopwise.operators import coverage as cov
 from stopwise.plans import oracle as o
 from stopwise.plans.oracle import div, view
 from stopwise.plans.q_gates import GATE, ge, gate_sql
-from stopwise.plans.registry import Query
+from stopwise.plans.registry import Query, once
 from stopwise.sources import tables
 
 
+@once()
 def classified(t):
     return cov.classify_usability(t.trials())
 
 
+@once(keep=True)
 def counts(t):
     return cov.task_counts(classified(t))
 
 
+@once()
 def combos(t):
     return cov.combo_coverage(counts(t))
 
 
+@once()
 def pairs(t):
     c = counts(t)
     return cov.controlled_pairs(c, cov.combo_coverage(c))

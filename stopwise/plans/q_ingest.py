@@ -10,19 +10,22 @@ from stopwise.plans import oracle as o
 from stopwise.plans.oracle import view
 from stopwise.plans.q_coverage import classified
 from stopwise.plans.q_policy import decisions
-from stopwise.plans.registry import Query
+from stopwise.plans.registry import Query, once
 from stopwise.session import shared_dir
 from stopwise.sources import files, tables
 
 
+@once()
 def checked(t):
     return ingest.quarantine(t.documents_json())
 
 
+@once()
 def contract(t):
     return ingest.to_contract(ingest.passed(checked(t)))
 
 
+@once()
 def trial_runs(t):
     return ingest.remap_trials(classified(t), cov.STEP_SCHEMA)
 

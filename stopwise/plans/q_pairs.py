@@ -9,7 +9,7 @@ from stopwise.operators import pairs as pr
 from stopwise.plans import oracle as o
 from stopwise.plans.oracle import div, view
 from stopwise.plans.q_policy import decisions, grid
-from stopwise.plans.registry import Query
+from stopwise.plans.registry import Query, once
 
 TARGETS = (("TARGET_1", "1-URGENT", "failure"), ("TARGET_2", "5-LOW", "success"))
 
@@ -20,12 +20,14 @@ def folds(t):
     return sides, tasks, pr.common_tasks(sides, tasks)
 
 
+@once(keep=True)
 def long_rows(t):
     sides, tasks, common = folds(t)
     priors = pr.fold_priors(pr.fold_task_priors(sides, tasks, common))
     return pr.occurrences(pr.score_cells(decisions(t)), sides, common, priors)
 
 
+@once()
 def long_grid(t):
     sides, tasks, common = folds(t)
     priors = pr.fold_priors(pr.fold_task_priors(sides, tasks, common))
@@ -33,6 +35,7 @@ def long_grid(t):
     return pr.occurrences(cells, sides, common, priors, fixed.THRESHOLDS)
 
 
+@once(keep=True)
 def long_halves(t):
     sides, tasks, common = folds(t)
     common = common.withColumn("half", pr.task_half("instance_id"))
@@ -40,11 +43,13 @@ def long_halves(t):
     return pr.occurrences(pr.score_cells(decisions(t)), sides, common, priors, extra=["half"])
 
 
+@once()
 def pairwise(t):
     sides, _, _ = folds(t)
     return pr.pairwise_metrics(long_rows(t), pr.all_task_stats(pr.score_cells(decisions(t)), sides))
 
 
+@once()
 def eligible_targets(t):
     return pr.target_occurrences(long_rows(t), TARGETS).where(F.col("eligible") & ~F.col("degenerate"))
 
@@ -138,6 +143,7 @@ OCC_COLS = (
 _KIND = {"decisions": "i", "correct": "i", "degenerate": "b", "all_decisions": "i"}
 
 
+@once(keep=True)
 def target_grid(t):
     rows = pr.target_occurrences(long_grid(t), TARGETS)
     frozen = pr.universe(long_rows(t), TARGETS).withColumn("in_universe", F.lit(True))

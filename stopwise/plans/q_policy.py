@@ -8,17 +8,20 @@ from stopwise import fixed
 from stopwise.functions import stats
 from stopwise.operators import events, policy
 from stopwise.plans.oracle import div
-from stopwise.plans.registry import Query
+from stopwise.plans.registry import Query, once
 
 
+@once()
 def grid(t):
     return policy.policy_grid(t.preds(), fixed.THRESHOLDS, t.runs())
 
 
+@once()
 def decisions(t):
     return policy.apply_stop_policy(t.preds(), t.runs())
 
 
+@once()
 def outcomes(t):
     return policy.outcomes(decisions(t), events.detect_events(t.steps()))
 

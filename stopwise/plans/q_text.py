@@ -12,16 +12,18 @@ from stopwise.plans import oracle as o
 from stopwise.plans.oracle import view
 from stopwise.plans.q_ingest import trial_runs
 from stopwise.plans.q_policy import decisions
-from stopwise.plans.registry import Query
+from stopwise.plans.registry import Query, once
 
 TOKENS = fixed.TOKEN_PATTERN
 
 
+@once()
 def doc_rows(t):
     """Documents as prefix rows: the language is the held-out model, the source its task."""
     return t.docs().select(F.col("doc_id").alias("row_id"), F.col("lang").alias("model_id"), F.col("source").alias("instance_id"), "text")
 
 
+@once(keep=True)
 def doc_counts(t):
     return text.term_counts(doc_rows(t), ["row_id"], "text")
 
@@ -30,38 +32,46 @@ def doc_total(t):
     return doc_rows(t).agg(F.count(F.lit(1)).alias("n"))
 
 
+@once()
 def doc_cells(t):
     cells = doc_rows(t).select("model_id", "instance_id").distinct()
     return folds.lomo_cells(cells, cells)
 
 
+@once()
 def doc_roles(t):
     return doc_rows(t).select("row_id", "model_id", "instance_id").join(doc_cells(t), ["model_id", "instance_id"])
 
 
+@once(keep=True)
 def run_lengths(t):
     return decisions(t).select("traj_id", "model_id", "instance_id", "resolved", "n_steps_total")
 
 
+@once()
 def run_cells(t):
     rows = run_lengths(t)
     return folds.lomo_cells(rows.select("model_id", "instance_id").distinct(), folds.long_enough(rows))
 
 
+@once()
 def run_pair_cells(t):
     rows = run_lengths(t)
     pairs = pr.unordered_pairs(t.runs(), "model_id")
     return folds.pair_cells(rows.select("model_id", "instance_id").distinct(), folds.long_enough(rows), pairs)
 
 
+@once()
 def roles(t):
     return folds.assign_roles(run_lengths(t), run_cells(t))
 
 
+@once()
 def pair_roles(t):
     return folds.assign_roles(run_lengths(t), run_pair_cells(t))
 
 
+@once()
 def scored_rows(t):
     """Prefix rows of all folds with role, label and both scores."""
     rows = t.preds().join(t.runs(), "traj_id")

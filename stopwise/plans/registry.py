@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -49,6 +50,25 @@ class Query:
         return oracle.statement(f"SELECT {wanted} FROM (\n{self.sql}\n) AS result")
 
 
+def once(keep: bool = False):
+    """Compose a frame once per query run; with ``keep`` also write its rows once.
+
+    Keep small results that several branches use (counts, cells, fold tables), so that the tables
+    behind them are scanned once.
+    """
+
+    def wrap(build):
+        name = f"{build.__module__.rsplit('.', 1)[-1]}-{build.__name__}"
+
+        @functools.wraps(build)
+        def inner(t: Tables) -> DataFrame:
+            return t.once(name, lambda: build(t), keep)
+
+        return inner
+
+    return wrap
+
+
 def all_queries() -> dict[str, Query]:
     from stopwise.plans import catalog
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", app: str = "stopwise") -> SparkSession:
@@ -20,6 +20,7 @@ def local_session(cpus: int | str = "*", app: str = "stopwise") -> SparkSession:
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.local.dir", scratch)
         .config("spark.checkpoint.dir", os.path.join(scratch, "shared"))
         .config("spark.sql.warehouse.dir", os.path.join(scratch, "warehouse"))
@@ -45,3 +46,24 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back.
+
+    Cuts the lineage where several branches of a plan use one result: the inputs behind it are
+    read once, and a lost executor costs a re-read of the table, not a recomputation.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition an input that has fewer splits than the cluster has slots.
+
+    Meant for work that costs far more per row than moving the row (parsing, tokenising). An input
+    with enough splits is left as it is, so large tables are never shuffled for this.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, key)

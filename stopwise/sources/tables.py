@@ -7,9 +7,13 @@ sees at most one row per line number and run.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stopwise.session import materialize, spread
+
 # Fixed values of the derived views.
 ACTIONS = (
     "pytest -x tests",
@@ -39,9 +43,20 @@ class Tables:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
+        self._built: dict[str, DataFrame] = {}
+
+    def once(self, name: str, build: Callable[[], DataFrame], keep: bool = False) -> DataFrame:
+        """Build a frame once per query; with ``keep`` its rows are also written once."""
+        if name not in self._built:
+            df = build()
+            self._built[name] = materialize(df, name) if keep else df
+        return self._built[name]
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return self.once(f"table:{name}", lambda: self.spark.read.parquet(f"{self.path}/{name}.parquet"))
+
+    def read_spread(self, name: str, key: str) -> DataFrame:
+        return self.once(f"spread:{name}", lambda: spread(self.read(name), key))
 
     def runs(self) -> DataFrame:
         """One row per run: who ran which task, and how it ended."""
@@ -151,7 +166,7 @@ class Tables:
         resolved = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 0).otherwise(
             F.when(key % 4 != 0, 1).otherwise(0)
         )
-        return self.read("orders").select(
+        return self.read_spread("orders", "o_orderkey").select(
             F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("trial-"), key.cast("string"))).alias("trial_id"),
             F.when(key % 6 == 0, "").otherwise(F.concat(F.lit("name-"), key.cast("string"))).alias("trial_name"),
             F.concat(F.lit("task-"), F.lpad((F.col("o_custkey") % 60).cast("string"), 2, "0")).alias("task_name"),
@@ -204,7 +219,7 @@ class Tables:
             F.when(kind == 3, "").otherwise(F.concat(F.lit(',"info":'), info)),
             F.lit("}"),
         )
-        return self.read("orders").select(
+        return self.read_spread("orders", "o_orderkey").select(
             F.concat(F.col("o_orderpriority"), F.lit("/inst-"), number(key), F.lit(".traj.json")).alias("file"),
             F.col("o_orderpriority").alias("model_dir"),
             F.when(kind == 0, "[1]").when(kind == 7, "{bad").otherwise(whole).alias("document"),
@@ -214,4 +229,4 @@ class Tables:
         return self.read("conversations").select("conv_id", "turn", "role", F.col("text").alias("content"))
 
     def docs(self) -> DataFrame:
-        return self.read("documents").select("doc_id", "text", "lang", "source")
+        return self.read_spread("documents", "doc_id").select("doc_id", "text", "lang", "source")
