@@ -95,8 +95,12 @@ def head_spine(groups: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def gap_table(rows: DataFrame, groups: DataFrame, by: Sequence[str] = ("model_id",)) -> DataFrame:
     """Calibration gap per group and head, raw and corrected; empty cells stay, with NULL rates."""
+    return gap_table_of_cells(task_cells(rows, by), groups, by)
+
+
+def gap_table_of_cells(cells: DataFrame, groups: DataFrame, by: Sequence[str] = ("model_id",)) -> DataFrame:
     by = list(by)
-    sums = task_cells(rows, by).groupBy(*by, "head").agg(
+    sums = cells.groupBy(*by, "head").agg(
         F.sum("c").alias("decisions"),
         F.sum("k").alias("correct"),
         F.sum("s").alias("s"),

@@ -18,6 +18,7 @@ from stopwise.functions import stats
 from stopwise.operators import pairs as pr
 from stopwise.operators import profile
 from stopwise.operators.ranking import ordered_ids
+from stopwise.session import materialize
 
 
 def dense_ids(clusters: DataFrame, scope: Sequence[str], key: str = "instance_id") -> DataFrame:
@@ -37,7 +38,7 @@ def weights(
     scope = list(scope)
     seed = seed if isinstance(seed, Column) else F.lit(seed)
     spread = clusters.sparkSession.sparkContext.defaultParallelism
-    ids = dense_ids(clusters, scope, key)
+    ids = materialize(dense_ids(clusters, scope, key), "clusters")
     text = F.concat_ws("|", seed.cast("string"), *[F.col(c).cast("string") for c in scope], F.col("rep").cast("string"), F.col("id").cast("string"))
     drawn = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") % F.col("n")
     draws = (
@@ -66,9 +67,8 @@ def _statistics(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) ->
     return df.select(*by, "rep", F.inline(F.array(*items)))
 
 
-def confusion_bootstrap(outcome: DataFrame, replicates: int = fixed.REPLICATES, seed: int = fixed.SEED) -> DataFrame:
+def confusion_bootstrap(outcome: DataFrame, tasks: DataFrame, replicates: int = fixed.REPLICATES, seed: int = fixed.SEED) -> DataFrame:
     """Error rates and signature risk differences, one draw shared by all models."""
-    tasks = outcome.select("instance_id")
     cells = (
         profile.with_direction(outcome)
         .groupBy("instance_id", "direction", "model_id", "fraction_bin")
@@ -117,11 +117,15 @@ def _with_prior_shift(per_model: DataFrame) -> DataFrame:
 
 
 def precision_bootstrap(
-    decisions: DataFrame, replicates: int = fixed.REPLICATES, seed: int = fixed.SEED, exclude: Sequence[str] = ()
+    decisions: DataFrame,
+    tasks: DataFrame,
+    replicates: int = fixed.REPLICATES,
+    seed: int = fixed.SEED,
+    exclude: Sequence[str] = (),
 ) -> DataFrame:
     """Precision ranges over models, and rank correlation of prior shift with error rate."""
     sums = replicate_sums(
-        weights(decisions.select("instance_id"), [], replicates, seed),
+        weights(tasks.select("instance_id"), [], replicates, seed),
         model_task_cells(decisions),
         ["instance_id"],
         ["model_id"],
@@ -149,11 +153,12 @@ def residual_bootstrap(
     corrected: DataFrame,
     decisions: DataFrame,
     coefficients: DataFrame,
+    tasks: DataFrame,
     replicates: int = fixed.REPLICATES,
     seed: int = fixed.SEED,
 ) -> DataFrame:
     """Raw and residual gap ranges with the coefficient held fixed, and their rank correlations."""
-    weight = weights(decisions.select("instance_id"), [], replicates, seed)
+    weight = weights(tasks.select("instance_id"), [], replicates, seed)
     head_sum = lambda h, c: F.coalesce(F.sum(F.when(F.col("decision") == h, F.col(c))), F.lit(0)).alias(f"{h}_{c}")
     rows = corrected.withColumn("one", F.lit(1))
     names = ("one", "correct", "decision_score", "p_corrected")

@@ -13,8 +13,8 @@ from stopwise.plans import q_calibration as qc
 from stopwise.plans import q_pairs as qp
 from stopwise.plans import q_resample as qr
 from stopwise.plans.oracle import div, view
-from stopwise.plans.q_policy import decisions, grid, outcomes
-from stopwise.plans.registry import Query
+from stopwise.plans.q_policy import grid, outcomes
+from stopwise.plans.registry import Query, once
 from stopwise.sources.tables import LABELS
 
 GATE = "criterion:s value:d required:d passed:b label:s"
@@ -46,18 +46,32 @@ def label_column():
     return F.get(F.array(*[F.lit(x) for x in LABELS]), digit - 1)
 
 
+def priors_of(t):
+    return qc.coefficients(t).select("model_id", "degenerate", "test_prior", "train_prior", "prior_shift")
+
+
+@once(keep=True)
+def gaps(t):
+    return cal.gap_table_of_cells(qr.model_cells(t), qc.coefficients(t)).join(priors_of(t), "model_id")
+
+
+@once(keep=True)
 def metrics(t):
-    return corpora.target_metrics(qc.gaps(t), qr.h8(t), ["model_id", "head"], label_column())
+    return corpora.target_metrics(gaps(t), qr.h8(t), ["model_id", "head"], label_column())
+
+
+@once(keep=True)
+def grid_model_cells(t):
+    rows = grid(t).where(F.col("threshold").isin(*fixed.DIAGNOSTIC_THRESHOLDS))
+    return cal.task_cells(cal.corrected(rows, qc.coefficients(t)), ["threshold", "model_id"])
 
 
+@once(keep=True)
 def metrics_grid(t):
-    coef = qc.coefficients(t)
-    rows = cal.corrected(grid(t).where(F.col("threshold").isin(*fixed.DIAGNOSTIC_THRESHOLDS)), coef)
     values = F.explode(F.array(*[F.lit(x) for x in fixed.DIAGNOSTIC_THRESHOLDS])).alias("threshold")
-    groups = coef.select("model_id", values)
-    table = cal.gap_table(rows, groups, ["threshold", "model_id"]).join(
-        coef.select("model_id", "degenerate", "test_prior", "train_prior", "prior_shift"), "model_id")
-    boot = resample.cell_bootstrap(cal.task_cells(rows, ["threshold", "model_id"]), ["threshold", "model_id", "head"])
+    groups = qc.coefficients(t).select("model_id", values)
+    table = cal.gap_table_of_cells(grid_model_cells(t), groups, ["threshold", "model_id"]).join(priors_of(t), "model_id")
+    boot = resample.cell_bootstrap(grid_model_cells(t), ["threshold", "model_id", "head"])
     return corpora.target_metrics(table, boot, ["threshold", "model_id", "head"], label_column())
 
 
@@ -348,10 +362,10 @@ QUERIES = [
     Query("j3_transfer_gate", GATE,
           lambda t: gates.transfer_gate(
               cal.heterogeneity(qc.reliability_long(t)), qr.h2(t),
-              cal.prior_shift_correlation(qc.coefficients(t), qc.reliability_long(t), qc.gaps(t)),
-              cal.prior_shift_correlation(qc.coefficients(t), qc.reliability_long(t), qc.gaps(t), ("1-URGENT",)),
+              cal.prior_shift_correlation(qc.coefficients(t), qc.reliability_long(t), gaps(t)),
+              cal.prior_shift_correlation(qc.coefficients(t), qc.reliability_long(t), gaps(t), ("1-URGENT",)),
               cal.calibration_table(qc.corrected(t), t.runs().select("model_id").distinct())), J3_SQL),
-    Query("j4_residual_gate", GATE, lambda t: gates.residual_gate(qc.gaps(t), cal.residual_range(qc.gaps(t)), qr.h3(t)), J4_SQL),
+    Query("j4_residual_gate", GATE, lambda t: gates.residual_gate(gaps(t), cal.residual_range(gaps(t)), qr.h3(t)), J4_SQL),
     Query("j5_same_predictor_gate", "scope:s " + GATE, lambda t: j5(t, {"primary": ()}), gate_sql(PRIMARY, J5_CHECKS, J5_LABEL, "scope")),
     Query("j14_sensitivity_scopes", "scope:s " + GATE, lambda t: j5(t, {"primary": (), "without_5_LOW": ("5-LOW",)}),
           gate_sql(f"{PRIMARY} UNION ALL {EXCLUDED}", J5_CHECKS, J5_LABEL, "scope")),

@@ -14,39 +14,60 @@ from stopwise.plans.registry import Query, once
 TARGETS = (("TARGET_1", "1-URGENT", "failure"), ("TARGET_2", "5-LOW", "success"))
 
 
+@once(keep=True)
+def tasks(t):
+    return pr.model_tasks(t.runs())
+
+
+@once(keep=True)
+def sides(t):
+    return pr.sides(pr.unordered_pairs(tasks(t), "model_id"))
+
+
+@once(keep=True)
+def common(t):
+    return pr.common_tasks(sides(t), tasks(t))
+
+
+@once(keep=True)
+def task_priors(t):
+    return pr.fold_task_priors(sides(t), tasks(t), common(t))
+
+
+@once(keep=True)
+def cells(t):
+    return pr.score_cells(decisions(t))
+
+
+@once(keep=True)
+def grid_cells(t):
+    return pr.score_cells(grid(t), ["threshold"])
+
+
 def folds(t):
-    tasks = pr.model_tasks(t.runs())
-    sides = pr.sides(pr.unordered_pairs(t.runs(), "model_id"))
-    return sides, tasks, pr.common_tasks(sides, tasks)
+    return sides(t), tasks(t), common(t)
 
 
 @once(keep=True)
 def long_rows(t):
-    sides, tasks, common = folds(t)
-    priors = pr.fold_priors(pr.fold_task_priors(sides, tasks, common))
-    return pr.occurrences(pr.score_cells(decisions(t)), sides, common, priors)
+    return pr.occurrences(cells(t), sides(t), common(t), pr.fold_priors(task_priors(t)))
 
 
 @once()
 def long_grid(t):
-    sides, tasks, common = folds(t)
-    priors = pr.fold_priors(pr.fold_task_priors(sides, tasks, common))
-    cells = pr.score_cells(grid(t), ["threshold"])
-    return pr.occurrences(cells, sides, common, priors, fixed.THRESHOLDS)
+    return pr.occurrences(grid_cells(t), sides(t), common(t), pr.fold_priors(task_priors(t)), fixed.THRESHOLDS)
 
 
 @once(keep=True)
 def long_halves(t):
-    sides, tasks, common = folds(t)
-    common = common.withColumn("half", pr.task_half("instance_id"))
-    priors = pr.fold_priors(pr.fold_task_priors(sides, tasks, common), ["half"])
-    return pr.occurrences(pr.score_cells(decisions(t)), sides, common, priors, extra=["half"])
+    halved = common(t).withColumn("half", pr.task_half("instance_id"))
+    priors = pr.fold_priors(pr.fold_task_priors(sides(t), tasks(t), halved), ["half"])
+    return pr.occurrences(cells(t), sides(t), halved, priors, extra=["half"])
 
 
 @once()
 def pairwise(t):
-    sides, _, _ = folds(t)
-    return pr.pairwise_metrics(long_rows(t), pr.all_task_stats(pr.score_cells(decisions(t)), sides))
+    return pr.pairwise_metrics(long_rows(t), pr.all_task_stats(cells(t), sides(t)))
 
 
 @once()

@@ -9,11 +9,11 @@ from stopwise.operators import calibration as cal
 from stopwise.operators import pairs as pr
 from stopwise.operators import resample
 from stopwise.plans import oracle as o
+from stopwise.plans import q_pairs as qp
 from stopwise.plans.oracle import div, view
 from stopwise.plans.q_calibration import coefficients, corrected
-from stopwise.plans.q_pairs import TARGETS, folds, long_rows
-from stopwise.plans.q_policy import decisions, grid, outcomes
-from stopwise.plans.registry import Query
+from stopwise.plans.q_policy import decisions, outcomes
+from stopwise.plans.registry import Query, once
 
 REPS, TARGET_REPS = fixed.REPLICATES, fixed.TARGET_REPLICATES
 
@@ -171,47 +171,49 @@ FROM v_h8_w w JOIN v_h8_cells c ON c.model_id = w.model_id AND c.head = w.head A
 # ---- plans ------------------------------------------------------------------------------------
 
 def h1(t):
-    return resample.confusion_bootstrap(outcomes(t), REPS, fixed.SEED)
+    return resample.confusion_bootstrap(outcomes(t), t.runs().select("instance_id"), REPS, fixed.SEED)
 
 
 def h2(t, exclude=()):
-    return resample.precision_bootstrap(decisions(t), REPS, fixed.SEED, exclude)
+    return resample.precision_bootstrap(decisions(t), t.runs(), REPS, fixed.SEED, exclude)
 
 
 def h3(t):
-    return resample.residual_bootstrap(corrected(t), decisions(t), coefficients(t), REPS, fixed.SEED)
+    return resample.residual_bootstrap(corrected(t), decisions(t), coefficients(t), t.runs(), REPS, fixed.SEED)
 
 
 def h4(t, exclude=()):
-    sides, tasks, common = folds(t)
-    priors = pr.fold_priors(pr.fold_task_priors(sides, tasks, common))
-    return resample.pair_bootstrap(pr.score_cells(decisions(t)), sides, common, priors, REPS, fixed.SEED * 100, exclude)
+    priors = pr.fold_priors(qp.task_priors(t))
+    return resample.pair_bootstrap(qp.cells(t), qp.sides(t), qp.common(t), priors, REPS, fixed.SEED * 100, exclude)
+
+
+def target_folds(t):
+    return qp.eligible_targets(t).select("scope", "pair_id", "side", "model_id", "head", "log_r")
 
 
 def h5(t, frozen=False):
-    sides, tasks, common = folds(t)
-    task_priors = pr.fold_task_priors(sides, tasks, common)
-    cells = pr.score_cells(decisions(t))
-    rows = pr.target_occurrences(pr.occurrences(cells, sides, common, pr.fold_priors(task_priors)), TARGETS)
-    used = rows.where(F.col("eligible") & ~F.col("degenerate")).select("scope", "pair_id", "side", "model_id", "head", "log_r")
-    return resample.target_bootstrap(used, common, task_priors, cells, ["scope"], TARGET_REPS, fixed.TARGET_SEED, frozen)
-
-
-def h7(t, frozen=False):
-    sides, tasks, common = folds(t)
-    task_priors = pr.fold_task_priors(sides, tasks, common)
-    used = pr.universe(long_rows(t), TARGETS)
-    rows = pr.target_occurrences(pr.occurrences(pr.score_cells(decisions(t)), sides, common, pr.fold_priors(task_priors)), TARGETS)
-    every = rows.join(used, ["scope", "pair_id"], "left_semi").select(
-        "scope", "pair_id", "side", "model_id", "head", "log_r",
-        F.explode(F.array(*[F.lit(x) for x in fixed.THRESHOLDS])).alias("threshold"))
-    cells = pr.score_cells(grid(t), ["threshold"])
-    return resample.target_bootstrap(every, common, task_priors, cells, ["scope", "threshold"], REPS, fixed.THRESHOLD_SEED, frozen)
+    return resample.target_bootstrap(
+        target_folds(t), qp.common(t), qp.task_priors(t), qp.cells(t), ["scope"], TARGET_REPS, fixed.TARGET_SEED, frozen)
+
+
+@once(keep=True)
+def h7(t):
+    return h7_of(t)
+
+
+def h7_of(t, frozen=False):
+    every = target_folds(t).withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in fixed.THRESHOLDS])))
+    return resample.target_bootstrap(
+        every, qp.common(t), qp.task_priors(t), qp.grid_cells(t), ["scope", "threshold"], REPS, fixed.THRESHOLD_SEED, frozen)
+
+
+@once(keep=True)
+def model_cells(t):
+    return cal.task_cells(corrected(t), ["model_id"])
 
 
 def h8(t):
-    cells = cal.task_cells(corrected(t), ["model_id"])
-    return resample.cell_bootstrap(cells, ["model_id", "head"], REPS, fixed.CELL_SEED)
+    return resample.cell_bootstrap(model_cells(t), ["model_id", "head"], REPS, fixed.CELL_SEED)
 
 
 TARGET_CI = f"scope:s {CI} abs_ci_lower:d abs_ci_median:d abs_ci_upper:d degenerate_replicates:i"
@@ -226,6 +228,6 @@ QUERIES = [
     Query("h5_target_bootstrap", TARGET_CI, h5, "SELECT * FROM v_h5_recomputed"),
     Query("h6_target_bootstrap_frozen", TARGET_CI, lambda t: h5(t, True), "SELECT * FROM v_h5_frozen"),
     Query("h7_threshold_bootstrap", "threshold:d " + TARGET_CI, h7, "SELECT * FROM v_h7_recomputed"),
-    Query("h7_threshold_bootstrap_frozen", "threshold:d " + TARGET_CI, lambda t: h7(t, True), "SELECT * FROM v_h7_frozen"),
+    Query("h7_threshold_bootstrap_frozen", "threshold:d " + TARGET_CI, lambda t: h7_of(t, True), "SELECT * FROM v_h7_frozen"),
     Query("h8_cell_bootstrap", f"model_id:s head:s decisions:i n_tasks:i point_gap:d {CI}", h8, "SELECT * FROM v_h8"),
 ]

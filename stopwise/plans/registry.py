@@ -15,7 +15,7 @@ from stopwise.sources.tables import Tables
 
 SPARK_TYPES = {"s": "string", "i": "bigint", "d": "double", "b": "boolean"}
 SQL_TYPES = {"s": "VARCHAR", "i": "BIGINT", "d": "DOUBLE", "b": "BOOLEAN"}
-DIGITS = 6
+DIGITS = 9
 
 
 @dataclass(frozen=True)
@@ -24,6 +24,7 @@ class Query:
     columns: str
     plan: Callable[[Tables], DataFrame]
     sql: str | None = None
+    digits: int = DIGITS
 
     @property
     def fields(self) -> list[tuple[str, str]]:
@@ -36,7 +37,7 @@ class Query:
             col = F.col(name).cast(SPARK_TYPES[kind])
             if kind == "d":
                 # adding zero turns a rounded -0.0 into 0.0
-                col = F.round(col, DIGITS) + F.lit(0.0)
+                col = F.round(col, self.digits) + F.lit(0.0)
             out.append(col.alias(name))
         return df.select(*out)
 
@@ -44,7 +45,7 @@ class Query:
         if self.sql is None:
             return None
         cast = lambda n, k: (
-            f"round(CAST({n} AS DOUBLE), {DIGITS}) + 0.0 AS {n}" if k == "d" else f"CAST({n} AS {SQL_TYPES[k]}) AS {n}"
+            f"round(CAST({n} AS DOUBLE), {self.digits}) + 0.0 AS {n}" if k == "d" else f"CAST({n} AS {SQL_TYPES[k]}) AS {n}"
         )
         wanted = ", ".join(cast(n, k) for n, k in self.fields)
         return oracle.statement(f"SELECT {wanted} FROM (\n{self.sql}\n) AS result")
