@@ -22,17 +22,26 @@ b7_quarantine b9_expand_prefixes b12_source_schema_audit f1_lomo_split f3_prefix
 k3_decision_reproduction k4_detector_recheck s3_symmetric_difference
 """.split()
 KEYS = list(QUERIES) if os.environ.get("STOPWISE_ALL") else SELECTED
-PATH = os.path.join(compare.DATA, "sf0.001")
+# no combination reaches 100 usable trials in the smallest tables, so these have no rows there
+NEED_MORE_ROWS = {"e25_pair_common_tasks", "w6_diverse_combos", "w6_stratified_pick"}
 
 
 @pytest.fixture(scope="module")
 def con():
-    return compare.duck(PATH)
+    opened = {}
+
+    def get(path):
+        if path not in opened:
+            opened[path] = compare.duck(path)
+        return opened[path]
+
+    return get
 
 
 @pytest.mark.parametrize("key", KEYS)
 def test_matches_sql(spark, con, key):
-    assert compare.check(QUERIES[key], spark, con, PATH) == ""
+    path = os.path.join(compare.DATA, "sf0.01" if key in NEED_MORE_ROWS else "sf0.001")
+    assert compare.check(QUERIES[key], spark, con(path), path) == ""
 
 
 def test_entry_points():
