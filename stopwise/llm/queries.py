@@ -2,15 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stopwise.llm import bpe
+from stopwise.llm import bpe, mixing, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Production settings of the mix. A source's domain follows from its number.
+DOMAINS = ("web", "books", "code", "forum")
+WEIGHTS = {
+    "domain": {"web": 0.4, "books": 0.3, "code": 0.2, "forum": 0.1},
+    "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15},
+}
+#: url rules: host, path, action
+RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+
+def domain_of(source: Column) -> Column:
+    number = F.regexp_extract(source, r"(\d{1,9})$", 1).try_cast("int")
+    return F.get(F.array(*[F.lit(d) for d in DOMAINS]), F.pmod(F.coalesce(number, F.lit(0)), F.lit(len(DOMAINS))))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), list(RULES))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.capture_histories(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, share=0.6, weights=WEIGHTS, max_epochs=2, seed=7, domain=domain_of(F.col("source")))
+    return mixed.select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", F.col("_epoch").cast("long").alias("epoch"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -19,6 +56,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_url_filter": op6_url_filter,
+    "op7_warc": op7_warc,
+    "op8_mixing": op8_mixing,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
