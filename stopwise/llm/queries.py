@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm import bpe, mixing, urls, warc
+from stopwise.llm import bpe, fingerprints, mixing, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,26 @@ def domain_of(source: Column) -> Column:
     return F.get(F.array(*[F.lit(d) for d in DOMAINS]), F.pmod(F.coalesce(number, F.lit(0)), F.lit(len(DOMAINS))))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Fitted on labelled rows outside the held-out third."""
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    return toxicity.fit(*toxicity.training_sample(table(spark, sf_dir, "documents"), labels))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "rejected")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), list(RULES))
 
@@ -56,9 +76,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_fingerprints": op3_fingerprints,
     "op6_url_filter": op6_url_filter,
     "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
+    "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
