@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm import bpe, fingerprints, mixing, toxicity, urls, warc
+from stopwise.llm import bpe, fingerprints, mixing, ngram_join, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def domain_of(source: Column) -> Column:
     return F.get(F.array(*[F.lit(d) for d in DOMAINS]), F.pmod(F.coalesce(number, F.lit(0)), F.lit(len(DOMAINS))))
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.component_ids(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op3_fingerprints": op3_fingerprints,
     "op6_url_filter": op6_url_filter,
     "op7_warc": op7_warc,
