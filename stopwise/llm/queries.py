@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm import bpe, fingerprints, mixing, ngram_join, toxicity, urls, warc
+from stopwise.llm import bpe, embeddings, fingerprints, mixing, ngram_join, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.component_ids(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_embeddings": op2_embeddings,
     "op3_fingerprints": op3_fingerprints,
     "op6_url_filter": op6_url_filter,
     "op7_warc": op7_warc,
