@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm import bpe, embeddings, fingerprints, mixing, ngram_join, toxicity, urls, warc
+from stopwise.llm import bpe, embeddings, fingerprints, mixing, ngram_join, tokens, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "rejected")
 
 
+TOKEN_LIMIT = 4096
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), list(RULES))
 
@@ -87,6 +97,7 @@ QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_embeddings": op2_embeddings,
     "op3_fingerprints": op3_fingerprints,
+    "op5_token_counts": op5_token_counts,
     "op6_url_filter": op6_url_filter,
     "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
