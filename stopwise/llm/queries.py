@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm import bpe, embeddings, fingerprints, mixing, ngram_join, tokens, toxicity, urls, warc
+from stopwise.llm import bpe, embeddings, fingerprints, mixing, ngram_join, secrets, tokens, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "rejected")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.train(docs))
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "kind", "digest", "score", "secret")
+
+
 TOKEN_LIMIT = 4096
 
 
@@ -97,6 +103,7 @@ QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_embeddings": op2_embeddings,
     "op3_fingerprints": op3_fingerprints,
+    "op4_secret_scan": op4_secret_scan,
     "op5_token_counts": op5_token_counts,
     "op6_url_filter": op6_url_filter,
     "op7_warc": op7_warc,
