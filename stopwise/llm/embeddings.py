@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stopwise.llm.graph import components
+from stopwise.llm.graph import components, forest
 from stopwise.session import materialize
 
 SAMPLE = 20_000
@@ -37,21 +37,14 @@ BLOCK = 2048
 ROUNDS = 8
 
 
-def units(rows: list) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Positions of the usable vectors, and their unit vectors in double precision."""
-    places, found = [], []
-    for i, row in enumerate(rows):
-        if not row or None in row:
-            continue
-        v = np.asarray(row, np.float64)
-        if not np.isfinite(v).all():
-            continue
-        top = np.abs(v).max()
-        if top > 0:
-            v = v / top
-            places.append(i)
-            found.append(v / np.sqrt(v @ v))
-    return np.array(places, np.int64), found
+def usable(rows: list) -> list[int]:
+    """Positions of the vectors that can link."""
+    return [i for i, row in enumerate(rows) if row and None not in row and np.isfinite(row).all() and np.any(row)]
+
+
+def unpack_block(raw: bytes, n: int, dim: int) -> np.ndarray:
+    step = len(raw) // n
+    return unpack([raw[i : i + step] for i in range(0, len(raw), step)], dim)
 
 
 def fit_cells(sample: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 3) -> np.ndarray:
@@ -89,23 +82,20 @@ class Cells:
         return home, guest
 
 
-def _forest(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """(node, smallest node) for every node of the bipartite or square link matrix that isn't the smallest."""
-    rows, cols = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
-    if not len(rows):
-        return []
-    m = linked[np.ix_(rows, cols)]
-    top = np.iinfo(np.int64).max
-    left, right = a[rows].copy(), b[cols].copy()
-    while True:
-        new_right = np.minimum(right, np.where(m, left[:, None], top).min(0))
-        new_left = np.minimum(left, np.where(m, new_right[None], top).min(1))
-        if (new_right == right).all() and (new_left == left).all():
-            break
-        left, right = new_left, new_right
-    nodes, labels = np.concatenate((a[rows], b[cols])), np.concatenate((left, right))
-    kept = nodes != labels
-    return list(set(zip(nodes[kept].tolist(), labels[kept].tolist())))
+def payload(v: list) -> bytes:
+    """A vector's bytes: four a component when that loses nothing, else eight."""
+    wide = np.asarray(v, np.float64)
+    narrow = wide.astype(np.float32)
+    return narrow.tobytes() if (narrow == wide).all() else wide.tobytes()
+
+
+def unpack(vectors: list[bytes], dim: int) -> np.ndarray:
+    """Unit vectors in double precision."""
+    out = np.empty((len(vectors), dim))
+    for i, raw in enumerate(vectors):
+        out[i] = np.frombuffer(raw, np.float32 if len(raw) == 4 * dim else np.float64)
+    out /= np.abs(out).max(axis=1, keepdims=True)
+    return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
 
 
 def near_dedup(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -114,11 +104,11 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, found = units(batch.column(1).to_pylist())
-            ids = batch.column(0).take(pa.array(places))
-            raw = pa.array([v.tobytes() for v in found], pa.binary())
-            dims = pa.array([len(v) for v in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([ids, dims, raw], ["id", "dim", "unit"])
+            rows = batch.column(1).to_pylist()
+            places = usable(rows)
+            raw = pa.array([payload(rows[i]) for i in places], pa.binary())
+            dims = pa.array([len(rows[i]) for i in places], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), dims, raw], ["id", "dim", "unit"])
 
     named = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     valid = materialize(named.mapInArrow(clean, "id long, dim int, unit binary").withColumn("key", F.sha1("unit")), "units")
@@ -130,7 +120,7 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     common = reps.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim, n = (common[0]["dim"], common[0]["count"]) if common else (1, 0)
     drawn = reps.where(F.col("dim") == dim).select("rep", "unit").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect() if n else []
-    sample = np.array([np.frombuffer(r["unit"]) for r in drawn]).reshape(-1, dim)
+    sample = unpack([r["unit"] for r in drawn], dim)
     k = max(1, min(n // CELL, MAX_CELLS, len(sample)))
     cells = Cells(fit_cells(sample, k) if len(sample) else np.zeros((1, dim)), threshold)
     shared = spark.sparkContext.broadcast(cells)
@@ -141,10 +131,8 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
             dims = np.asarray(batch.column(2))
             for own in np.unique(dims):
                 at = np.flatnonzero(dims == own)
-                x = np.array([batch.column(3)[int(i)].as_py() for i in at], object)
-                x = np.frombuffer(b"".join(x), np.float64).reshape(len(at), own)
                 if own == dim:
-                    home, guest = shared.value.assign(x)
+                    home, guest = shared.value.assign(unpack(batch.column(3).take(pa.array(at)).to_pylist(), dim))
                 else:
                     home, guest = np.zeros(len(at), np.int64), np.zeros((len(at), 1), bool)
                 who, where = np.nonzero(guest)
@@ -170,7 +158,10 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     def pack(data: pa.Table) -> pa.Table:
         one = {c: data.column(c)[:1] for c in ("dim", "cell", "guest", "block", "homes", "guests")}
         packed = {c: np.asarray(data.column(c)).astype(np.int64).tobytes() for c in ("rep", "copies", "home")}
-        packed["unit"] = b"".join(data.column("unit").to_pylist())
+        vectors = data.column("unit").to_pylist()
+        if len({len(v) for v in vectors}) > 1:  # mixed widths: all as doubles
+            vectors = [np.frombuffer(v, np.float32).astype(np.float64).tobytes() if len(v) == 4 * data["dim"][0].as_py() else v for v in vectors]
+        packed["unit"] = b"".join(vectors)
         return pa.table(one | {c: pa.array([v], pa.binary()) for c, v in packed.items()})
 
     schema = "dim int, cell int, guest boolean, block int, homes int, guests int, rep binary, copies binary, home binary, unit binary"
@@ -190,12 +181,14 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     def compare(data: pa.Table) -> pa.Table:
         rows = sorted(data.to_pylist(), key=lambda r: (r["guest"], r["block"]))
         a, b = rows[0], rows[-1]
-        x, y = (np.frombuffer(r["unit"]).reshape(-1, r["dim"]) for r in (a, b))
+        x, y = (unpack_block(r["unit"], len(r["rep"]) // 8, r["dim"]) for r in (a, b))
         ids, other_ids = np.frombuffer(a["rep"], np.int64), np.frombuffer(b["rep"], np.int64)
         weights, other_weights = np.frombuffer(a["copies"], np.int64), np.frombuffer(b["copies"], np.int64)
         out: list[tuple] = []
         if len(rows) == 2 or not a["g"]:
-            linked = x @ y.T >= threshold
+            linked = np.empty((len(x), len(y)), bool)
+            for i in range(0, len(x), 256):
+                np.greater_equal(x[i : i + 256] @ y.T, threshold, out=linked[i : i + 256])
             if len(rows) == 1:
                 np.fill_diagonal(linked, False)
             elif a["g"]:
@@ -207,7 +200,7 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
                 out += zip(own[at].tolist(), [None] * len(at), n[at].tolist())
                 if len(rows) == 1:
                     break
-            out += [(u, v, None) for u, v in _forest(linked, ids, other_ids)]
+            out += [(u, v, None) for u, v in forest(linked, ids, other_ids)]
         names, kinds = ("a", "b", "n"), (pa.int64(),) * 3
         columns = list(zip(*out)) if out else [()] * 3
         return pa.table({c: pa.array(v, t) for c, v, t in zip(names, columns, kinds)})

@@ -8,12 +8,36 @@ re-read. Labels are the smallest reachable node.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stopwise.session import materialize
 
 
+def forest(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """(node, smallest node) for every node of the bipartite or square link matrix that isn't the smallest."""
+    rows, cols = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+    if not len(rows):
+        return []
+    m = linked[np.ix_(rows, cols)]
+    # labels are ranks of the ids: small numbers keep the work arrays small
+    nodes = np.concatenate((a[rows], b[cols]))
+    ids, rank = np.unique(nodes, return_inverse=True)
+    rank = rank.astype(np.int32)
+    top = np.int32(len(ids))
+    left, right = rank[: len(rows)], rank[len(rows) :]
+    while True:
+        new_right = np.minimum(right, np.where(m, left[:, None], top).min(0))
+        new_left = np.minimum(left, np.where(m, new_right[None], top).min(1))
+        if (new_right == right).all() and (new_left == left).all():
+            break
+        left, right = new_left, new_right
+    labels = ids[np.concatenate((left, right))]
+    kept = nodes != labels
+    return list(set(zip(nodes[kept].tolist(), labels[kept].tolist())))
+
+
 def _stars(links: DataFrame) -> DataFrame:
     """One large-star and one small-star step over (hi, lo) links with hi > lo."""
     both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(links.select("lo", "hi"))
