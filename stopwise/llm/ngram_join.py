@@ -17,13 +17,15 @@ document's n-gram set into fragments, and everything below works on fragments:
 Documents with equal sets form a class and only its smallest document takes part. Links are found in
 two steps: first every class is compared with the smallest class of its best fragment group, which
 joins near copies into components; then all remaining candidates between different components are
-compared. So a large group of near copies costs about one comparison per member, and no link between
-components is lost.
+compared, so no link between components is lost. Fragments of few documents give candidate pairs. A
+fragment of more than ``PAIRED`` documents would list their square; the documents of such fragments are
+put into blocks instead, a task multiplies two blocks fragment by fragment (documents x n-grams), sums the
+partial overlaps in place, and returns a spanning forest of the links only.
 
 Defined results: words are maximal runs without ASCII white space, A-Z lower-cased. A text with fewer
 than k words has one n-gram of all of them. A null or blank text has no n-gram and no link; its
-component is its own id. Rows with a null id are returned with a null component and linked with
-nothing. Equal rows count as one document and are all returned; an id is taken to name one text. Extra columns are ignored. An empty table gives an empty result.
+component is its own id. A row with a null id links nothing; it is returned with the component of the
+documents that have its set, or a null one. Equal rows count as one document and are all returned; an id is taken to name one text. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,16 +35,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stopwise.llm.graph import components
+from stopwise.llm.graph import components, forest
 from stopwise.llm.hashing import column_bytes, mix64, shingle_hashes, word_hashes
 from stopwise.session import materialize
 
 SLACK, CUTS = 1, 8
+#: A fragment with more documents (classes) than this is compared by blocks of about ``BLOCK_GRAMS`` n-grams.
+PAIRED, BLOCK_GRAMS = 24, 300_000
+#: Keys that are packed together.
+PACKED = 500_000
 #: Coarse fragments for counting overlaps.
 FRAGMENTS = 4
+#: So many ids at most are broadcast (8 bytes each).
+BROADCAST_IDS = 2_000_000
 _U = np.uint64
 
 
@@ -135,8 +143,28 @@ def _fragment_keys(grams: np.ndarray, sizes: np.ndarray, threshold: Threshold) -
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def set_sizes(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, n, h1, h2``: size and digest of every row's set."""
+def _pack(keys: np.ndarray, docs: np.ndarray) -> tuple[bytes, bytes]:
+    """Six bytes of each key (its range is known besides), and the ids as differences where these are small."""
+    steps = np.diff(docs, prepend=np.int64(0))
+    small = np.abs(steps[1:]).max(initial=0) < 1 << 31
+    ids = docs[:1].tobytes() + steps[1:].astype(np.int32).tobytes() if small else b"\0" * 7 + docs.tobytes()
+    return keys.view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), ids
+
+
+def _unpack(keys: bytes, docs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(keys) // 6
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(keys, np.uint8).reshape(n, 6)
+    if len(docs) == 8 + 4 * (n - 1):
+        first = np.frombuffer(docs[:8], np.int64)
+        ids = np.cumsum(np.concatenate((first, np.frombuffer(docs[8:], np.int32))))
+    else:
+        ids = np.frombuffer(docs[7:], np.int64)
+    return wide.view(np.int64).ravel(), ids
+
+
+def set_sizes(docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
+    """``doc_id, n, cap, h1, h2``: size and digest of every row's set; cap: see ``votes_needed``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,10 +174,25 @@ def set_sizes(docs: DataFrame, k: int) -> DataFrame:
                 n.append(sizes)
                 h1.append(a.view(np.int64))
                 h2.append(b.view(np.int64))
-            columns = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (n, h1, h2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["doc_id", "n", "h1", "h2"])
+            n, h1, h2 = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (n, h1, h2))
+            upper = threshold.classes(int(n.max(initial=1)))
+            own = np.searchsorted(upper, n)
+            cap = threshold.differences(upper[own], upper[own + 1])
+            columns = [batch.column(0), *map(pa.array, (n, cap, h1, h2))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cap", "h1", "h2"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, cap long, h1 long, h2 long")
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
+
+def votes_needed(threshold: Threshold) -> Column:
+    """Fewest equal fragments of a linked pair (a, n_a, cap_a, b, n_b, cap_b).
+
+    In the cut for the smaller set's class there are cap + 1 + SLACK fragments. At most as many as the
+    pair's sizes allow differ, and SLACK of the equal ones are empty.
+    """
+    cap = F.when(F.col("n_a") <= F.col("n_b"), F.col("cap_a")).otherwise(F.col("cap_b"))
+    most = F.floor((F.col("n_a") + F.col("n_b")) * (threshold.den - threshold.num) / F.lit(threshold.den + threshold.num))
+    return cap - most + 1
 
 
 def fragment_groups(docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
@@ -159,11 +202,22 @@ def fragment_groups(docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
     """
     ranges = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    def deal(keys: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
+        key, owner = np.concatenate(keys), np.concatenate(owners)
+        part = ((key >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        key, owner, part = key[order], owner[order], part[order]
+        cuts = np.searchsorted(part, np.arange(ranges + 1))
+        some = [r for r in range(ranges) if cuts[r] < cuts[r + 1]]
+        both = [_pack(key[cuts[r] : cuts[r + 1]], owner[cuts[r] : cuts[r + 1]]) for r in some]
+        columns = [pa.array(some, pa.int32()), *(pa.array([x[i] for x in both], pa.binary()) for i in (0, 1))]
+        return pa.RecordBatch.from_arrays(columns, ["part", "keys", "docs"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0))
             seen: set[tuple[int, int]] = set()
-            keys, owners = [], []
+            keys, owners, n = [], [], 0
             for first, grams, sizes in _sets(column_bytes(batch.column(1)), k):
                 new = np.zeros(len(sizes), bool)
                 for i, digest in enumerate(zip(*(x.tolist() for x in _digest(grams, sizes)))):
@@ -174,32 +228,24 @@ def fragment_groups(docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
                 key, owner = _fragment_keys(grams, sizes, threshold)
                 keys.append(key)
                 owners.append(ids[first + owner])
-            if not keys:
-                continue
-            key, owner = np.concatenate(keys), np.concatenate(owners)
-            part = ((key >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            key, owner, part = key[order], owner[order], part[order]
-            cuts = np.searchsorted(part, np.arange(ranges + 1))
-            some = [r for r in range(ranges) if cuts[r] < cuts[r + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(some, pa.int32()),
-                    pa.array([key[cuts[r] : cuts[r + 1]].tobytes() for r in some], pa.binary()),
-                    pa.array([owner[cuts[r] : cuts[r + 1]].tobytes() for r in some], pa.binary()),
-                ],
-                ["part", "keys", "docs"],
-            )
+                n += len(key)
+                if n >= PACKED:
+                    yield deal(keys, owners)
+                    keys, owners, n = [], [], 0
+            if n:
+                yield deal(keys, owners)
 
     def group(data: pa.Table) -> pa.Table:
-        key = np.frombuffer(b"".join(data.column("keys").to_pylist()), np.int64)
-        doc = np.frombuffer(b"".join(data.column("docs").to_pylist()), np.int64)
+        # the low six bytes travel: keys of one range that agree in them count as equal, which at worst makes a candidate
+        both = [_unpack(a.as_py(), b.as_py()) for a, b in zip(data.column("keys"), data.column("docs"))]
+        key, doc = np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
         head = np.ones(len(key) + 1, bool)
         head[1:-1] = key[1:] != key[:-1]
         shared = ~(head[:-1] & head[1:])
-        return pa.table({"key": key[shared], "doc_id": doc[shared]})
+        part = data.column("part")[0].as_py()
+        return pa.table({"key": key[shared] | np.int64(part << 48), "doc_id": doc[shared]})
 
     packed = docs.mapInArrow(cut, "part int, keys binary, docs binary")
     return packed.groupBy("part").applyInArrow(group, "key long, doc_id long")
@@ -224,8 +270,78 @@ def fragments(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, fragment int, grams array<long>")
 
 
-def _links(pairs: DataFrame, parts: DataFrame, threshold: Threshold) -> DataFrame:
+def _parts(needed: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Fragments of the documents in ``needed`` (doc_id)."""
+    needed = materialize(needed.distinct(), "needed")
+    # few ids spare the texts a shuffle; their number is known, as they are written
+    some = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
+    return materialize(fragments(docs.join(some, "doc_id", "left_semi"), k), "fragments")
+
+
+def _products(groups: DataFrame, docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
+    """Links ``a, b`` (a spanning forest) among the classes of each group; ``groups`` has root, class, n."""
+    total = F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("blocks")
+    blocked = groups.join(groups.groupBy("root").agg(total), "root")
+    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    parts = _parts(groups.select(F.col("class").alias("doc_id")), docs, k)
+    rows = blocked.join(parts, F.col("class") == F.col("doc_id")).select("root", "blocks", "block", "class", "n", "fragment", "grams")
+
+    def pack(data: pa.Table) -> pa.Table:
+        data = data.sort_by([("fragment", "ascending"), ("class", "ascending")])
+        grams = data.column("grams").combine_chunks()
+        raw = {"class": data.column("class"), "n": data.column("n"), "fragment": data.column("fragment")}
+        out = {c: pa.array([np.asarray(v).astype(np.int64).tobytes()], pa.binary()) for c, v in raw.items()}
+        out["sizes"] = pa.array([np.diff(np.asarray(grams.offsets)).astype(np.int64).tobytes()], pa.binary())
+        out["grams"] = pa.array([np.asarray(grams.flatten()).tobytes()], pa.binary())
+        return pa.table({c: data.column(c)[:1] for c in ("root", "blocks", "block")} | out)
+
+    schema = "root long, blocks int, block int, class binary, n binary, fragment binary, sizes binary, grams binary"
+    blocks = materialize(rows.groupBy("root", "block").applyInArrow(pack, schema), "blocks")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    dealt = blocks.withColumn("p", F.explode(meets)).select("*", "p.i", "p.j").drop("p", "blocks")
+
+    def compare(data: pa.Table) -> pa.Table:
+        sides = []
+        for row in sorted(data.to_pylist(), key=lambda r: r["block"]):
+            ids, n, fragment, sizes = (np.frombuffer(row[c], np.int64) for c in ("class", "n", "fragment", "sizes"))
+            classes, at = np.unique(ids, return_index=True)
+            owner = np.repeat(np.searchsorted(classes, ids), sizes)
+            sides.append((classes, n[at], owner, np.repeat(fragment, sizes), np.frombuffer(row["grams"], np.int64)))
+        (a, n_a, own_a, frag_a, grams_a), (b, n_b, own_b, frag_b, grams_b) = sides[0], sides[-1]
+        shared = np.zeros((len(a), len(b)), np.float32)
+        for f in range(FRAGMENTS):
+            x, y = grams_a[frag_a == f], grams_b[frag_b == f]
+            common = np.intersect1d(x, y)
+            if len(sides) == 1:  # n-grams of one document only add to the diagonal
+                values, seen = np.unique(x, return_counts=True)
+                common = values[seen > 1]
+            place_x, place_y = np.searchsorted(common, x), np.searchsorted(common, y)
+            in_x = np.flatnonzero(np.append(common, 0)[place_x] == x) if len(common) else np.empty(0, np.int64)
+            in_y = np.flatnonzero(np.append(common, 0)[place_y] == y) if len(common) else np.empty(0, np.int64)
+            in_x, in_y = in_x[place_x[in_x] < len(common)], in_y[place_y[in_y] < len(common)]
+            row_x, col_x = own_a[frag_a == f][in_x], place_x[in_x]
+            row_y, col_y = own_b[frag_b == f][in_y], place_y[in_y]
+            for first in range(0, len(common), 2048):
+                dense = []
+                for rows, cols, n in ((row_x, col_x, len(a)), (row_y, col_y, len(b))):
+                    here = (cols >= first) & (cols < first + 2048)
+                    m = np.zeros((n, 2048), np.float32)
+                    m[rows[here], cols[here] - first] = 1
+                    dense.append(m)
+                shared += dense[0] @ dense[1].T
+        union = n_a[:, None] + n_b[None] - shared.astype(np.int64)
+        linked = shared.astype(np.int64) * threshold.den >= union * threshold.num
+        if len(sides) == 1:
+            np.fill_diagonal(linked, False)
+        found = forest(linked, a, b)
+        return pa.table({c: pa.array([x[i] for x in found], pa.int64()) for i, c in enumerate(("a", "b"))})
+
+    return dealt.groupBy("root", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def _links(pairs: DataFrame, docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
     """The linked ones of ``pairs`` (a, n_a, b, n_b): overlaps by fragment, summed per pair."""
+    parts = _parts(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, k)
     left = parts.select(F.col("doc_id").alias("a"), "fragment", F.col("grams").alias("x"))
     right = parts.select(F.col("doc_id").alias("b"), "fragment", F.col("grams").alias("y"))
     both = pairs.join(left, "a").join(right, ["b", "fragment"])
@@ -233,49 +349,59 @@ def _links(pairs: DataFrame, parts: DataFrame, threshold: Threshold) -> DataFram
     partial = both.groupBy("a", "b", "n_a", "n_b", "fragment").agg(F.max(F.size(F.array_intersect("x", "y"))).alias("shared"))
     shared = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
     union = F.col("n_a") + F.col("n_b") - F.col("shared")
-    return shared.where(F.col("shared") * threshold.den >= union * threshold.num).select("a", "b", "shared")
+    return shared.where(F.col("shared") * threshold.den >= union * threshold.num).select("a", "b")
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """Classes and links of ``docs`` (doc_id, text).
 
     Returns ``doc_id, n, class`` (class: smallest id with the same set; null for an empty set), one row
-    per row of docs, and links ``a, b, shared`` between classes: all links that join different
-    components, and those that the first step compared.
+    per row of docs, and links ``a, b`` between classes that have the components of all links.
     """
     threshold = Threshold(num, den)
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sized = materialize(set_sizes(kept, k), "sets")
+    sized = materialize(set_sizes(kept, k, threshold), "sets")
     same = sized.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class"))
-    info = materialize(sized.join(same, ["h1", "h2", "n"], "left").select("doc_id", "n", "class"), "classes")
+    info = materialize(sized.join(same, ["h1", "h2", "n"], "left").select("doc_id", "n", "cap", "class"), "classes")
     # fragment groups at the level of classes; a group of one class is none
-    known = info.where("class IS NOT NULL").select("doc_id", "class", "n").distinct()
+    known = info.where("class IS NOT NULL").select("doc_id", "class").distinct()
     found = fragment_groups(kept.where("doc_id IS NOT NULL"), k, threshold)
-    groups = materialize(found.join(known, "doc_id").select("key", "class", "n").distinct(), "groups")
+    groups = materialize(found.join(known, "doc_id").select("key", "class").distinct(), "groups")
     heads = groups.groupBy("key").agg(F.min("class").alias("head"), F.max("class").alias("last")).where("head < last")
-    members = materialize(groups.join(heads.select("key", "head"), "key"), "members")
-    sizes = known.where("doc_id = class").select("class", "n").distinct()
-    needed = members.select(F.col("class").alias("doc_id")).distinct()
-    parts = materialize(fragments(kept.join(needed, "doc_id", "left_semi"), k), "fragments")
+    sizes = info.where("doc_id = class").select("class", "n", "cap").distinct()
+    size_of = lambda side: sizes.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col("cap").alias(f"cap_{side}"))
+    bound = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
     # first step: the head with which a class shares most fragments
-    votes = members.where("class > head").groupBy("class", "head", "n").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("class", "n").agg(F.max(F.struct("votes", -F.col("head"), F.col("head").alias("head"))).alias("best"))
-    bound = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-    stars = best.select(F.col("best.head").alias("a"), F.col("class").alias("b"), F.col("n").alias("n_b"))
-    stars = stars.join(sizes.select(F.col("class").alias("a"), F.col("n").alias("n_a")), "a").where(bound)
-    near = materialize(_links(stars, parts, threshold), "near")
+    votes = groups.join(heads, "key").where("class > head").groupBy("class", "head").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("class").agg(F.max(F.struct("votes", -F.col("head"), F.col("head").alias("head"))).alias("best"))
+    stars = best.select(F.col("best.head").alias("a"), F.col("class").alias("b"), F.col("best.votes").alias("votes"))
+    stars = stars.join(size_of("a"), "a").join(size_of("b"), "b").where(bound)
+    # its votes are only those of groups with this head, so half of what a link needs is worth a look
+    stars = materialize(stars.where(2 * F.col("votes") >= votes_needed(threshold)).select("a", "b", "n_a", "n_b"), "stars")
+    near = materialize(_links(stars, kept, k, threshold), "near")
     labels = components(near)
     # second step: candidates between different components
-    placed = members.join(labels.select(F.col("node").alias("class"), "root"), "class", "left")
-    placed = placed.select("key", "class", "n", F.coalesce("root", "class").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    open_ = materialize(placed.join(mixed.select("key"), "key"), "open")
-    left = open_.select("key", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-    right = open_.select("key", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-    cross = left.join(right, "key").where((F.col("comp_a") != F.col("comp_b")) & (F.col("a") < F.col("b")) & bound)
-    cross = materialize(cross.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("votes")), "cross")
-    far = materialize(_links(cross, parts, threshold), "far")
-    return info, near.union(far)
+    placed = groups.join(labels.select(F.col("node").alias("class"), "root"), "class", "left")
+    placed = placed.select("key", "class", F.coalesce("root", "class").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("classes"))
+    open_ = materialize(placed.join(mixed.where("low < high").select("key", "classes"), "key"), "open")
+    # fragments of many documents: those that such fragments connect are compared by blocks
+    wide = open_.where(F.col("classes") > PAIRED)
+    first = wide.groupBy("key").agg(F.min("class").alias("first"))
+    tied = materialize(wide.join(first, "key").select("class", "first").distinct(), "tied")
+    families = components(tied, "class", "first").select(F.col("node").alias("class"), "root")
+    members = tied.select("class").distinct().join(families, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    members = materialize(members.join(sizes.select("class", "n"), "class"), "families")
+    dense = materialize(_products(members, kept, k, threshold), "dense")
+    # the others: pairs. A pair that shares a wide fragment too has been compared above
+    open_ = open_.where(F.col("classes") <= PAIRED)
+    left = open_.select("key", F.col("class").alias("a"), F.col("comp").alias("comp_a"))
+    right = open_.select("key", F.col("class").alias("b"), F.col("comp").alias("comp_b"))
+    cross = left.join(right, "key").where("a < b AND comp_a != comp_b").groupBy("a", "b").agg(F.count("*").alias("votes"))
+    cross = cross.join(size_of("a"), "a").join(size_of("b"), "b").where(bound & (F.col("votes") >= votes_needed(threshold)))
+    cross = materialize(cross.select("a", "b", "n_a", "n_b"), "cross")
+    far = materialize(_links(cross, kept, k, threshold), "far")
+    return info, near.union(far).union(dense)
 
 
 def component_ids(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
