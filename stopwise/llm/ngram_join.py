@@ -415,7 +415,19 @@ def component_ids(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs``, with all columns, whose document has the smallest id of its component.
 
-    Of rows that repeat this id all are kept when their texts differ, one when the rows are equal.
+    An id that repeats keeps its smallest row; rows without an id stay.
     """
-    found = component_ids(docs, k, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_kept"], "left_semi")
+    found = component_ids(docs, k, num, den).where("doc_id = component_id").groupBy("doc_id").count()
+    found = materialize(found.select(F.col("doc_id").alias("_kept"), "count"), "kept")
+    few = found.count() <= BROADCAST_IDS
+
+    def rows_of(ids: DataFrame) -> DataFrame:
+        ids = ids.select("_kept")
+        return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["_kept"], "left_semi")
+
+    out = rows_of(found.where("count = 1")).union(docs.where("doc_id IS NULL"))
+    repeated = found.where("count > 1")
+    if repeated.isEmpty():
+        return out
+    smallest = rows_of(repeated).groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return out.union(smallest.select("_row.*"))
