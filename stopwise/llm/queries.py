@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm import bpe, embeddings, fingerprints, mixing, ngram_join, secrets, tokens, toxicity, urls, warc
+from stopwise.llm import bpe, embeddings, fingerprints, mixing, ngram_join, oracles, secrets, tokens, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,4 +112,10 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_ngram_join": oracles.NGRAM_JOIN,
+    "op2_embeddings": oracles.EMBEDDINGS,
+    "op6_url_filter": oracles.url_filter(RULES),
+    "op7_warc": oracles.WARC,
+    "op8_mixing": oracles.mix(0.6, WEIGHTS, 2, 7, DOMAINS),
+}
