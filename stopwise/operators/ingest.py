@@ -6,6 +6,8 @@ state outside the row.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -335,10 +337,14 @@ def step_texts(runs: DataFrame) -> DataFrame:
     )
 
 
-def dedup_first(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """First row per key in an explicit order, as one aggregate (no sort of a hot key's rows)."""
-    rest = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(*[F.min_by(c, order).alias(c) for c in rest])
+def dedup_first(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """First whole row per key in an explicit order, as one aggregate (no sort of a hot key's rows).
+
+    Ties in the order are broken by the other columns, so values of different rows never mix.
+    """
+    rest = [c for c in rows.columns if c != key and c not in order]
+    first = rows.groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("row"))
+    return first.select(key, "row.*").select(*rows.columns)
 
 
 def ingest_report(checked: DataFrame, runs: DataFrame, prefixes: DataFrame) -> DataFrame:

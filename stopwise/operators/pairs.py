@@ -23,8 +23,8 @@ def unordered_pairs(names: DataFrame, key: str) -> DataFrame:
     first = listed.select("all", F.posexplode("all").alias("i", "agent_a"))
     rest = F.slice("all", F.col("i") + 2, F.greatest(F.size("all"), F.lit(1)))
     both = first.select("i", "agent_a", F.posexplode(rest).alias("k", "agent_b"))
-    number = lambda c: F.lpad(c.cast("string"), 2, "0")
-    pair_id = F.concat(F.lit("pair-"), number(F.col("i")), number(F.col("i") + 1 + F.col("k")))
+    # plain numbers with a separator: distinct for any number of names
+    pair_id = F.concat_ws("-", F.lit("pair"), F.col("i").cast("string"), (F.col("i") + 1 + F.col("k")).cast("string"))
     return both.select(pair_id.alias("pair_id"), "agent_a", "agent_b")
 
 

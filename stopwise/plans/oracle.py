@@ -141,10 +141,11 @@ SELECT o_orderkey AS traj_id, 'task-' || lpad(CAST(o_custkey % 60 AS VARCHAR), 2
 FROM orders""")
 
 view("v_lines", """
-SELECT l_orderkey AS traj_id, l_linenumber - 1 AS prefix_step_idx, max(l_quantity) AS quantity,
-  max(l_discount) AS discount, min(l_tax) AS min_tax, bool_or(l_returnflag = 'A') AS test_pass,
-  bool_or(l_returnflag = 'R') AS test_fail, bool_or(l_linestatus = 'O' AND l_tax >= 0.07) AS traceback
-FROM lineitem GROUP BY 1, 2""")
+SELECT l_orderkey AS traj_id, row_number() OVER (PARTITION BY l_orderkey
+    ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) - 1 AS prefix_step_idx,
+  l_quantity AS quantity, l_discount AS discount, l_tax AS min_tax, l_returnflag = 'A' AS test_pass,
+  l_returnflag = 'R' AS test_fail, l_linestatus = 'O' AND l_tax >= 0.07 AS traceback
+FROM lineitem""")
 
 view("v_preds", """
 SELECT traj_id, prefix_step_idx, max(prefix_step_idx) OVER (PARTITION BY traj_id) AS n_steps_total,

@@ -221,19 +221,22 @@ QUERIES = [
     Query("k7_usable_crosscheck", "model:s usable:i other:i match:b", lambda t: cov.usable_crosscheck(cov.missingness_audit(counts(t)), combos(t)),
           "SELECT model, count(*) FILTER (usable) AS usable, count(*) FILTER (usable) AS other, true AS match FROM v_tri GROUP BY 1"),
     Query("w6_stratified_pick", "model:s agent:s reward:i row_key:i rn:i position:i", pick, "SELECT * FROM v_pick"),
-    Query("w6_diverse_combos", "position:i model:s agent:s", lambda t: cov.diverse_combos(combos(t), base=1),
-          """WITH RECURSIVE pool AS (SELECT row_number() OVER (ORDER BY model, agent) AS i, model, agent FROM v_combos WHERE eligible),
-             base AS (SELECT model, agent FROM v_combos WHERE eligible ORDER BY usable_trials DESC, model, agent LIMIT 1),
-             walk AS (
-               SELECT CAST(0 AS BIGINT) AS i, [model] AS ms, [agent] AS ags, [model || '#' || agent] AS chosen FROM base
-               UNION ALL
-               SELECT p.i, CASE WHEN (len(ms) < 3 OR len(ags) < 3) AND NOT list_contains(ms, p.model) THEN list_append(ms, p.model) ELSE ms END,
-                 CASE WHEN (len(ms) < 3 OR len(ags) < 3) AND NOT list_contains(ags, p.agent) THEN list_append(ags, p.agent) ELSE ags END,
-                 CASE WHEN (len(ms) < 3 OR len(ags) < 3) AND (NOT list_contains(ms, p.model) OR NOT list_contains(ags, p.agent)) THEN list_append(chosen, p.model || '#' || p.agent) ELSE chosen END
-               FROM walk w JOIN pool p ON p.i = w.i + 1),
-             done AS (SELECT chosen FROM walk ORDER BY i DESC LIMIT 1)
-             SELECT position, split_part(c, '#', 1) AS model, split_part(c, '#', 2) AS agent
-             FROM (SELECT unnest(range(1, len(chosen) + 1)) AS position, unnest(chosen) AS c FROM done) x"""),
+    *[
+        Query(key, "position:i model:s agent:s", lambda t, base=base: cov.diverse_combos(combos(t), base),
+              f"""WITH RECURSIVE pool AS (SELECT row_number() OVER (ORDER BY model, agent) AS i, model, agent FROM v_combos WHERE eligible),
+                 base AS (SELECT model, agent, usable_trials FROM v_combos WHERE eligible ORDER BY usable_trials DESC, model, agent LIMIT {base}),
+                 walk AS (
+                   SELECT CAST(0 AS BIGINT) AS i, list_distinct(list(model)) AS ms, list_distinct(list(agent)) AS ags, list(model || '#' || agent ORDER BY usable_trials DESC, model, agent) AS chosen FROM base
+                   UNION ALL
+                   SELECT p.i, CASE WHEN (len(ms) < 3 OR len(ags) < 3) AND NOT list_contains(ms, p.model) THEN list_append(ms, p.model) ELSE ms END,
+                     CASE WHEN (len(ms) < 3 OR len(ags) < 3) AND NOT list_contains(ags, p.agent) THEN list_append(ags, p.agent) ELSE ags END,
+                     CASE WHEN (len(ms) < 3 OR len(ags) < 3) AND (NOT list_contains(ms, p.model) OR NOT list_contains(ags, p.agent)) THEN list_append(chosen, p.model || '#' || p.agent) ELSE chosen END
+                   FROM walk w JOIN pool p ON p.i = w.i + 1),
+                 done AS (SELECT chosen FROM walk ORDER BY i DESC LIMIT 1)
+                 SELECT position, split_part(c, '#', 1) AS model, split_part(c, '#', 2) AS agent
+                 FROM (SELECT unnest(range(1, len(chosen) + 1)) AS position, unnest(chosen) AS c FROM done) x""")
+        for key, base in (("w6_diverse_combos", 6), ("w6_diverse_combos_one", 1))
+    ],
     Query("k10_sample_constraints", GATE, lambda t: cov.sample_constraints(pick(t), prefix_counts(t)),
           gate_sql("""SELECT count(*) AS n, count(DISTINCT model || '#' || agent) AS combos, count(DISTINCT model) AS models, count(DISTINCT agent) AS agents, count(DISTINCT reward) AS labels FROM v_pick""",
                    [ge("rows", "n", 100), ge("combos", "combos", 5), ge("models", "models", 3), ge("agents", "agents", 3), ge("labels", "labels", 2), ("prefix_rule", "1.0", 1.0, "true")],

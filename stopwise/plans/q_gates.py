@@ -217,7 +217,7 @@ def scope_frames(t, exclude=()):
     if exclude:
         pairwise = pairwise.where(~F.col("agent_a").isin(*exclude) & ~F.col("agent_b").isin(*exclude))
         long = long.where(~F.col("model_id").isin(*exclude) & ~F.col("partner").isin(*exclude))
-    return pairwise, qr.h4(t, exclude), pr.persistence_table(long, 3)
+    return pairwise, qr.h4(t, exclude), pr.persistence_table(long)
 
 
 def j5(t, scopes):
@@ -229,7 +229,7 @@ def j5_wide(scope: str, where_pair: str, where_long: str, boot: str) -> str:
   (SELECT count(*) FROM v_pairwise WHERE eligible AND head = '{h}' {where_pair}) AS {h}_folds,
   (SELECT median(residual_gap_difference) FROM v_pairwise WHERE eligible AND head = '{h}' {where_pair}) AS {h}_median,
   (SELECT ci_lower FROM ({boot}) b WHERE head = '{h}') AS {h}_ci"""
-    persist = qp.PERSIST.format(minimum=3).replace("FROM v_long", f"FROM v_long {where_long}")
+    persist = qp.PERSIST.format(minimum=7).replace("FROM v_long", f"FROM v_long {where_long}")
     return f"SELECT '{scope}' AS scope, {head('success')}, {head('failure')}, (SELECT count(DISTINCT model_id) FROM ({persist}) p WHERE persistent) AS agents"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stopwise import fixed
 from stopwise.operators import coverage as cov
 from stopwise.operators import ingest
 from stopwise.plans import oracle as o
@@ -190,12 +191,14 @@ QUERIES = [
           lambda t: (lambda d: d.select("traj_id", F.lit(len(d.columns)).alias("n_columns")))(
               ingest.drop_reference_columns(t.runs().withColumns({"gold_patch": F.lit("x"), "gold_files": F.lit(1)}))),
           "SELECT traj_id, 4 AS n_columns FROM v_runs"),
-    Query("b14_safe_targets", "prefix_id:s target_success:i target_failure:i",
-          lambda t: ingest.safe_targets(ingest.expand_prefixes(trial_runs(t)), 3),
-          """SELECT prefix_id, (label = 1 AND prefix_step_idx >= 3)::INT AS target_success, (label = 0 AND prefix_step_idx >= 3)::INT AS target_failure FROM v_prefixes"""),
-    Query("b22_dedup_trajectories", "instance_id:s traj_id:i model_id:s resolved:i",
-          lambda t: ingest.dedup_first(t.runs(), "instance_id", "traj_id"),
-          "SELECT instance_id, traj_id, model_id, resolved FROM v_runs QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY traj_id) = 1"),
+    *[
+        Query(key, "prefix_id:s target_success:i target_failure:i", lambda t, step=step: ingest.safe_targets(ingest.expand_prefixes(trial_runs(t)), step),
+              f"SELECT prefix_id, (label = 1 AND prefix_step_idx >= {step})::INT AS target_success, (label = 0 AND prefix_step_idx >= {step})::INT AS target_failure FROM v_prefixes")
+        for key, step in (("b14_safe_targets", fixed.SAFE_TARGET_MIN_STEP), ("b14_safe_targets_early", 3))
+    ],
+    Query("b22_dedup_trajectories", "traj_id:i prefix_step_idx:i p_success:d p_failure:d",
+          lambda t: ingest.dedup_first(t.preds(), "traj_id", ["prefix_step_idx"]),
+          "SELECT traj_id, prefix_step_idx, p_success, p_failure FROM v_preds QUALIFY row_number() OVER (PARTITION BY traj_id ORDER BY prefix_step_idx) = 1"),
     Query("e32_adapter_failure_summary", "model_dir:s stage:s reason:s label:s failures:i", lambda t: ingest.failure_summary(checked(t)),
           """SELECT model_dir, stage, reason, CASE WHEN kind IN (0, 3, 7) THEN 'UNKNOWN' WHEN kind IN (4, 5) THEN 'true' ELSE CAST(resolved AS VARCHAR) END AS label, count(*) AS failures
              FROM v_docs WHERE status = 'FAIL' GROUP BY 1, 2, 3, 4"""),

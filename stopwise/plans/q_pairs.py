@@ -78,7 +78,7 @@ def eligible_targets(t):
 view("v_mt", "SELECT model_id, instance_id, count(*) AS n, sum(resolved) AS r FROM v_runs GROUP BY 1, 2")
 view("v_models", "SELECT model_id, row_number() OVER (ORDER BY model_id) - 1 AS i FROM (SELECT DISTINCT model_id FROM v_runs) x")
 view("v_pairs", """
-SELECT 'pair-' || lpad(CAST(a.i AS VARCHAR), 2, '0') || lpad(CAST(b.i AS VARCHAR), 2, '0') AS pair_id, a.model_id AS agent_a, b.model_id AS agent_b
+SELECT 'pair-' || CAST(a.i AS VARCHAR) || '-' || CAST(b.i AS VARCHAR) AS pair_id, a.model_id AS agent_a, b.model_id AS agent_b
 FROM v_models a JOIN v_models b ON a.i < b.i""")
 view("v_sides", """
 SELECT pair_id, 'A' AS side, agent_a AS model_id, agent_b AS partner FROM v_pairs

@@ -258,7 +258,7 @@ QUERIES = [
     Query("f6_fold_tfidf", "fold:s row_id:i terms:i id_sum:i squared_norm:d weight_sum:d max_weight:d",
           lambda t: text.tfidf_summary(text.fold_tfidf(doc_counts(t), doc_rows(t), doc_cells(t))),
           """SELECT fold, row_id, count(*) AS terms, sum(term_id) AS id_sum, sum(raw_weight * raw_weight) AS squared_norm, sum(weight) AS weight_sum, max(weight) AS max_weight
-             FROM v_tfidf GROUP BY 1, 2""", digits=4),
+             FROM v_tfidf GROUP BY 1, 2""", digits=5),
     Query("f7_fold_svd", "fold:s role:s component:i rows:i spread:d", svd_rows),
     Query("f8_dense_features", "fold:s role:s task_group_cat:s rows:i late:i progress_sum:d step_sum:d progress_min:d",
           lambda t: dense_rows(t).groupBy("fold", "role", "task_group_cat").agg(

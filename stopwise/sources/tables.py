@@ -1,8 +1,7 @@
 """Views of the audit's data model over the star-schema tables.
 
-Every view is derived row by row or by a hash aggregate with map-side combine, so a key that owns
-a large share of the rows is combined before it is shuffled. The one window (total steps of a run)
-sees at most one row per line number and run.
+Every view is derived row by row, but for one window over the lines of a run that numbers its steps;
+the steps of a run are the unit of the data model and are small against a partition.
 """
 
 from __future__ import annotations
@@ -74,18 +73,21 @@ class Tables:
         )
 
     def _lines(self) -> DataFrame:
+        """Every line of a run as one step, numbered in a total order (line numbers repeat)."""
         flag = F.col("l_returnflag")
-        return (
-            self.read("lineitem")
-            .groupBy(F.col("l_orderkey").alias("traj_id"), (F.col("l_linenumber") - 1).alias("prefix_step_idx"))
-            .agg(
-                F.max("l_quantity").alias("quantity"),
-                F.max("l_discount").alias("discount"),
-                F.min("l_tax").alias("min_tax"),
-                F.bool_or(flag == "A").alias("test_pass"),
-                F.bool_or(flag == "R").alias("test_fail"),
-                F.bool_or((F.col("l_linestatus") == "O") & (F.col("l_tax") >= 0.07)).alias("traceback"),
-            )
+        order = Window.partitionBy("l_orderkey").orderBy(
+            "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
+            "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+        )
+        return self.read("lineitem").select(
+            F.col("l_orderkey").alias("traj_id"),
+            (F.row_number().over(order) - 1).alias("prefix_step_idx"),
+            F.col("l_quantity").alias("quantity"),
+            F.col("l_discount").alias("discount"),
+            F.col("l_tax").alias("min_tax"),
+            (flag == "A").alias("test_pass"),
+            (flag == "R").alias("test_fail"),
+            ((F.col("l_linestatus") == "O") & (F.col("l_tax") >= 0.07)).alias("traceback"),
         )
 
     def preds(self) -> DataFrame:
