@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stopwise.llm.graph import components, forest
+from stopwise.llm.sampling import smallest
 from stopwise.session import materialize
 
 SAMPLE = 20_000
@@ -119,7 +120,7 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     # cells for the most frequent length; vectors of another length share one cell per length
     common = reps.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim, n = (common[0]["dim"], common[0]["count"]) if common else (1, 0)
-    drawn = reps.where(F.col("dim") == dim).select("rep", "unit").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect() if n else []
+    drawn = smallest(reps.where(F.col("dim") == dim).select("rep", "unit"), "rep", SAMPLE) if n else []
     sample = unpack([r["unit"] for r in drawn], dim)
     k = max(1, min(n // CELL, MAX_CELLS, len(sample)))
     cells = Cells(fit_cells(sample, k) if len(sample) else np.zeros((1, dim)), threshold)

@@ -34,6 +34,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stopwise.llm.sampling import smallest
 from stopwise.session import materialize
 
 KEYED = r"(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)"
@@ -188,8 +189,11 @@ def planted_findings(docs: DataFrame, rows: int = 1500, each: int = 4, longest:
     The sample is bounded: ``rows`` documents of at most ``longest`` characters, the smallest by a hash of the id.
     """
     short = docs.where(F.col("doc_id").isNotNull() & (F.char_length("text") <= longest) & (F.col("text") != ""))
-    order = [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id"), F.col("text")]
-    sample = short.select("doc_id", "text", F.col("source").cast("string").alias("source")).orderBy(*order).limit(rows).collect()
+    # ids first, then the texts of these few
+    picked = smallest(short.select("doc_id").distinct(), "doc_id", rows, seed)
+    chosen = docs.sparkSession.createDataFrame(picked, docs.select("doc_id").schema)
+    found = short.select("doc_id", "text", F.col("source").cast("string").alias("source")).join(F.broadcast(chosen), "doc_id")
+    sample = found.groupBy("doc_id").agg(F.min(F.struct("text", "source")).alias("r")).orderBy("doc_id").select("doc_id", "r.*").collect()
     out = []
     for row in sample:
         rng = random.Random(f"{seed}:{row['doc_id']}")
