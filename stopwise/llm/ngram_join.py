@@ -4,12 +4,12 @@ The global order of n-grams is that of their 64-bit hashes. Cutting it at fixed
 document's n-gram set into fragments, and everything below works on fragments:
 
 * Candidates. Two sets with similarity t differ in at most k n-grams, where k follows from their
-  sizes. Cut into k + 2 fragments, at least two fragments agree entirely; so documents are candidates
+  sizes. Cut into k + 1 + s fragments, at least 1 + s fragments agree entirely; so documents are candidates
   when a fragment, as a whole, is equal. Passages or n-grams that very many documents share don't
   make candidates of them, as a whole fragment has to agree. Size classes (growing by the factor 1 / t)
   give the number of fragments; a document is cut for its own class and for the next larger one, so
   any pair within the size bound is cut alike once. Empty fragments agree with all others, so they
-  make no candidates; a set with two or more of them is cut again by another hash (up to 8 times, after
+  make no candidates; a set with more than s of them is cut again by another hash (up to 8 times, after
   that its empty fragments count), and a pair that agrees in empty fragments only has both sets cut again.
 * Overlaps. For a candidate pair the fragments of both sets (a coarse cut) are joined, each fragment's
   overlap is counted separately, and the counts are summed per pair. Links are exact.
@@ -108,7 +108,9 @@ def _fragment_keys(grams: np.ndarray, sizes: np.ndarray, threshold: Threshold) -
         tag = own + step
         lower = upper[np.maximum(tag - 1, 0)]
         most = threshold.differences(lower, upper[tag])
-        pieces = np.where((most > 0) & (sizes > 0), most + 1 + SLACK, 0)
+        # allow three times the empty fragments that are to be expected, so that few sets are cut again
+        slack = SLACK + np.ceil(3 * (most + 1) * np.exp(-lower / (most + 1))).astype(np.int64)
+        pieces = np.where((most > 0) & (sizes > 0), most + 1 + slack, 0)
         todo = np.flatnonzero(pieces)
         for cut in range(CUTS):
             if not len(todo):
@@ -129,7 +131,7 @@ def _fragment_keys(grams: np.ndarray, sizes: np.ndarray, threshold: Threshold) -
             keys.append(mix64(np.add.reduceat(mix64(values), first) + mix64(fragment[first] + salt)))
             owners.append(todo[owner[first]])
             filled = np.bincount(owner[first], minlength=len(todo))
-            bad = m - filled > SLACK
+            bad = m - filled > slack[todo]
             if cut == CUTS - 1 and bad.any():
                 taken = set(zip(owner[first].tolist(), fragment[first].tolist()))
                 for i in np.flatnonzero(bad).tolist():
@@ -187,8 +189,8 @@ def set_sizes(docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
 def votes_needed(threshold: Threshold) -> Column:
     """Fewest equal fragments of a linked pair (a, n_a, cap_a, b, n_b, cap_b).
 
-    In the cut for the smaller set's class there are cap + 1 + SLACK fragments. At most as many as the
-    pair's sizes allow differ, and SLACK of the equal ones are empty.
+    In the cut for the smaller set's class there are cap + 1 + s fragments. At most as many as the
+    pair's sizes allow differ, and s of the equal ones are empty.
     """
     cap = F.when(F.col("n_a") <= F.col("n_b"), F.col("cap_a")).otherwise(F.col("cap_b"))
     most = F.floor((F.col("n_a") + F.col("n_b")) * (threshold.den - threshold.num) / F.lit(threshold.den + threshold.num))
@@ -198,7 +200,7 @@ def votes_needed(threshold: Threshold) -> Column:
 def fragment_groups(docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
     """``key, doc_id`` of the fragments that at least two documents have.
 
-    Keys travel as packed arrays, dealt out by key range; copies inside a batch are sent once.
+    Keys travel as packed arrays, dealt out by key range; copies inside a task are sent once.
     """
     ranges = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -214,10 +216,10 @@ def fragment_groups(docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["part", "keys", "docs"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        keys, owners, n = [], [], 0
         for batch in batches:
             ids = np.asarray(batch.column(0))
-            seen: set[tuple[int, int]] = set()
-            keys, owners, n = [], [], 0
             for first, grams, sizes in _sets(column_bytes(batch.column(1)), k):
                 new = np.zeros(len(sizes), bool)
                 for i, digest in enumerate(zip(*(x.tolist() for x in _digest(grams, sizes)))):
@@ -232,8 +234,8 @@ def fragment_groups(docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
                 if n >= PACKED:
                     yield deal(keys, owners)
                     keys, owners, n = [], [], 0
-            if n:
-                yield deal(keys, owners)
+        if n:
+            yield deal(keys, owners)
 
     def group(data: pa.Table) -> pa.Table:
         # the low six bytes travel: keys of one range that agree in them count as equal, which at worst makes a candidate
