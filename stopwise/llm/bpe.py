@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Longest pre-token kept in a worker's memo, and entries after which the memo starts anew.
-MEMO_BYTES, MEMO_ENTRIES = 64, 600_000
+MEMO_BYTES, MEMO_ENTRIES = 64, 200_000
 #: Characters of text whose pre-tokens are looked up together; longer texts are taken alone and whole.
-BUFFER_CHARS = 4_000_000
+BUFFER_CHARS = 3_000_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

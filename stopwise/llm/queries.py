@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 from stopwise.llm import bpe, embeddings, fingerprints, mixing, ngram_join, oracles, secrets, tokens, toxicity, urls, warc
 
 
+#: Rows of an Arrow batch. Texts are long, and a batch is held several times over.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
