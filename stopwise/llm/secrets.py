@@ -10,10 +10,11 @@
 Labelled findings come as a table. Where none exists, ``planted_findings`` makes one: in a bounded sample
 of documents it plants values whose label is known by construction: drawn secrets of several shapes, and
 look-alikes (checksums after "commit" or "sha", numbers, identifiers, words of the document itself,
-placeholders). Values and places are drawn from a seed.
+placeholders, embedded data). Values and places are drawn from a seed.
 
 Defined results: a null or empty text has no findings. Overlapping candidates are reported once, the
-leftmost and longest. Repeated rows are scanned each. Positions count code points. A finding never holds
+leftmost and longest, and whole: neither a value nor a run has a greatest length, and a PEM block goes up to
+its END line. Repeated rows are scanned each. Positions count code points. A finding never holds
 its value, only its place, kind, length and a digest. Extra columns are kept by ``redact`` and ignored by
 ``scan``. An empty table gives an empty result.
 """
@@ -38,6 +39,11 @@ from stopwise.llm.sampling import smallest
 from stopwise.session import materialize
 
 KEYED = r"(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)"
+#: A PEM block up to its END line, or where it is cut off, up to the last line of key characters.
+PEM = (
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:(?:\s|\\[nr])++[0-9A-Za-z+/]{16,}+={0,2})*+)"
+)
 #: Shapes with a fixed mark.
 SHAPES = (
     r"AKIA[0-9A-Z]{16}",
@@ -45,12 +51,12 @@ SHAPES = (
     r"xox[abprs]-[0-9A-Za-z-]{10,}",
     r"sk-[0-9A-Za-z_-]{20,}",
     r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{4,}",
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
+    PEM,
 )
 CANDIDATE = re.compile(
-    rf"""(?P<keyed>{KEYED}['"]?\s{{0,3}}[:=]\s{{0,3}}["']?(?P<value>[^\s"'<>,;]{{6,200}}))"""
+    rf"""(?P<keyed>{KEYED}['"]?\s{{0,3}}[:=]\s{{0,3}}["']?(?P<value>{PEM}|(?:(?!-----BEGIN )[^\s"'<>,;]){{6,}}+))"""
     rf"""|(?P<shape>{"|".join(SHAPES)})"""
-    r"""|(?P<run>(?<![0-9A-Za-z+/_-])(?=[A-Za-z+/_-]*[0-9])[0-9A-Za-z+/_-]{16,200}={0,2})"""
+    r"""|(?P<run>(?<![0-9A-Za-z+/_-])(?=[A-Za-z+/_-]*[0-9])[0-9A-Za-z+/_-]{16,}+={0,2})"""
 )
 NEAR = 40
 WORD = re.compile(r"[^\W\d_]{2,}")
@@ -154,7 +160,8 @@ def _draw(rng: random.Random, text: str) -> tuple[str, str, int]:
     some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
     name = rng.choice(("token", "password", "secret", "api_key", "access_key", "auth_token", "pwd"))
     sign = rng.choice((" = ", "=", ": ", ' = "', '="'))
-    kind = rng.randrange(12)
+    base64 = letters + "+/"
+    kind = rng.randrange(16)
     if kind == 0:
         return name + sign, some("0123456789abcdef", rng.choice((32, 40, 64))), 1
     if kind == 1:
@@ -167,7 +174,20 @@ def _draw(rng: random.Random, text: str) -> tuple[str, str, int]:
         return name + sign, some(letters + "!#%&*+-_", rng.randint(8, 16)), 1
     if kind == 5:
         return rng.choice(("bearer ", "private key ", "login ")), some(letters, rng.randint(24, 40)), 1
+    if kind == 12:
+        token = ".".join(("eyJ" + some(letters + "_-", rng.randint(16, 40)), "eyJ" + some(letters + "_-", rng.randint(30, 500)), some(letters + "_-", rng.randint(20, 350))))
+        return rng.choice(("", "bearer ", name + sign)), token, 1
+    if kind == 13:
+        lines = [some(base64, 64) for _ in range(rng.randint(1, 26))] + [some(base64, rng.randint(4, 60)) + "="]
+        mark = rng.choice(("RSA ", "EC ", "OPENSSH ", "")) + "PRIVATE KEY-----"
+        end = rng.choice(("\n", "\n", "\\n"))
+        return rng.choice(("", "\n", name + sign)), end.join((f"-----BEGIN {mark}", *lines, f"-----END {mark}")), 1
+    if kind == 14:
+        return rng.choice(("key ", "private key ", name + sign)), some(base64, rng.randint(80, 700)) + rng.choice(("", "=", "==")), 1
     word = rng.choice(PUBLIC_WORDS) + " "
+    if kind == 15:
+        long = some(base64, rng.randint(80, 700)) + rng.choice(("", "=", "=="))
+        return rng.choice(("data:image/png;base64,", "data:font/woff2;base64,", "checksum sha512-", "image ")), long, 0
     if kind == 6:
         return word, some("0123456789abcdef", rng.choice((32, 40, 64))), 0
     if kind == 7:
@@ -177,7 +197,7 @@ def _draw(rng: random.Random, text: str) -> tuple[str, str, int]:
         return word, "-".join((hexes[:8], hexes[8:12], hexes[12:16], hexes[16:20], hexes[20:])), 0
     words = WORD.findall(text[:2000]) or ["plain"]
     if kind == 9:
-        return rng.choice(("", "see /")), "-".join(rng.choice(words) for _ in range(4)) + f"-{rng.randrange(100)}", 0
+        return rng.choice(("", "see /")), "-".join(rng.choice(words) for _ in range(rng.choice((4, 4, 12, 40)))) + f"-{rng.randrange(100)}", 0
     if kind == 10:
         return name + sign, rng.choice(("changeme", "xxxxxxxx", "<password>", "your_token_here", "example", "********", "${TOKEN}", "password1")), 0
     return name + rng.choice((": ", " = ")), rng.choice(words).lower() + rng.choice(words).lower(), 0
