@@ -2,8 +2,7 @@
 
 1. Candidates are keyed values (``password = ...``), known key shapes, and long runs of key characters.
 2. Features of a candidate: length and character classes, entropy, how usual its character transitions are
-   and how much of it is covered by dictionary words (both learnt from the texts of the training sample),
-   whether it lies in a path or url, what the source's path says (test, example, docs), and the words before
+   and how much of it is covered by dictionary words (both counted over all whole texts, in Spark), whether it lies in a path or url, what the source's path says (test, example, docs), and the words before
    and after it.
 3. A random forest (Spark ML) is trained on labelled findings and gives every candidate a probability.
 
@@ -64,6 +63,12 @@ SECRET_WORDS = re.compile(rf"{KEYED}|\bkey\b|(?i:private|bearer|login)")
 OTHER_WORDS = re.compile(r"(?i:commit|sha\d*|md5|checksum|digest|hash|uuid|guid|version|build|invoice|order|card|phone|example|sample|dummy|test)")
 EXAMPLE_PATH = re.compile(r"(?i)(?:^|[/_.-])(?:tests?|examples?|samples?|docs?|fixtures?|mocks?)(?:$|[/_.-])")
 FEATURES = 20
+#: Letters of a dictionary word.
+SHORTEST, LONGEST = 3, 12
+#: Kinds of rows of the language counts.
+PAIR, KNOWN, ALL = range(3)
+#: What a task counts at once: characters read, and distinct words.
+HELD_CHARS, HELD_WORDS = 1 << 24, 100_000
 SCHEMA = "doc_id long, start int, end int, kind string, length int, digest string, features array<double>"
 
 
@@ -84,7 +89,7 @@ class Language:
         """Share of the value's characters in dictionary words of at least three letters, longest first."""
         low, i, hit = value.lower(), 0, 0
         while i < len(low):
-            for n in range(min(12, len(low) - i), 2, -1):
+            for n in range(min(LONGEST, len(low) - i), SHORTEST - 1, -1):
                 if low[i : i + n] in self.words:
                     hit += n
                     i += n
@@ -94,16 +99,60 @@ class Language:
         return hit / max(1, len(low))
 
 
-def learn_language(texts: list[str], words: int = 5000) -> Language:
-    seen, pairs = Counter(), Counter()
-    for text in texts:
-        found = [w.lower() for w in WORD.findall(text)]
-        seen.update(found)
-        for word in found:
-            pairs.update(word[i : i + 2] for i in range(len(word) - 1))
+def _language_counts(docs: DataFrame) -> DataFrame:
+    """``lang, kind, key, n``: letter pairs and dictionary words of all texts, and all words per language.
+
+    A task counts words before it sends them; pairs are taken from its distinct words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, Counter] = {}
+        chars = 0
+
+        def flush() -> pa.RecordBatch:
+            out = Counter()
+            for lang, words in seen.items():
+                for word, n in words.items():
+                    low = word.lower()
+                    for i in range(len(low) - 1):
+                        out["", PAIR, low[i : i + 2]] += n
+                    if SHORTEST <= len(low) <= LONGEST:
+                        out[lang, KNOWN, low] += n
+                out[lang, ALL, ""] += words.total()
+            seen.clear()
+            langs, kinds, keys = zip(*out) if out else ((), (), ())
+            types = (pa.string(), pa.int32(), pa.string(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((langs, kinds, keys, list(out.values())), types)], ["lang", "kind", "key", "n"])
+
+        for batch in batches:
+            for text, lang in zip(*(c.to_pylist() for c in batch.columns)):
+                seen.setdefault(lang or "", Counter()).update(WORD.findall(text or ""))
+                chars += len(text or "")
+                if chars >= HELD_CHARS or sum(map(len, seen.values())) >= HELD_WORDS:
+                    yield flush()
+                    chars = 0
+        yield flush()
+
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    counted = docs.select("text", lang.alias("lang")).mapInArrow(run, "lang string, kind int, key string, n long")
+    return counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+
+
+def learn_language(docs: DataFrame, words: int = 500_000) -> Language:
+    """Statistics of all texts of ``docs``: every letter pair, and the words that are frequent in their language.
+
+    With L languages a word is known if its share of the words of a language is at least L / ``words``. At
+    most ``words`` / L words of one language can reach that share, so never more than ``words`` in all.
+    Words over LONGEST letters are left out, as ``covered`` looks for none.
+    """
+    counts = materialize(_language_counts(docs), "language")
+    totals = counts.where(F.col("kind") == ALL).select("lang", F.col("n").alias("of"))
+    langs = totals.count()
+    frequent = counts.where(F.col("kind") == KNOWN).join(totals, "lang").where(F.col("n") * F.lit(float(words)) >= F.col("of") * F.lit(float(langs)))
+    known = frozenset(key for (key,) in frequent.select("key").distinct().collect())
+    pairs = {r["key"]: r["n"] for r in counts.where(F.col("kind") == PAIR).select("key", "n").collect()}
     total = sum(pairs.values()) + 1
-    ranked = sorted(seen.items(), key=lambda item: (-item[1], item[0]))[:words]
-    return Language({p: math.log(n / total) for p, n in pairs.items()}, frozenset(w for w, _ in ranked if len(w) > 2), math.log(0.5 / total))
+    return Language({p: math.log(n / total) for p, n in pairs.items()}, known, math.log(0.5 / total))
 
 
 def entropy(value: str) -> float:
@@ -203,8 +252,8 @@ def _draw(rng: random.Random, text: str) -> tuple[str, str, int]:
     return name + rng.choice((": ", " = ")), rng.choice(words).lower() + rng.choice(words).lower(), 0
 
 
-def planted_findings(docs: DataFrame, rows: int = 1500, each: int = 4, longest: int = 4000, seed: int = 11) -> tuple[list[tuple[str, str | None, int, int, str, int]], list[str]]:
-    """(text around, source, start, end, kind, label) of planted values, and the sampled texts.
+def planted_findings(docs: DataFrame, rows: int = 1500, each: int = 4, longest: int = 4000, seed: int = 11) -> list[tuple[str, str | None, int, int, str, int]]:
+    """(text around, source, start, end, kind, label) of planted values.
 
     The sample is bounded: ``rows`` documents of at most ``longest`` characters, the smallest by a hash of the id.
     """
@@ -228,7 +277,7 @@ def planted_findings(docs: DataFrame, rows: int = 1500, each: int = 4, longest:
                 if s < start + len(value) and e > start:
                     out.append((text, row["source"], s, e, kind, label))
                     break
-    return out, [r["text"] for r in sample]
+    return out
 
 
 @dataclass
@@ -240,9 +289,8 @@ class Scanner:
 def train(docs: DataFrame, findings: list[tuple] | None = None, trees: int = 30, depth: int = 8, seed: int = 11) -> Scanner:
     """Fit on labelled findings (text, source, start, end, kind, label), or on planted ones of ``docs``."""
     spark = docs.sparkSession
-    planted, texts = planted_findings(docs, seed=seed)
-    labelled = findings if findings is not None else planted
-    language = learn_language(texts)
+    labelled = findings if findings is not None else planted_findings(docs, seed=seed)
+    language = learn_language(docs)
     rows = [(float(label), features(text, s, e, kind, source, language)) for text, source, s, e, kind, label in labelled]
     if len({label for label, _ in rows}) < 2:  # too little text to learn from: one clear case of each kind
         clear = (("token = 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", 8, 48, "keyed", 1), ("card 4994226020900891 of", 5, 21, "run", 0))

@@ -1,7 +1,10 @@
 """Secret scans: whole values of any length, forms the patterns must reach, corpus statistics."""
 
+import math
 import random
+import re
 import time
+from collections import Counter
 
 import pytest
 
@@ -72,3 +75,26 @@ def test_long_secrets_leave_nothing_behind(spark):
         left[name] = sum(piece in cleaned[1000 + i] for piece in pieces)
     assert not any(left.values()), left
     assert LONG in cleaned[2000]
+
+
+def test_language_is_counted_over_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "HELD_WORDS", 500)
+    rng = random.Random(2)
+    words = ["".join(rng.choice("aeioulnrstäß") for _ in range(rng.randint(2, 14))) for _ in range(6000)]
+    rows = [(" ".join(rng.choice(words).title() for _ in range(40)), "en") for _ in range(2500)]
+    rows += [("filler nest " * 1000 + "Quixotry", "xx"), (None, "en"), ("", None), ("lone stem", None)]
+    docs = spark.createDataFrame([(i, *r, "s") for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string").repartition(5)
+    found = [w.lower() for text, _ in rows for w in re.findall(r"[^\W\d_]{2,}", text or "")]
+    pairs = Counter(w[i : i + 2] for w in found for i in range(len(w) - 1))
+    total = sum(pairs.values()) + 1
+    for language in (secrets.learn_language(docs), secrets.train(docs).language):
+        # a document over 4,000 characters, a rare language, more documents than the sample's, more words than 5,000
+        assert language.words == {w for w in found if 3 <= len(w) <= 12} and "quixotry" in language.words
+        assert language.transitions == {p: pytest.approx(math.log(n / total)) for p, n in pairs.items()}
+        assert language.rare == pytest.approx(math.log(0.5 / total))
+    # three languages share the bound; "lone" and "stem" are half of theirs each, no other word is a quarter
+    assert secrets.learn_language(docs, words=6).words == {"lone", "stem"}
+    few = secrets.learn_language(docs, words=60).words
+    assert {"lone", "stem", "filler", "nest"} <= few and len(few) <= 60
+    assert secrets.learn_language(docs.limit(0)).words == frozenset()
+    assert secrets.learn_language(docs.drop("lang")).words == secrets.learn_language(docs).words
