@@ -144,3 +144,40 @@ running AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang_key, source_key ORD
 cuts AS (SELECT domain, lang_key, source_key, min(place) FILTER (rest > 0 AND upto >= rest) AS cut FROM running GROUP BY 1, 2, 3)
 SELECT doc_id, domain, lang, source, unnest(range(CASE WHEN place <= cut THEN whole + 1 ELSE whole END)) AS epoch
 FROM placed JOIN cuts USING (domain, lang_key, source_key)"""
+
+
+#: Every mask meets every order here, unlike in the operator.
+FILTER_AUDIT = """
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws
+  FROM documents),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS mask
+  FROM texts LEFT JOIN marks USING (doc_id)),
+counts AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM masks GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS o FROM letters a
+  JOIN letters b ON b.l <> a.l JOIN letters c ON c.l NOT IN (a.l, b.l) JOIN letters d ON d.l NOT IN (a.l, b.l, c.l)
+  JOIN letters e ON e.l NOT IN (a.l, b.l, c.l, d.l)),
+steps AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+met AS (
+  SELECT part, o, step, n, good, toxic, mask, o[step] AS l, contains(mask, o[step]) AS fails,
+    len(list_filter(string_split(o[1:step - 1], ''), lambda x: x <> '' AND contains(mask, x))) > 0 AS gone
+  FROM counts CROSS JOIN steps),
+sums AS (
+  SELECT part, o, step, l,
+    coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND fails), 0) AS removed,
+    coalesce(sum(n) FILTER (gone AND fails), 0) AS redundant, coalesce(sum(n) FILTER (mask = l), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (NOT gone AND fails), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND fails), 0) AS toxic_lost
+  FROM met GROUP BY part, o, step, l)
+SELECT part, o AS filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, l) AS BIGINT) AS shapley
+FROM sums"""

@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm import bpe, embeddings, fingerprints, mixing, ngram_join, oracles, secrets, tokens, toxicity, urls, warc
+from stopwise.llm import (
+    bpe,
+    embeddings,
+    filter_audit,
+    fingerprints,
+    mixing,
+    ngram_join,
+    oracles,
+    secrets,
+    tokens,
+    toxicity,
+    urls,
+    warc,
+    whitening,
+    word_bpe,
+)
 
 
 #: Rows of an Arrow batch. Texts are long, and a batch is held several times over.
@@ -108,6 +123,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return word_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_embeddings": op2_embeddings,
@@ -119,6 +149,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_whitening": op12_whitening,
+    "op13_word_bpe": op13_word_bpe,
 }
 
 SQL: dict[str, str] = {
@@ -127,4 +160,5 @@ SQL: dict[str, str] = {
     "op6_url_filter": oracles.url_filter(RULES),
     "op7_warc": oracles.WARC,
     "op8_mixing": oracles.mix(0.6, WEIGHTS, 2, 7, DOMAINS),
+    "op11_filter_audit": oracles.FILTER_AUDIT,
 }
