@@ -117,10 +117,14 @@ def fold_vocabulary(
 def fold_tfidf(counts: DataFrame, rows: DataFrame, cells: DataFrame, max_features: int = fixed.MAX_FEATURES) -> DataFrame:
     """(fold, row, term, weight): (1 + ln count) x idf of the fold, each row scaled to length one.
 
-    Terms outside the fold's vocabulary add nothing. The norm's window holds the terms of one row.
+    Terms outside the fold's vocabulary add nothing. Counts meet one row per term that packs all folds, and
+    travel by row before they fan out to folds, so the fan-out and the norm's window (the terms of one row)
+    stay inside a task.
     """
-    vocab = fold_vocabulary(counts, rows, cells, max_features).select("fold", "term", "term_id", "idf")
-    raw = counts.join(vocab, "term").withColumn("w", (1 + F.ln("cnt")) * F.col("idf"))
+    vocab = fold_vocabulary(counts, rows, cells, max_features)
+    packed = vocab.groupBy("term").agg(F.collect_list(F.struct("fold", "term_id", "idf")).alias("folds"))
+    placed = counts.join(packed, "term").repartition("row_id")
+    raw = placed.select("row_id", "term", "cnt", F.inline("folds")).withColumn("w", (1 + F.ln("cnt")) * F.col("idf"))
     row = Window.partitionBy("fold", "row_id")
     return raw.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(row))).select(
         "fold", "row_id", "term", "term_id", F.col("w").alias("raw_weight"), stats.ratio("w", "norm").alias("weight")
@@ -153,39 +157,3 @@ def token_profile(rows: DataFrame, by: Sequence[str], text: str, full_rows: int)
         F.avg("n_terms").alias("terms_per_row"),
         (F.avg("n_terms") * F.lit(full_rows)).alias("projected_nonzeros"),
     )
-
-
-def fold_components(weights: DataFrame, roles: DataFrame, fold: str, k: int = fixed.COMPONENTS):
-    """Truncated SVD of a fold's TRAIN rows: singular values and the right singular vectors.
-
-    Rows go to the distributed matrix as sparse vectors; only k x k and terms x k results come back.
-    """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    train = weights.where(F.col("fold") == fold).join(
-        roles.where((F.col("fold") == fold) & (F.col("role") == "train")).select("row_id"), "row_id", "left_semi"
-    )
-    size = (train.select(F.max("term_id")).first()[0] or 0) + 1
-    items = F.array_sort(F.collect_list(F.struct("term_id", "weight")))
-    packed = train.groupBy("row_id").agg(items.alias("items"))
-    matrix = RowMatrix(
-        packed.select("items.term_id", "items.weight").rdd.map(lambda r: Vectors.sparse(size, r[0], r[1])).cache()
-    )
-    return matrix.computeSVD(min(k, size - 1))
-
-
-def project_components(weights: DataFrame, svd, fold: str) -> DataFrame:
-    """Rows of any role projected on the fold's components: a join on term and a sum per row."""
-    spark = weights.sparkSession
-    v = svd.V.toArray()
-    table = spark.createDataFrame(
-        [(int(i), [float(x) for x in v[i]]) for i in range(v.shape[0])], "term_id int, load array<double>"
-    )
-    joined = weights.where(F.col("fold") == fold).join(table, "term_id")
-    parts = joined.select("row_id", "weight", F.posexplode("load").alias("component", "l"))
-    return parts.groupBy("row_id", "component").agg(F.sum(F.col("weight") * F.col("l")).alias("score"))
-
-
-def explained_variance(svd, n_rows: int, total: float) -> float:
-    return float(sum(float(s) ** 2 for s in svd.s) / total) if n_rows and total else 0.0

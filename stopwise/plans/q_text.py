@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stopwise import fixed
+from stopwise.operators import components
 from stopwise.operators import coverage as cov
 from stopwise.operators import folds, heads, ingest, text
 from stopwise.operators import pairs as pr
@@ -147,21 +148,55 @@ FROM v_dense_raw d LEFT JOIN (SELECT fold, avg(progress) AS pm, stddev_pop(progr
 
 # ---- rows-only plans ---------------------------------------------------------------------------
 
-def svd_rows(t, k: int = 8, max_features: int = 512):
-    """Spread of the fold components per fold and role, on every document."""
-    from stopwise.session import shared_dir
-    from stopwise.sources import files
+@once(keep=True)
+def fold_weights(t):
+    return text.fold_tfidf(doc_counts(t), doc_rows(t), doc_cells(t)).select("fold", "row_id", F.col("term_id").cast("int").alias("term_id"), "weight")
+
+
+@once(keep=True)
+def kept_doc_roles(t):
+    return doc_roles(t).select("fold", "row_id", "role")
+
+
+@once()
+def svd_blocks(t):
+    return components.pack_rows(fold_weights(t), kept_doc_roles(t))
+
+
+@once()
+def svd_basis(t):
+    sizes = fold_weights(t).groupBy("fold").agg((F.max("term_id") + 1).alias("size"))
+    return components.fold_components(svd_blocks(t), sizes)
+
+
+@once(keep=True)
+def svd_scores(t):
+    return components.project(svd_blocks(t), svd_basis(t))
+
+
+@once(keep=True)
+def svd_moments(t):
+    return components.column_moments(fold_weights(t), kept_doc_roles(t))
+
+
+def svd_rows(t):
+    """Spread of the fold components per fold and role, on every document, with what they explain of the train rows."""
+    scores = svd_scores(t)
+    parts = scores.select("fold", "role", F.posexplode("score").alias("component", "s"))
+    spread = parts.groupBy("fold", "role", "component").agg(F.count(F.lit(1)).alias("rows"), F.stddev_pop("s").alias("spread"))
+    singular = svd_basis(t).select("fold", F.posexplode("singular").alias("component", "singular"))
+    return spread.join(singular, ["fold", "component"]).join(components.explained(scores, svd_moments(t)), ["fold", "component"], "left")
+
 
-    where = shared_dir(t.spark, "tfidf")
-    files.write_parquet(text.fold_tfidf(doc_counts(t), doc_rows(t), doc_cells(t), max_features).select("fold", "row_id", "term_id", "weight"), where, ["fold"])
-    weights, roles_ = t.spark.read.parquet(where), doc_roles(t)
-    out = None
-    for (fold,) in weights.select("fold").distinct().orderBy("fold").collect():
-        svd = text.fold_components(weights, roles_, fold, k)
-        rows = text.project_components(weights, svd, fold).join(roles_.where(F.col("fold") == fold).select("row_id", "role"), "row_id")
-        part = rows.groupBy("role", "component").agg(F.count(F.lit(1)).alias("rows"), F.stddev_pop("score").alias("spread")).withColumn("fold", F.lit(fold))
-        out = part if out is None else out.unionByName(part)
-    return out
+def svd_invariants(t):
+    """What must hold of every decomposition, and the two totals that the matrix alone decides."""
+    terms = fold_weights(t).groupBy("fold").agg(F.count_distinct("term_id").alias("terms"))
+    found = svd_basis(t).select("fold", F.aggregate("singular", F.lit(0.0), lambda a, x: a + x * x).alias("captured"), F.col("singular").alias("s"))
+    falling = F.forall(F.sequence(F.lit(1), F.greatest(F.size("s") - 1, F.lit(1))), lambda i: F.coalesce(F.get("s", i) <= F.get("s", i - 1), F.lit(True)))
+    joined = svd_moments(t).join(terms, "fold").join(found, "fold").join(components.orthonormality(svd_basis(t)), "fold")
+    return joined.select(
+        "fold", F.col("rows").alias("train_rows"), "terms", "components", F.col("trace").alias("gram_trace"), F.col("variance").alias("total_variance"),
+        (F.col("error") < 1e-9).alias("orthonormal"), (F.col("captured") <= F.col("trace") * (1 + 1e-9)).alias("within_trace"), falling.alias("falling"))
 
 
 def training_rows(t):
@@ -259,7 +294,15 @@ QUERIES = [
           lambda t: text.tfidf_summary(text.fold_tfidf(doc_counts(t), doc_rows(t), doc_cells(t))),
           """SELECT fold, row_id, count(*) AS terms, sum(term_id) AS id_sum, sum(raw_weight * raw_weight) AS squared_norm, sum(weight) AS weight_sum, max(weight) AS max_weight
              FROM v_tfidf GROUP BY 1, 2""", digits=5),
-    Query("f7_fold_svd", "fold:s role:s component:i rows:i spread:d", svd_rows),
+    Query("f7_fold_svd", "fold:s role:s component:i rows:i spread:d singular:d explained:d", svd_rows),
+    Query("f7_svd_invariants", "fold:s train_rows:i terms:i components:i gram_trace:d total_variance:d orthonormal:b within_trace:b falling:b", svd_invariants,
+          f"""WITH r AS (SELECT r.fold, d.row_id FROM v_doc_tokens d JOIN v_doc_roles r ON r.model_id = d.model_id AND r.instance_id = d.instance_id WHERE r.role = 'train'),
+               n AS (SELECT fold, count(*) AS n FROM r GROUP BY 1),
+               c AS (SELECT w.fold, w.term_id, sum(w.weight) AS s, sum(w.weight * w.weight) AS q FROM v_tfidf w JOIN r ON r.fold = w.fold AND r.row_id = w.row_id GROUP BY 1, 2),
+               v AS (SELECT fold, count(DISTINCT term_id) AS terms FROM v_tfidf GROUP BY 1)
+             SELECT c.fold, any_value(n.n) AS train_rows, any_value(v.terms) AS terms, least({fixed.COMPONENTS}, any_value(v.terms)) AS components, sum(c.q) AS gram_trace,
+               sum(c.q) / any_value(n.n) - sum(c.s * c.s) / (any_value(n.n) * any_value(n.n)) AS total_variance, true AS orthonormal, true AS within_trace, true AS falling
+             FROM c JOIN n ON n.fold = c.fold JOIN v ON v.fold = c.fold GROUP BY 1"""),
     Query("f8_dense_features", "fold:s role:s task_group_cat:s rows:i late:i progress_sum:d step_sum:d progress_min:d",
           lambda t: dense_rows(t).groupBy("fold", "role", "task_group_cat").agg(
               F.count(F.lit(1)).alias("rows"), F.sum("is_late").alias("late"), F.avg("progress_z").alias("progress_sum"), F.avg("prefix_step_idx_z").alias("step_sum"),
