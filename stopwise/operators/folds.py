@@ -91,18 +91,18 @@ def fold_leakage(roles: DataFrame, pairs: bool = False) -> DataFrame:
     )
 
 
-def fold_metadata(roles: DataFrame, features: int) -> DataFrame:
-    """Rows, feature width, priors and status of each fold."""
+def fold_metadata(roles: DataFrame, encoder: DataFrame) -> DataFrame:
+    """Rows, feature width, priors and status of each fold; ``encoder`` names the places of its vector."""
     of = lambda r: F.col("role") == r
-    return roles.groupBy("fold").agg(
+    summary = roles.groupBy("fold").agg(
         *[F.count_if(of(r)).alias(f"{r}_rows") for r in ("train", "valid", "test")],
         F.avg(F.when(of("train"), F.col("resolved"))).alias("train_prior"),
         F.avg(F.when(of("test"), F.col("resolved"))).alias("test_prior"),
-        F.lit(features).alias("features"),
         F.when((F.count_if(of("train")) > 0) & (F.count_if(of("valid")) > 0) & (F.count_if(of("test")) > 0), "FOLD_OK")
         .otherwise("FOLD_FAIL")
         .alias("status"),
     )
+    return summary.join(encoder.select("fold", F.size("names").alias("features")), "fold", "left")
 
 
 def row_index_summary(prefixes: DataFrame) -> DataFrame:

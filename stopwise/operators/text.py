@@ -141,8 +141,8 @@ def tfidf_summary(weights: DataFrame) -> DataFrame:
     )
 
 
-def token_profile(rows: DataFrame, by: Sequence[str], text: str, full_rows: int) -> DataFrame:
-    """Characters, tokens and distinct terms per row, and what a corpus of ``full_rows`` would hold."""
+def token_profile(rows: DataFrame, by: Sequence[str], text: str, full: DataFrame) -> DataFrame:
+    """Characters, tokens and distinct terms per row, and what a table with the rows of ``full`` would hold."""
     toks = tokens(text)
     sized = rows.select(
         *by,
@@ -155,5 +155,5 @@ def token_profile(rows: DataFrame, by: Sequence[str], text: str, full_rows: int)
         F.sum("chars").alias("chars"),
         F.sum("n_tokens").alias("tokens"),
         F.avg("n_terms").alias("terms_per_row"),
-        (F.avg("n_terms") * F.lit(full_rows)).alias("projected_nonzeros"),
+        (F.avg("n_terms") * full.select(F.count(F.lit(1)).alias("n")).scalar()).alias("projected_nonzeros"),
     )

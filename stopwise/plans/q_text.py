@@ -199,42 +199,89 @@ def svd_invariants(t):
         (F.col("error") < 1e-9).alias("orthonormal"), (F.col("captured") <= F.col("trace") * (1 + 1e-9)).alias("within_trace"), falling.alias("falling"))
 
 
-def training_rows(t):
-    rows = dense_rows(t)
-    return rows.withColumns({
-        "target_success": F.col("resolved"), "target_failure": 1 - F.col("resolved"),
-        "sample_weight": F.try_divide(F.lit(1.0), F.col("n_steps_total") + 1.0)})
+NUMERIC, CATEGORICAL = ["progress_z", "prefix_step_idx_z", "is_late"], ["task_group_cat"]
+RUN_KEYS = ["traj_id", "prefix_step_idx"]
+DOC_NUMERIC, DOC_CATEGORICAL = ["chars_z", "has_digit"], ["source_cat"]
+
 
+@once(keep=True)
+def kept_dense(t):
+    wanted = ["fold", "role", "model_id", *RUN_KEYS, *NUMERIC, *CATEGORICAL, "resolved", "n_steps_total"]
+    return dense_rows(t).select(*wanted)
 
-def trained(t, trees: int = 3):
-    from stopwise.session import shared_dir
-    from stopwise.sources import files
 
-    where = shared_dir(t.spark, "training")
-    wanted = ["fold", "role", "traj_id", "prefix_step_idx", "progress_z", "prefix_step_idx_z", "is_late", "task_group_cat", "target_success", "target_failure", "sample_weight"]
-    files.write_parquet(training_rows(t).select(*wanted), where, ["fold"])
-    rows = t.spark.read.parquet(where)
-    names = [r[0] for r in rows.select("fold").distinct().orderBy("fold").collect()]
-    return heads.train_dual_heads(rows, ["progress_z", "prefix_step_idx_z", "is_late"], ["task_group_cat"], names, trees)
+@once(keep=True)
+def run_encoder(t):
+    return heads.encoder_state(kept_dense(t), NUMERIC, CATEGORICAL)
+
+
+@once(keep=True)
+def training_rows(t):
+    """Assembled prefix rows with the safe targets of both heads and a weight that counts each run once."""
+    rows = heads.assemble(kept_dense(t), run_encoder(t), NUMERIC, CATEGORICAL)
+    rows = ingest.safe_targets(rows.withColumn("label", F.col("resolved")))
+    weighted = rows.withColumn("sample_weight", F.try_divide(F.lit(1.0), F.col("n_steps_total") + 1.0))
+    return weighted.select("fold", "role", *RUN_KEYS, "features", "sample_weight", *[f"target_{h}" for h in fixed.HEADS])
+
+
+def trained(t):
+    """Scores of both heads of all folds, with the heads' tree counts and best iterations."""
+    names = [r[0] for r in run_encoder(t).select("fold").orderBy("fold").collect()]
+    scores, fits = heads.train_dual_heads(training_rows(t), names, RUN_KEYS)
+    return scores, t.spark.createDataFrame(fits, "fold string, head string, trees int, best_iteration int")
 
 
 def trained_summary(t):
-    part = lambda h: F.struct(F.lit(h).alias("head"), F.col(f"prob_cal_{h}").alias("p"), F.col(f"target_{h}").cast("double").alias("y"))
-    return folds.calibration_summary(trained(t).select("fold", "role", F.inline(F.array(*[part(h) for h in fixed.HEADS]))))
+    scores, fits = trained(t)
+    summary = folds.calibration_summary(scores.select("fold", "head", "role", F.col("prob_cal").alias("p"), F.col("target").alias("y")))
+    return summary.join(fits, ["fold", "head"])
+
+
+def trained_rows(t):
+    scores, fits = trained(t)
+    whole = lambda c: F.bool_and(F.col(c).between(0.0, 1.0))
+    counted = scores.groupBy("fold", "head", "role").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("target").alias("positives"), F.sum("sample_weight").alias("weight"), (whole("prob") & whole("prob_cal")).alias("scores_ok"))
+    cut_ok = (F.col("best_iteration") >= 1) & (F.col("best_iteration") <= F.col("trees"))
+    return counted.join(fits.select("fold", "head", "trees", cut_ok.alias("cut_ok")), ["fold", "head"])
+
 
+@once(keep=True)
+def doc_dense(t):
+    """Documents of all folds with a number, a flag and a category."""
+    sized = doc_rows(t).select("row_id", F.length("text").alias("chars"), F.col("text").rlike("[0-9]").alias("has_digit"), F.col("instance_id").alias("source"))
+    rows = doc_roles(t).select("fold", "role", "row_id").join(sized, "row_id")
+    return folds.dense_features(rows, ["chars"], ["has_digit"], ["source"]).select("fold", "role", "row_id", *DOC_NUMERIC, *DOC_CATEGORICAL)
+
+
+@once(keep=True)
+def doc_encoder(t):
+    return heads.encoder_state(doc_dense(t), DOC_NUMERIC, DOC_CATEGORICAL, {"text": svd_basis(t)})
+
+
+@once(keep=True)
+def doc_features(t):
+    """Dense places and the text block of every document and fold, as one named vector."""
+    return heads.assemble(doc_dense(t), doc_encoder(t), DOC_NUMERIC, DOC_CATEGORICAL, {"text": svd_scores(t)}, ["row_id"])
 
-def platt_rows(t):
-    """Slope and intercept of the sigmoid of each fold and head, fitted on the fixture scores."""
-    from stopwise.session import shared_dir
-    from stopwise.sources import files
 
-    base = long_scores(t).withColumn("one", F.lit(1.0))
-    where = files.write_parquet(heads.platt_input(base, ["fold", "head"], "p", "y", "one"), shared_dir(t.spark, "platt"), ["fold", "head"])
-    packed = t.spark.read.parquet(where)
-    keys = packed.select("fold", "head").distinct().orderBy("fold", "head").collect()
-    one = lambda r: packed.where((F.col("fold") == r[0]) & (F.col("head") == r[1]))
-    rows = [(r[0], r[1], *heads.fit_platt(one(r), "y")) for r in keys]
-    return t.spark.createDataFrame(rows, "fold string, head string, slope double, intercept double")
+def row_alignment(t):
+    """The check on the assembled rows, and on a copy whose ids are exchanged between neighbours."""
+    keys, first = ["row_id"], DOC_NUMERIC[0]
+    moved = F.when(F.col("row_id") % 2 == 0, F.col("row_id") + 1).otherwise(F.col("row_id") - 1)
+    shuffled = heads.alignment(doc_dense(t), doc_features(t).withColumn("row_id", moved), keys, first)
+    found = heads.alignment(doc_dense(t), doc_features(t), keys, first)
+    return found.join(shuffled.select("fold", F.col("aligned").alias("shuffled_aligned")), "fold")
+
+
+@once(keep=True)
+def packed_scores(t):
+    return heads.platt_input(long_scores(t).withColumn("one", F.lit(1.0)), ["fold", "head"], "p", "y", "one")
+
+
+@once()
+def platt_lines(t):
+    return heads.fit_platt(packed_scores(t), ["fold", "head"])
 
 
 ROLE = "fold:s role:s traj_id:i model_id:s instance_id:s resolved:i n_steps_total:i"
@@ -248,6 +295,11 @@ def leak_sql(source: str, held: int) -> str:
   count(DISTINCT model_id) FILTER (role = 'test') = {held} AS test_only_held_out FROM {source} r GROUP BY 1"""
 
 
+_DOC_ROLES = "(SELECT r.fold, r.role, d.source FROM documents d JOIN v_doc_roles r ON r.model_id = d.lang AND r.instance_id = d.source)"
+#: two dense places, the sources seen in training and the missing one, and the text block
+_DOC_WIDTH = f"""SELECT c.fold, 3 + c.sources + least({fixed.COMPONENTS}, coalesce(v.terms, 0)) AS width FROM (
+  SELECT fold, count(DISTINCT source) FILTER (role = 'train') AS sources FROM {_DOC_ROLES} a GROUP BY 1) c
+  LEFT JOIN (SELECT fold, count(DISTINCT term_id) AS terms FROM v_tfidf GROUP BY 1) v ON v.fold = c.fold"""
 _SUMMARY = "SELECT fold, role, count(*) AS runs, count(DISTINCT model_id) AS models, avg(resolved) AS prior FROM {0} GROUP BY 1, 2"
 
 QUERIES = [
@@ -310,10 +362,19 @@ QUERIES = [
           """SELECT fold, role, task_group_cat, count(*) AS rows, sum(is_late) AS late, avg(progress_z) AS progress_sum, avg(prefix_step_idx_z) AS step_sum, min(progress_z) AS progress_min
              FROM v_dense GROUP BY 1, 2, 3"""),
     Query("f9_assemble", "fold:s role:s width:i rows:i",
-          lambda t: (lambda d: heads.assemble(d, ["progress_z", "prefix_step_idx_z", "is_late"], ["task_group_cat"], d.where(F.col("role") == "train")))(dense_rows(t)).select(
-              "fold", "role", F.size(heads.vector_to_array("features")).alias("width")).groupBy("fold", "role", "width").agg(F.count(F.lit(1)).alias("rows"))),
-    Query("f10_train_dual_heads", CAL, trained_summary),
-    Query("f11_platt_calibrate", "fold:s head:s slope:d intercept:d", platt_rows),
+          lambda t: doc_features(t).select("fold", "role", F.size("features").alias("width")).groupBy("fold", "role", "width").agg(F.count(F.lit(1)).alias("rows")),
+          f"SELECT r.fold, r.role, any_value(w.width) AS width, count(*) AS rows FROM {_DOC_ROLES} r JOIN ({_DOC_WIDTH}) w ON w.fold = r.fold GROUP BY 1, 2"),
+    Query("f10_train_dual_heads", CAL + " trees:i best_iteration:i", trained_summary),
+    Query("f10_training_rows", "fold:s head:s role:s rows:i positives:i weight:d trees:i scores_ok:b cut_ok:b", trained_rows,
+          f"""SELECT fold, head, role, count(*) AS rows, sum((resolved = y AND prefix_step_idx >= {fixed.SAFE_TARGET_MIN_STEP})::INT) AS positives,
+               sum(1.0 / (n_steps_total + 1.0)) AS weight, 20 AS trees, true AS scores_ok, true AS cut_ok
+             FROM (SELECT s.fold, s.role, s.resolved, s.prefix_step_idx, p.n_steps_total FROM v_scored s
+               JOIN v_preds p ON p.traj_id = s.traj_id AND p.prefix_step_idx = s.prefix_step_idx) a
+             CROSS JOIN (VALUES ('success', 1), ('failure', 0)) h(head, y) GROUP BY 1, 2, 3"""),
+    Query("f11_platt_calibrate", "fold:s head:s slope:d intercept:d", platt_lines),
+    Query("f11_platt_residuals", "fold:s head:s weight:d residual:d residual_logit:d", lambda t: heads.platt_residuals(packed_scores(t), platt_lines(t), ["fold", "head"]),
+          """SELECT fold, head, CAST(count(*) AS DOUBLE) AS weight, 0.0 AS residual, 0.0 AS residual_logit
+             FROM v_scored CROSS JOIN (VALUES ('success'), ('failure')) h(head) WHERE role = 'valid' GROUP BY 1, 2"""),
     Query("f12_calibration_summary", CAL, lambda t: folds.calibration_summary(long_scores(t)),
           """SELECT fold, head, role, count(*) AS n, avg(y) AS positive_rate, avg(p) AS mean_score, avg((p - y) * (p - y)) AS brier,
                avg(-(y * ln(c) + (1 - y) * ln(1 - c))) AS log_loss
@@ -321,16 +382,21 @@ QUERIES = [
                SELECT fold, role, 'success' AS head, p_success AS p, CAST(resolved AS DOUBLE) AS y FROM v_scored
                UNION ALL SELECT fold, role, 'failure', p_failure, 1.0 - resolved FROM v_scored) a) b GROUP BY 1, 2, 3"""),
     Query("f13_corpus_token_profile", "model_id:s rows:i chars:i tokens:i terms_per_row:d projected_nonzeros:d",
-          lambda t: text.token_profile(doc_rows(t), ["model_id"], "text", 235_968),
-          """SELECT d.model_id, count(*) AS rows, sum(chars) AS chars, sum(len(toks)) AS tokens, avg(coalesce(c.n, 0)) AS terms_per_row, avg(coalesce(c.n, 0)) * 235968 AS projected_nonzeros
+          lambda t: text.token_profile(doc_rows(t), ["model_id"], "text", ingest.expand_prefixes(trial_runs(t))),
+          """SELECT d.model_id, count(*) AS rows, sum(chars) AS chars, sum(len(toks)) AS tokens, avg(coalesce(c.n, 0)) AS terms_per_row, avg(coalesce(c.n, 0)) * (SELECT count(*) FROM v_prefixes) AS projected_nonzeros
              FROM v_doc_tokens d LEFT JOIN (SELECT row_id, count(*) AS n FROM v_doc_counts GROUP BY 1) c ON c.row_id = d.row_id GROUP BY 1"""),
     Query("f14_row_index_summary", "rows:i runs:i models:i label_rate:d", lambda t: folds.row_index_summary(ingest.expand_prefixes(trial_runs(t))),
           "SELECT count(*) AS rows, count(DISTINCT traj_id) AS runs, count(DISTINCT model_id) AS models, avg(label) AS label_rate FROM v_prefixes"),
     Query("e42_fold_metadata", "fold:s train_rows:i valid_rows:i test_rows:i train_prior:d test_prior:d features:i status:s",
-          lambda t: folds.fold_metadata(roles(t), 12),
-          """SELECT fold, count(*) FILTER (role = 'train') AS train_rows, count(*) FILTER (role = 'valid') AS valid_rows, count(*) FILTER (role = 'test') AS test_rows,
-               avg(resolved) FILTER (role = 'train') AS train_prior, avg(resolved) FILTER (role = 'test') AS test_prior, 12 AS features,
-               CASE WHEN count(DISTINCT role) = 3 THEN 'FOLD_OK' ELSE 'FOLD_FAIL' END AS status FROM v_roles GROUP BY 1"""),
+          lambda t: folds.fold_metadata(roles(t), run_encoder(t)),
+          """SELECT r.fold, count(*) FILTER (role = 'train') AS train_rows, count(*) FILTER (role = 'valid') AS valid_rows, count(*) FILTER (role = 'test') AS test_rows,
+               avg(resolved) FILTER (role = 'train') AS train_prior, avg(resolved) FILTER (role = 'test') AS test_prior, any_value(w.width) AS features,
+               CASE WHEN count(DISTINCT role) = 3 THEN 'FOLD_OK' ELSE 'FOLD_FAIL' END AS status
+             FROM v_roles r JOIN (SELECT fold, 4 + count(DISTINCT task_group) FILTER (role = 'train' AND task_group <> '__MISSING__') AS width FROM v_dense_raw GROUP BY 1) w
+               ON w.fold = r.fold GROUP BY 1"""),
+    Query("k5_row_alignment", "fold:s rows:i least_width:i most_width:i names:i width_ok:b aligned:b shuffled_aligned:b", row_alignment,
+          f"""SELECT r.fold, count(*) AS rows, any_value(w.width) AS least_width, any_value(w.width) AS most_width, any_value(w.width) AS names,
+               true AS width_ok, true AS aligned, false AS shuffled_aligned FROM {_DOC_ROLES} r JOIN ({_DOC_WIDTH}) w ON w.fold = r.fold GROUP BY 1"""),
     Query("k5_fold_leakage", LEAK, lambda t: folds.fold_leakage(roles(t)), leak_sql("v_roles", 1)),
     Query("k5_pair_fold_leakage", LEAK, lambda t: folds.fold_leakage(pair_roles(t), True), leak_sql("v_proles", 2)),
 ]
