@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from stopwise import fixed
 from stopwise.functions import stats
-from stopwise.operators import pairs as pr
-from stopwise.operators import profile
+from stopwise.operators import lanes, profile
 from stopwise.operators.ranking import ordered_ids
 from stopwise.session import materialize
 
@@ -246,25 +245,19 @@ def target_bootstrap(
     ``folds`` has one row per target and fold: scope columns, pair_id, side, model_id, head, log_r.
     With ``frozen`` the coefficient stays at its point value. Otherwise it is recomputed in each
     replicate from the same draw, so the corrected score is re-evaluated per distinct score.
+
+    Replicates are the lanes of vectors (``lanes``): a fold's decisions meet its tasks x replicates matrix
+    of draw counts once, and only vectors of sums are shuffled, by fold.
     """
     scope = list(scope)
     fold = scope + ["pair_id"]
     tasks = folds.join(common.select("pair_id", "instance_id"), "pair_id")
-    weight = weights(tasks, fold, replicates, seed)
-    cell_keys = [c for c in ("threshold",) if c in scope]
-    scored = cells.where(F.col("decision") != "undecided").withColumnRenamed("decision", "head")
-    fold_cells = folds.join(scored, ["model_id", "head", *cell_keys]).select(
-        *fold, "instance_id", "head", "decision_score", "n", "k"
-    )
-    # replicate sums per distinct score: exact, and far fewer rows than decisions
-    per_score = replicate_sums(
-        weight, fold_cells, fold + ["instance_id"], fold + ["head", "decision_score"], ["n", "k"]
-    )
+    drawn = lanes.draw(materialize(dense_ids(tasks, fold), "clusters"), fold, replicates, seed)
     if frozen:
-        ratios = per_score.join(folds.select(*fold, "log_r"), fold).withColumn("degenerate", F.lit(False))
+        plan = lanes.fixed_coefficient(drawn, folds.select(*fold, "log_r"), fold, replicates)
     else:
         is_a = F.col("side") == "A"
-        side_priors = folds.join(task_priors, "pair_id").select(
+        sides = folds.join(task_priors, "pair_id").select(
             *fold,
             "instance_id",
             F.when(is_a, F.col("a_n")).otherwise(F.col("b_n")).alias("target_n"),
@@ -272,28 +265,15 @@ def target_bootstrap(
             "train_n",
             "train_r",
         )
-        prior_sums = replicate_sums(
-            weight, side_priors, fold + ["instance_id"], fold, ["target_n", "target_r", "train_n", "train_r"]
-        )
-        coef = pr.with_log_ratio(prior_sums).where((F.col("target_n") > 0) & (F.col("train_n") > 0))
-        ratios = per_score.join(coef.select("rep", *fold, "log_r", "degenerate"), ["rep", *fold])
-    per_fold = (
-        ratios.withColumn("p", stats.shift_score("decision_score", "head", "log_r"))
-        .groupBy("rep", *fold)
-        .agg(
-            F.sum("n").alias("n"),
-            F.sum("k").alias("k"),
-            F.sum(F.col("n") * F.col("p")).alias("sr"),
-            F.bool_or("degenerate").alias("degenerate"),
-        )
-        .where(F.col("n") >= min_decisions)
-        .withColumn("gap", stats.ratio("sr", "n") - stats.ratio("k", "n"))
-    )
-    per_rep = per_fold.groupBy("rep", *scope).agg(
-        F.median("gap").alias("median_gap"),
-        F.median(F.abs("gap")).alias("median_abs_gap"),
-        F.bool_or("degenerate").alias("degenerate"),
+        plan = lanes.drawn_coefficient(drawn, sides, fold, replicates)
+    plan = materialize(plan, "lanes")
+    cell_keys = [c for c in ("threshold",) if c in scope]
+    scored = cells.where(F.col("decision") != "undecided").withColumnRenamed("decision", "head")
+    fold_cells = folds.join(scored, ["model_id", "head", *cell_keys]).select(
+        *fold, "instance_id", "head", "decision_score", "n", "k"
     )
+    sums = lanes.corrected_sums(materialize(fold_cells, "fold_cells"), plan, fold, replicates)
+    per_rep = lanes.medians(sums, scope, fold, replicates, min_decisions)
     signed, absolute = stats.interval("median_gap"), stats.interval("median_abs_gap")
     return per_rep.groupBy(*scope).agg(
         *signed,
