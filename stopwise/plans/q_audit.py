@@ -13,8 +13,8 @@ from stopwise.plans import q_pairs as qp
 from stopwise.plans.q_coverage import combos
 from stopwise.plans.q_policy import decisions, grid, outcomes
 from stopwise.plans.q_text import run_cells, run_lengths
-from stopwise.plans.registry import Query
-from stopwise.session import shared_dir
+from stopwise.plans.oracle import view
+from stopwise.plans.registry import Query, once
 from stopwise.sources import files
 
 
@@ -31,13 +31,21 @@ def model_tasks(t, model):
     return decisions(t).where((F.col("model_id") == model) & F.col("decided") & (F.col("decision") == "failure")).select("instance_id").distinct()
 
 
+@once()
 def recorded(t):
-    """Digests of a written table, one of them altered and one left out, by file order."""
-    path = files.write_parquet(decisions(t).select("traj_id", "model_id", "decision"), shared_dir(t.spark, "audit"), ["model_id"])
-    found = files.digest_files(t.spark, path, "*.parquet")
-    first, last = found.select(F.min("file")).scalar(), found.select(F.max("file")).scalar()
-    noted = found.where(F.col("file") != last).withColumn("sha256", F.when(F.col("file") == first, "altered").otherwise(F.col("sha256")))
-    return found, noted
+    """Digests of the written texts, and a record of them in which some files are left out, altered, or no longer there."""
+    from stopwise.plans.q_ingest import text_files, text_rows
+
+    found = files.digest_files(t.spark, text_files(t), "*.traj.json")
+    rows = text_rows(t)
+    digest = F.when(F.col("doc_id") % 37 == 0, "altered").otherwise(F.sha2("text", 256))
+    noted = rows.where(F.col("doc_id") % 31 != 0).select("file", digest.alias("sha256"))
+    gone = rows.where(F.col("doc_id") % 41 == 0).select(F.concat("file", F.lit(".gone")).alias("file"), F.sha2("text", 256).alias("sha256"))
+    return found, noted.unionByName(gone)
+
+
+view("v_manifest", """SELECT file, CASE WHEN doc_id % 31 = 0 THEN 'UNLISTED' WHEN doc_id % 37 = 0 THEN 'MISMATCH' ELSE 'MATCH' END AS state FROM v_text_files
+UNION ALL SELECT file || '.gone', 'MISSING' FROM v_text_files WHERE doc_id % 41 = 0""")
 
 
 def altered_outcomes(t):
@@ -90,8 +98,11 @@ QUERIES = [
           """SELECT a.model_id, (SELECT count(*) FROM v_runs r WHERE r.model_id = a.model_id) AS n, (SELECT count(*) FROM v_runs r WHERE r.model_id <> a.model_id) AS rest_n,
                (SELECT avg(resolved) FROM v_runs r WHERE r.model_id <> a.model_id) AS rest_prior FROM (SELECT DISTINCT model_id FROM v_runs) a"""),
     Query("d10_manifest_join", "state:s files:i",
-          lambda t: audit.manifest_join(*recorded(t)).groupBy("state").agg(F.count(F.lit(1)).alias("files"))),
-    Query("k1_verify_manifest", "files:i matched:i missing:i mismatched:i unlisted:i all_match:b", lambda t: audit.verify_manifest(*recorded(t))),
+          lambda t: audit.manifest_join(*recorded(t)).groupBy("state").agg(F.count(F.lit(1)).alias("files")),
+          "SELECT state, count(*) AS files FROM v_manifest GROUP BY 1"),
+    Query("k1_verify_manifest", "files:i matched:i missing:i mismatched:i unlisted:i all_match:b", lambda t: audit.verify_manifest(*recorded(t)),
+          """SELECT count(*) AS files, count(*) FILTER (state = 'MATCH') AS matched, count(*) FILTER (state = 'MISSING') AS missing, count(*) FILTER (state = 'MISMATCH') AS mismatched,
+               count(*) FILTER (state = 'UNLISTED') AS unlisted, count(*) FILTER (state <> 'MATCH') = 0 AS all_match FROM v_manifest"""),
     Query("k2_identity_check", "left_only:i right_only:i field:s difference:d passed:b", gap_identity,
           """SELECT 0 AS left_only, 0 AS right_only, c AS field, 0.0 AS difference, true AS passed
              FROM (VALUES ('decisions'), ('correct'), ('mean_raw_score'), ('mean_corrected_score')) x(c)"""),

@@ -115,12 +115,32 @@ def report_json(t):
     return files.read_jsonl(t.spark, path, "model_id string, mean_score double, undefined double")
 
 
+@once()
+def document_files(t):
+    """Every document as a file of its own; those of one defect are no text at all."""
+    broken = F.col("document") == "{bad"
+    content = F.when(broken, F.concat(F.encode("document", "UTF-8"), F.unhex(F.lit("FF")))).otherwise(F.encode("document", "UTF-8"))
+    return files.write_run_files(t.documents_json().select("file", content.alias("content")), shared_dir(t.spark, "documents"))
+
+
+def text_rows(t):
+    """A file name for every text: its language, a folder, and the id; every fiftieth lies in a wrong folder."""
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
+    folder = F.when(F.col("doc_id") % 50 == 0, "elsewhere").otherwise(name)
+    return t.docs().select("doc_id", F.concat_ws("/", "lang", folder, F.concat(name, F.lit(".traj.json"))).alias("file"), "text")
+
+
+@once()
+def text_files(t):
+    return files.write_run_files(text_rows(t).select("file", F.encode("text", "UTF-8").alias("content")), shared_dir(t.spark, "texts"))
+
+
 def manifest(t):
-    rows = dec_rows(t).withColumn("model", F.substring("model_id", 1, 1))
-    path = files.write_parquet(rows, shared_dir(t.spark, "manifest"), ["model"])
-    digests = files.digest_files(t.spark, path, "*.parquet")
-    return files.dataset_manifest(digests)
+    return files.dataset_manifest(files.digest_files(t.spark, text_files(t), "*.traj.json"))
+
 
+view("v_text_files", """SELECT doc_id, lang, text, lang || '/' || CASE WHEN doc_id % 50 = 0 THEN 'elsewhere' ELSE 'doc-' || doc_id END || '/doc-' || doc_id || '.traj.json' AS file
+FROM documents""")
 
 REASON = "status:s stage:s reason:s"
 PREFIX = ("prefix_id:s traj_id:s instance_id:s model_id:s label:i n_steps_total:i prefix_step_idx:i sample_weight:d task_prompt_text:s prefix_action_text:s prefix_feedback_text:s "
@@ -129,6 +149,10 @@ _NAMES = ("CASE WHEN turns >= 3 THEN 'bash|edit|unknown' WHEN turns = 2 THEN 'ba
 _ARGS = ("CASE WHEN turns >= 3 THEN 'NON_DICT_ARGUMENTS|command|path' WHEN turns = 2 THEN 'NON_DICT_ARGUMENTS|command' ELSE 'command' END")
 
 QUERIES = [
+    Query("a1_scan_traj_json", "file:s model_dir:s status:s stage:s reason:s error:s", lambda t: ingest.quarantine(files.scan_traj_json(t.spark, document_files(t))),
+          "SELECT file, model_dir, status, stage, reason, CASE WHEN kind = 7 THEN 'NOT_UTF8' END AS error FROM v_docs"),
+    Query("a10_digest_written", "file:s bytes:i sha256:s", lambda t: files.digest_files(t.spark, text_files(t), "*.traj.json"),
+          "SELECT file, strlen(text) AS bytes, sha256(text) AS sha256 FROM v_text_files"),
     Query("a2_scan_columns", "l_orderkey:i l_quantity:d",
           lambda t: files.scan_columns(t.spark, f"{t.path}/lineitem.parquet", ["l_orderkey", "not_there", "l_quantity"]),
           "SELECT l_orderkey, l_quantity FROM lineitem"),
@@ -143,7 +167,9 @@ QUERIES = [
     Query("a9_report_json", "model_id:s mean_score:d undefined:d", report_json,
           "SELECT model_id, avg(decision_score) AS mean_score, CAST(NULL AS DOUBLE) AS undefined FROM v_dec GROUP BY 1"),
     Query("a10_digest_files", "file:s bytes:i sha256:s", lambda t: files.digest_files(t.spark, t.path, "*.parquet")),
-    Query("a11_dataset_manifest", "model:s files:i bytes:i zero_byte_files:i misplaced_files:i", manifest),
+    Query("a11_dataset_manifest", "model:s files:i bytes:i zero_byte_files:i misplaced_files:i", manifest,
+          """SELECT lang AS model, count(*) AS files, sum(strlen(text)) AS bytes, count(*) FILTER (text = '') AS zero_byte_files, count(*) FILTER (doc_id % 50 = 0) AS misplaced_files
+             FROM v_text_files GROUP BY 1"""),
     Query("a11_common_instances", "union_instances:i common_instances:i", lambda t: files.common_instances(t.runs()),
           """SELECT count(*) AS union_instances, count(*) FILTER (n = (SELECT count(DISTINCT model_id) FROM v_runs)) AS common_instances
              FROM (SELECT instance_id, count(DISTINCT model_id) AS n FROM v_runs GROUP BY 1) x"""),

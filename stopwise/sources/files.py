@@ -8,21 +8,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stopwise.session import materialize
+from stopwise.sources import run_files as source
+
+
+def _opens(path: str) -> bool:
+    """Can Python workers open the path themselves? Other stores are left to Spark's own readers."""
+    return "://" not in path or path.startswith("file:")
+
+
+def run_files(spark: SparkSession, path: str, glob: str, **options) -> DataFrame:
+    """Rows of the file source (see stopwise.sources.run_files)."""
+    spark.dataSource.register(source.RunFiles)
+    return spark.read.format("run_files").options(glob=glob, **options).load(path)
+
+
+def write_run_files(df: DataFrame, path: str) -> str:
+    """One file per row: ``file`` is its name below ``path``, ``content`` its bytes."""
+    df.sparkSession.dataSource.register(source.RunFiles)
+    df.select("file", "content").write.format("run_files").mode("append").save(path)
+    return path
+
 
 def scan_traj_json(spark: SparkSession, path: str) -> DataFrame:
     """Run documents below ``path``, one whole file per row; the model is the first folder.
 
-    A file that is no JSON keeps its row, so that it ends in quarantine instead of failing the job.
+    A file that is no JSON, no text or can't be read keeps its row (``error`` says why, ``document`` is
+    null), so that it ends in quarantine instead of failing the job.
     """
-    base = path.rstrip("/") + "/"
-    raw = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.traj.json")
-        .text(path, wholetext=True)
-        .select(F.col("value").alias("document"), F.col("_metadata.file_path").alias("file"))
-    )
-    relative = F.substring_index("file", base, -1)
-    return raw.select(relative.alias("file"), F.substring_index(relative, "/", 1).alias("model_dir"), "document")
+    if _opens(path):
+        found = run_files(spark, path, "*.traj.json").select("file", "document", "error")
+    else:
+        base = path.rstrip("/") + "/"
+        raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.traj.json").text(path, wholetext=True)
+        found = raw.select(F.substring_index(F.col("_metadata.file_path"), base, -1).alias("file"), F.col("value").alias("document"), F.lit(None).cast("string").alias("error"))
+    return found.select("file", F.substring_index("file", "/", 1).alias("model_dir"), "document", "error")
 
 
 def scan_columns(spark: SparkSession, path: str, wanted: Sequence[str]) -> DataFrame:
@@ -91,13 +111,21 @@ def write_csv(df: DataFrame, path: str, single: bool = False) -> str:
     return path
 
 
-def write_report_json(df: DataFrame, path: str) -> str:
-    nan_to_null(df).coalesce(1).write.option("ignoreNullFields", False).json(path)
+def write_report_json(df: DataFrame, path: str, most_rows: int = 100_000) -> str:
+    """JSON lines; one file when the report has at most ``most_rows`` rows, else as many as it has partitions."""
+    clean = materialize(nan_to_null(df), "report")
+    small = clean.limit(most_rows + 1).count() <= most_rows
+    (clean.coalesce(1) if small else clean).write.option("ignoreNullFields", False).json(path)
     return path
 
 
 def digest_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """SHA-256 and size of every file under a root; one task reads a few files at a time."""
+    """SHA-256 and size of every file under a root, however large: files are read in pieces.
+
+    In stores that only Spark can open a file is one row, which Spark limits to 2 GB.
+    """
+    if _opens(path):
+        return run_files(spark, path, glob, text=False).select("file", "bytes", "sha256")
     base = path.rstrip("/") + "/"
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)

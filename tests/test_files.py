@@ -112,3 +112,43 @@ def test_online_decisions_equal_batch(spark, tmp_path):
     query.awaitTermination()
     got = {r.traj_id: r.decision for r in spark.sql("select * from online").collect()}
     assert got == {1: "success", 2: "undecided"}
+
+
+def test_a_broken_file_costs_no_other(spark, tmp_path):
+    import hashlib
+
+    for name, content in (("m1/a.traj.json", b"{}"), ("m1/b.traj.json", b"\xff{}"), ("m2/c.traj.json", b""), ("m2/long.traj.json", b"x" * 100)):
+        os.makedirs(tmp_path / os.path.dirname(name), exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "m2" / "gone.traj.json").symlink_to(tmp_path / "nowhere")
+    rows = {r.file: r for r in files.run_files(spark, str(tmp_path), "*.traj.json", longest=50, partition_bytes=60).collect()}
+    assert {f: (r.document, r.error) for f, r in rows.items() if "gone" not in f} == {
+        "m1/a.traj.json": ("{}", None),
+        "m1/b.traj.json": (None, "NOT_UTF8"),
+        "m2/c.traj.json": ("", None),
+        "m2/long.traj.json": (None, "TOO_LONG"),
+    }
+    assert rows["m2/long.traj.json"].sha256 == hashlib.sha256(b"x" * 100).hexdigest() and rows["m2/long.traj.json"].bytes == 100
+    os.makedirs(tmp_path / "empty")
+    assert files.run_files(spark, str(tmp_path / "empty"), "*").count() == 0
+
+
+def test_digest_of_a_file_beyond_the_row_limit(spark, tmp_path):
+    """2 GB and a little, without holding it on disk or in a row."""
+    import hashlib
+
+    size = (1 << 31) + 5
+    with open(tmp_path / "large.bin", "wb") as file:
+        file.truncate(size)
+    digest = hashlib.sha256()
+    for _ in range(size >> 20):
+        digest.update(bytes(1 << 20))
+    digest.update(bytes(size & (1 << 20) - 1))
+    assert [tuple(r) for r in files.digest_files(spark, str(tmp_path), "*.bin").collect()] == [("large.bin", size, digest.hexdigest())]
+
+
+def test_written_files_read_back(spark, tmp_path):
+    rows = [(f"m{i % 3}/f{i}.txt", f"text {i}".encode()) for i in range(40)] + [("m0/null.txt", None)]
+    files.write_run_files(spark.createDataFrame(rows, "file string, content binary").repartition(4), str(tmp_path / "out"))
+    got = {r.file: r.document for r in files.run_files(spark, str(tmp_path / "out"), "*").collect()}
+    assert got == {f: (c or b"").decode() for f, c in rows}
