@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stopwise import fixed
 from stopwise.functions import stats
 from stopwise.operators import calibration as cal
+from stopwise.operators import quantiles
 from stopwise.plans import oracle as o
 from stopwise.plans.q_policy import decisions
 from stopwise.plans.registry import Query, once
@@ -145,7 +146,8 @@ QUERIES = [
     Query("g7_correct_score", "traj_id:i decision:s decision_score:d p_corrected:d", corrected,
           "SELECT traj_id, decision, decision_score, p_corrected FROM v_cor"),
     Query("g8_percentile_ci", "model_id:s decision:s n_valid:i ci_lower:d ci_median:d ci_upper:d",
-          lambda t: decisions(t).where("decided").groupBy("model_id", "decision").agg(*stats.interval("decision_score")),
+          lambda t: quantiles.exact_quantiles(decisions(t).where("decided"), ["model_id", "decision"], "decision_score", (0.025, 0.5, 0.975)).select(
+              "model_id", "decision", F.col("n").alias("n_valid"), *[F.col("q")[i].alias(c) for i, c in enumerate(("ci_lower", "ci_median", "ci_upper"))]),
           """SELECT model_id, decision, count(decision_score) AS n_valid, quantile_cont(decision_score, 0.025) AS ci_lower,
                quantile_cont(decision_score, 0.5) AS ci_median, quantile_cont(decision_score, 0.975) AS ci_upper
              FROM v_dec WHERE decided GROUP BY 1, 2"""),
@@ -160,8 +162,8 @@ QUERIES = [
                {o.robust('corrected_gap', '(corrected_gap - 0.05)', '(corrected_gap + 0.05)')} AS robust,
                corrected_gap - 0.05 <= 0 AND corrected_gap + 0.05 >= 0 AS includes_zero FROM v_gap"""),
     Query("g11_median_mean", "model_id:s median_score:d mean_score:d",
-          lambda t: decisions(t).groupBy("model_id").agg(
-              stats.median_or_null("decision_score").alias("median_score"), F.avg("decision_score").alias("mean_score")),
+          lambda t: quantiles.exact_quantiles(decisions(t), ["model_id"], "decision_score", (0.5,)).select("model_id", F.col("q")[0].alias("median_score")).join(
+              decisions(t).groupBy("model_id").agg(F.avg("decision_score").alias("mean_score")), "model_id"),
           "SELECT model_id, median(decision_score) AS median_score, avg(decision_score) AS mean_score FROM v_dec GROUP BY 1"),
     Query("w3_average_rank", "head:s model_id:s rank:d",
           lambda t: gaps(t).select("head", "model_id", stats.average_rank("distinct_tasks", ["head"]).alias("rank")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stopwise.operators import coverage as cov
+from stopwise.operators import quantiles
 from stopwise.plans import oracle as o
 from stopwise.plans.oracle import div, view
 from stopwise.plans.q_gates import GATE, ge, gate_sql
@@ -174,7 +175,7 @@ QUERIES = [
                count(*) FILTER (pos = 0 AND step ->> 'src' = 'user' AND contains(lower(step ->> 'msg'), 'warmup')) AS warmup_first,
                count(*) FILTER (pos = 0 AND coalesce(step ->> 'msg', '') = '') AS empty_first_msg FROM v_step_rows"""),
     Query("e22_quantiles", "model:s q10:d q50:d q90:d nearest_rank:i",
-          lambda t: (lambda c: c.where("usable").groupBy("model").agg(F.percentile("n_steps", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q")).select(
+          lambda t: (lambda c: quantiles.exact_quantiles(c.where("usable"), ["model"], "n_steps", (0.1, 0.5, 0.9)).select(
               "model", F.col("q")[0].alias("q10"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q90")).join(
                   cov.nearest_rank(c.where("usable"), ["model"], "n_steps", 0.9), "model"))(classified(t)),
           """SELECT model, quantile_cont(n_steps, 0.1) AS q10, quantile_cont(n_steps, 0.5) AS q50, quantile_cont(n_steps, 0.9) AS q90,
