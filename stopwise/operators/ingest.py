@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stopwise import fixed
+from stopwise.operators.ranking import range_ids
 
 MESSAGES = (
     "array<struct<role:string,content:string,tool_calls:array<struct<id:string,function:variant,arguments:variant>>>>"
@@ -383,16 +384,10 @@ def safe_targets(rows: DataFrame, min_step: int = fixed.SAFE_TARGET_MIN_STEP) ->
 def stride_sample(files: DataFrame, per_model: int) -> DataFrame:
     """Every floor(n / k)-th name of each model, the first k of them.
 
-    Positions come from names counted per model and hash-free prefix order; a model's name list is
-    metadata of files, one short row each.
+    Positions come from sampled name ranges with measured offsets, so a model with very many files is
+    many tasks.
     """
-    order = Window.partitionBy("model_id").orderBy("instance_id")
-    numbered = files.withColumns(
-        {
-            "rn": F.row_number().over(order) - 1,
-            "n": F.count(F.lit(1)).over(Window.partitionBy("model_id")),
-        }
-    )
+    numbered = range_ids(files, ["model_id"], ["instance_id"], "rn").withColumnRenamed("rn_total", "n")
     step = F.greatest(F.lit(1), F.floor(F.col("n") / per_model))
     return numbered.where((F.col("rn") % step == 0) & (F.floor(F.col("rn") / step) < per_model)).select(
         "model_id", "instance_id", F.floor(F.col("rn") / step).alias("pick")

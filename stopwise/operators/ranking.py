@@ -7,23 +7,45 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stopwise.session import materialize
 
-def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, spread: str, parts: int = 64) -> DataFrame:
-    """First k rows per key in a total order, in two steps.
 
-    The k-th row of a key is among the first k of its slice, so each of ``parts`` slices is cut to
-    k rows first; the final ranking sees at most parts x k rows per key, however large the key is.
+def range_ids(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Number the rows of each group 0 .. n-1 in ``order``, whatever the alphabet or the size of a group.
+
+    Rows are dealt out by sampled ranges of (by, order), so a large group is many ranges. A row's place
+    inside its range is written with it; a range's offset in its group follows from the measured sizes of
+    the ranges before it. ``name`` holds the number, ``<name>_total`` the group's size. Groups are not NULL.
     """
-    slice_id = F.pmod(F.xxhash64(spread), F.lit(parts))
-    local = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    final = Window.partitionBy(*keys).orderBy(*order)
-    cut = (
-        df.withColumn("_slice", slice_id)
-        .withColumn("_rn", F.row_number().over(local))
-        .where(F.col("_rn") <= k)
-        .drop("_rn", "_slice")
+    by = list(by)
+    placed = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialize(placed, "ranged").withColumn("_range", F.shiftright("_at", 33))
+    sizes = placed.groupBy(*by, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        *by,
+        "_range",
+        (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+        F.sum("_size").over(Window.partitionBy(*by)).alias(f"{name}_total"),
     )
-    return cut.withColumn("position", F.row_number().over(final)).where(F.col("position") <= k)
+    return placed.join(offsets, [*by, "_range"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")
+
+
+def top_by(df: DataFrame, by: Sequence[str], score: str, key: str, k: int) -> DataFrame:
+    """The k rows per group with the largest whole-number ``score``, ties by ascending ``key``.
+
+    A histogram of the scores gives the score of the k-th row; only rows with just that score are
+    ordered, by ranges.
+    """
+    by = list(by)
+    df = materialize(df, "scored")
+    histogram = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_c"))
+    above = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    counted = histogram.withColumn("_above", F.coalesce(F.sum("_c").over(above), F.lit(0))).where(F.col("_above") < k)
+    edge = counted.groupBy(*by).agg(F.min(score).alias("_edge"), (F.lit(k) - F.max("_above")).alias("_room"))
+    placed = df.join(edge, by) if by else df.crossJoin(edge)
+    ties = range_ids(placed.where(F.col(score) == F.col("_edge")), by, [key], "_tie").where(F.col("_tie") < F.col("_room"))
+    return placed.where(F.col(score) > F.col("_edge")).select(*df.columns).unionByName(ties.select(*df.columns))
 
 
 def ordered_ids(df: DataFrame, by: Sequence[str], key: str, bucket: Column, name: str) -> DataFrame:

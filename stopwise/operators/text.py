@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stopwise import fixed
 from stopwise.functions import stats
-from stopwise.operators.ranking import ordered_ids, top_k
+from stopwise.operators.ranking import range_ids, top_by
 
 
 def tokens(text: str | Column) -> Column:
@@ -73,9 +73,8 @@ def vocabulary(
     by = list(by)
     kept = term_stats.where(F.col("df") >= min_df)
     if max_features is not None:
-        kept = top_k(kept, by, [F.desc("tf"), F.asc("term")], max_features, "term").drop("position")
-    # terms have two characters at least, so two-character prefixes follow term order
-    numbered = ordered_ids(kept, by, "term", F.substring("term", 1, 2), "term_id").drop("term_id_total")
+        kept = top_by(kept, by, "tf", "term", max_features)
+    numbered = range_ids(kept, by, ["term"], "term_id").drop("term_id_total")
     if by:
         numbered = numbered.join(n_rows, by)
     else:
