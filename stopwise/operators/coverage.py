@@ -7,14 +7,15 @@ map side before the first shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from stopwise import fixed
 from stopwise.functions import stats
 from stopwise.operators.ingest import evaluate_once
+from stopwise.session import materialize
 
 STEP_SCHEMA = "array<struct<src:string,msg:string,tools:array<struct<fn:string,cmd:string>>,obs:string>>"
 STATES = ("NULL_FIELD", "EMPTY_STRING", "PARSE_FAIL", "JSON_NULL", "NOT_LIST", "EMPTY_LIST", "OK")
@@ -400,13 +401,32 @@ def minimum_models_gate(audit: DataFrame) -> DataFrame:
     return gates.gate(wide, checks, label)
 
 
-def usable_crosscheck(audit: DataFrame, combos: DataFrame) -> DataFrame:
+def recount_usable(trials: DataFrame) -> DataFrame:
+    """Usable rows per model straight from the raw fields, without the classification."""
+    fine = F.col("reward").between(0, 1) & (F.json_array_length("steps") > 0)
+    return trials.groupBy("model").agg(F.count_if(F.coalesce(fine, F.lit(False))).alias("other"))
+
+
+def usable_crosscheck(audit: DataFrame, recount: DataFrame) -> DataFrame:
     """Usable counts per model by two routes."""
-    other = combos.groupBy("model").agg(F.sum("usable_trials").alias("other"))
-    joined = audit.select("model", "usable").join(other, "model", "full_outer")
+    joined = audit.select("model", "usable").join(recount, "model", "full_outer")
     return joined.withColumn("match", F.col("usable").eqNullSafe(F.col("other")))
 
 
+def observed_write(df: DataFrame, name: str, metrics: Mapping[str, Column]) -> tuple[DataFrame, dict]:
+    """Write a frame and read it back; the metrics are taken from the rows on their way to the files."""
+    seen = Observation(name)
+    written = materialize(df.observe(seen, *[c.alias(n) for n, c in metrics.items()]), name)
+    return written, seen.get
+
+
+def recount(df: DataFrame, metrics: Mapping[str, Column], seen: Mapping[str, int]) -> DataFrame:
+    """``metric, written, reread, mismatch`` of a table against what was observed when it was written."""
+    again = df.agg(*[c.alias(n) for n, c in metrics.items()])
+    rows = [F.struct(F.lit(n).alias("metric"), F.lit(seen[n]).cast("bigint").alias("written"), F.col(n).cast("bigint").alias("reread")) for n in metrics]
+    return again.select(F.inline(F.array(*rows))).withColumn("mismatch", F.col("reread") - F.col("written"))
+
+
 def stratified_pick(classified: DataFrame, combos: DataFrame, per_combo: int = 25) -> DataFrame:
     """Successes and failures in turn, the first ``per_combo`` of each eligible combination.
 
@@ -458,8 +478,15 @@ def diverse_combos(combos: DataFrame, base: int = 6, minimum: int = 3) -> DataFr
     )
 
 
-def sample_constraints(sample: DataFrame, prefix_counts: DataFrame) -> DataFrame:
-    """Is a sample broad enough, and does every run have one prefix more than steps?"""
+#: Columns that every prefix table has.
+PREFIX_COLUMNS = ("traj_id", "instance_id", "model_id", "label", "prefix_step_idx", "n_steps_total")
+
+
+def sample_constraints(sample: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Is a sample broad enough, has its prefix table the required columns, and every run one prefix more than steps?
+
+    Prefixes are counted as they are: rows per run, each index 0 .. n once.
+    """
     broad = sample.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_distinct("model", "agent").alias("combos"),
@@ -467,12 +494,17 @@ def sample_constraints(sample: DataFrame, prefix_counts: DataFrame) -> DataFrame
         F.count_distinct("agent").alias("agents"),
         F.count_distinct("reward").alias("labels"),
     )
-    exact = prefix_counts.agg(F.bool_and(F.col("n_prefixes") == F.col("n_steps") + 1).cast("int").alias("prefix_rule"))
+    present = sum(c in prefixes.columns for c in PREFIX_COLUMNS)
+    per_run = prefixes.groupBy("traj_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("prefix_step_idx").alias("steps"), F.max("n_steps_total").alias("n"), F.max("prefix_step_idx").alias("last")
+    )
+    whole = (F.col("rows") == F.col("n") + 1) & (F.col("steps") == F.col("n") + 1) & (F.col("last") == F.col("n"))
+    exact = per_run.agg(F.avg(whole.cast("int")).alias("prefix_rule"), F.lit(present).alias("required_columns"))
     from stopwise.operators import gates
 
     wide = gates.one_row(
-        [gates.facts(broad, [], ["rows", "combos", "models", "agents", "labels"]), gates.facts(exact, [], ["prefix_rule"])],
-        ["rows", "combos", "models", "agents", "labels", "prefix_rule"],
+        [gates.facts(broad, [], ["rows", "combos", "models", "agents", "labels"]), gates.facts(exact, [], ["prefix_rule", "required_columns"])],
+        ["rows", "combos", "models", "agents", "labels", "prefix_rule", "required_columns"],
     )
     checks = [
         gates.at_least("rows", "rows", 100),
@@ -481,5 +513,6 @@ def sample_constraints(sample: DataFrame, prefix_counts: DataFrame) -> DataFrame
         gates.at_least("agents", "agents", 3),
         gates.at_least("labels", "labels", 2),
         gates.at_least("prefix_rule", "prefix_rule", 1),
+        gates.at_least("required_columns", "required_columns", len(PREFIX_COLUMNS)),
     ]
     return gates.gate(wide, checks, lambda ok: F.when(gates._all(ok), "PASS").otherwise("FAIL"))

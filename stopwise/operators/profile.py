@@ -104,28 +104,18 @@ def concentration(outcome: DataFrame) -> DataFrame:
     models = cells.groupBy("outcome_class", "model_id").agg(F.sum("n").alias("n"))
     tasks = cells.groupBy("outcome_class", "instance_id").agg(F.sum("n").alias("n"))
 
-    def best(df: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy("outcome_class").orderBy(F.desc("n"), name)
-        return df.withColumn("rn", F.row_number().over(w))
-
-    by_model = (
-        best(models, "model_id")
-        .groupBy("outcome_class")
-        .agg(
-            F.sum("n").alias("errors"),
-            F.count(F.lit(1)).alias("models_with_error"),
-            F.max(F.when(F.col("rn") == 1, F.col("model_id"))).alias("largest_model"),
-            stats.ratio(F.max("n"), F.sum("n")).alias("largest_model_share"),
-        )
+    # the smallest name among the largest counts, in one aggregate without ordering a class
+    largest = lambda name: F.min_by(name, F.struct(-F.col("n"), name))
+    by_model = models.groupBy("outcome_class").agg(
+        F.sum("n").alias("errors"),
+        F.count(F.lit(1)).alias("models_with_error"),
+        largest("model_id").alias("largest_model"),
+        stats.ratio(F.max("n"), F.sum("n")).alias("largest_model_share"),
     )
-    by_task = (
-        best(tasks, "instance_id")
-        .groupBy("outcome_class")
-        .agg(
-            F.count(F.lit(1)).alias("unique_tasks"),
-            F.max("n").alias("max_runs_single_task"),
-            F.max(F.when(F.col("rn") == 1, F.col("instance_id"))).alias("task_with_max_runs"),
-        )
+    by_task = tasks.groupBy("outcome_class").agg(
+        F.count(F.lit(1)).alias("unique_tasks"),
+        F.max("n").alias("max_runs_single_task"),
+        largest("instance_id").alias("task_with_max_runs"),
     )
     return by_model.join(by_task, "outcome_class")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stopwise.operators import coverage as cov
-from stopwise.operators import quantiles
+from stopwise.operators import ingest, quantiles
 from stopwise.plans import oracle as o
 from stopwise.plans.oracle import div, view
 from stopwise.plans.q_gates import GATE, ge, gate_sql
@@ -141,9 +141,25 @@ SELECT model, agent, reward, row_key, rn, position FROM (
 view("v_pick", PICK_SQL)
 
 
-def prefix_counts(t):
-    sizes = classified(t).where("usable").select("n_steps", F.size(F.sequence(F.lit(0), "n_steps")).alias("n_prefixes"))
-    return sizes
+@once(keep=True)
+def prefixes(t):
+    from stopwise.plans.q_ingest import trial_runs
+
+    return ingest.expand_prefixes(trial_runs(t)).select(*cov.PREFIX_COLUMNS)
+
+
+def damaged_prefixes(t):
+    """Prefixes without the last step of some runs, and without a required column."""
+    lost = F.substring(F.md5("traj_id"), 1, 1).isin("0", "1") & (F.col("prefix_step_idx") == F.col("n_steps_total")) & (F.col("prefix_step_idx") > 0)
+    return prefixes(t).where(~lost).drop("label")
+
+
+def observed(t):
+    """The classified table against its own metrics, and a copy that lost some rows."""
+    metrics = {"rows": F.count(F.lit(1)), "usable": F.count_if("usable"), "steps": F.sum("n_steps")}
+    written, seen = cov.observed_write(classified(t).select("row_key", "usable", "n_steps"), "classified", metrics)
+    damaged = written.where(F.col("row_key") % 50 != 7)
+    return cov.recount(written, metrics, seen).withColumn("copy", F.lit("intact")).unionByName(cov.recount(damaged, metrics, seen).withColumn("copy", F.lit("damaged")))
 
 
 QUERIES = [
@@ -219,8 +235,12 @@ QUERIES = [
     Query("j12_minimum_models_gate", GATE, lambda t: cov.minimum_models_gate(cov.missingness_audit(counts(t))),
           gate_sql("SELECT count(*) AS eligible FROM v_audit WHERE eligible", [ge("eligible_models", "eligible", 12)],
                    "CASE WHEN ok:eligible_models THEN 'PROCEED_TO_TRAINING' ELSE 'INSUFFICIENT_FIXED_SCAFFOLD_MODEL_SUPPORT' END")),
-    Query("k7_usable_crosscheck", "model:s usable:i other:i match:b", lambda t: cov.usable_crosscheck(cov.missingness_audit(counts(t)), combos(t)),
+    Query("k7_usable_crosscheck", "model:s usable:i other:i match:b", lambda t: cov.usable_crosscheck(cov.missingness_audit(counts(t)), cov.recount_usable(t.trials())),
           "SELECT model, count(*) FILTER (usable) AS usable, count(*) FILTER (usable) AS other, true AS match FROM v_tri GROUP BY 1"),
+    Query("k7_observed_recount", "copy:s metric:s written:i reread:i mismatch:i", observed,
+          """WITH m AS (SELECT row_key % 50 <> 7 AS kept, unnest(['rows', 'usable', 'steps']) AS metric, unnest([1, CAST(usable AS BIGINT), n_steps]) AS v FROM v_tri)
+             SELECT copy, metric, sum(v) AS written, sum(v) FILTER (kept OR copy = 'intact') AS reread, sum(v) FILTER (kept OR copy = 'intact') - sum(v) AS mismatch
+             FROM m CROSS JOIN (VALUES ('intact'), ('damaged')) c(copy) GROUP BY 1, 2"""),
     Query("w6_stratified_pick", "model:s agent:s reward:i row_key:i rn:i position:i", pick, "SELECT * FROM v_pick"),
     *[
         Query(key, "position:i model:s agent:s", lambda t, base=base: cov.diverse_combos(combos(t), base),
@@ -238,8 +258,16 @@ QUERIES = [
                  FROM (SELECT unnest(range(1, len(chosen) + 1)) AS position, unnest(chosen) AS c FROM done) x""")
         for key, base in (("w6_diverse_combos", 6), ("w6_diverse_combos_one", 1))
     ],
-    Query("k10_sample_constraints", GATE, lambda t: cov.sample_constraints(pick(t), prefix_counts(t)),
-          gate_sql("""SELECT count(*) AS n, count(DISTINCT model || '#' || agent) AS combos, count(DISTINCT model) AS models, count(DISTINCT agent) AS agents, count(DISTINCT reward) AS labels FROM v_pick""",
-                   [ge("rows", "n", 100), ge("combos", "combos", 5), ge("models", "models", 3), ge("agents", "agents", 3), ge("labels", "labels", 2), ("prefix_rule", "1.0", 1.0, "true")],
-                   "CASE WHEN n >= 100 AND combos >= 5 AND models >= 3 AND agents >= 3 AND labels >= 2 THEN 'PASS' ELSE 'FAIL' END")),
+    *[
+        Query(key, GATE, lambda t, table=table: cov.sample_constraints(pick(t), table(t)),
+              gate_sql(f"""SELECT count(*) AS n, count(DISTINCT model || '#' || agent) AS combos, count(DISTINCT model) AS models, count(DISTINCT agent) AS agents, count(DISTINCT reward) AS labels,
+                       (SELECT avg(ok::INT) FROM (SELECT {whole} AS ok FROM v_prefixes GROUP BY traj_id) a) AS rule FROM v_pick""",
+                       [ge("rows", "n", 100), ge("combos", "combos", 5), ge("models", "models", 3), ge("agents", "agents", 3), ge("labels", "labels", 2), ge("prefix_rule", "rule", 1.0),
+                        ge("required_columns", str(columns), 6)],
+                       f"CASE WHEN n >= 100 AND combos >= 5 AND models >= 3 AND agents >= 3 AND labels >= 2 AND rule >= 1 AND {columns} >= 6 THEN 'PASS' ELSE 'FAIL' END"))
+        for key, table, whole, columns in (
+            ("k10_sample_constraints", prefixes, "count(*) = max(n_steps_total) + 1", 6),
+            ("k10_damaged_sample", damaged_prefixes, "NOT (substr(md5(traj_id), 1, 1) IN ('0', '1') AND max(n_steps_total) > 0)", 5),
+        )
+    ],
 ]

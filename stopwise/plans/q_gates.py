@@ -212,16 +212,16 @@ LEFT JOIN v_identity i ON i.model = CASE WHEN s.scope = 'TARGET_1' THEN '{LABELS
 
 # ---- gates -------------------------------------------------------------------------------------
 
-def scope_frames(t, exclude=()):
+def scope_frames(t, exclude=(), scope=0):
     pairwise, long = qp.pairwise(t), qp.long_rows(t)
     if exclude:
         pairwise = pairwise.where(~F.col("agent_a").isin(*exclude) & ~F.col("agent_b").isin(*exclude))
         long = long.where(~F.col("model_id").isin(*exclude) & ~F.col("partner").isin(*exclude))
-    return pairwise, qr.h4(t, exclude), pr.persistence_table(long)
+    return pairwise, qr.h4(t, exclude, scope), pr.persistence_table(long)
 
 
 def j5(t, scopes):
-    return gates.same_predictor_gate({name: scope_frames(t, ex) for name, ex in scopes.items()})
+    return gates.same_predictor_gate({name: scope_frames(t, ex, i) for i, (name, ex) in enumerate(scopes.items())})
 
 
 def j5_wide(scope: str, where_pair: str, where_long: str, boot: str) -> str:

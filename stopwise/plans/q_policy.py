@@ -35,6 +35,13 @@ TAIL = (
     "post_submission:b post_edit_count:i post_test_count:i post_steps:i first_test_pass_after_stop:s"
 )
 
+def stop_join_reports(t):
+    """The report on the predictions, and on a copy that lost some runs and whose success scores moved."""
+    damaged = t.preds().where(F.col("traj_id") % 50 != 3).withColumn("p_success", F.col("p_success") - 0.125)
+    report = lambda preds, name: policy.stop_join_report(policy.stop_point_scores(decisions(t), preds)).withColumn("copy", F.lit(name))
+    return report(t.preds(), "intact").unionByName(report(damaged, "damaged"))
+
+
 QUERIES = [
     Query("b10_detect_events", "traj_id:i step_idx:i is_edit:b is_test:b is_test_pass:b is_test_fail:b is_error:b is_submit:b",
           lambda t: events.detect_events(t.steps()), "SELECT * FROM v_events"),
@@ -71,9 +78,12 @@ QUERIES = [
           """SELECT d.traj_id, model_id, decision, decision_step, decision_score,
                CASE WHEN decision = 'success' THEN p_success ELSE p_failure END AS stop_score
              FROM v_dec d LEFT JOIN v_preds p ON p.traj_id = d.traj_id AND p.prefix_step_idx = d.decision_step WHERE decided"""),
-    Query("c3_stop_join_report", "model_id:s decision:s decided:i missing:i max_abs_difference:d",
-          lambda t: policy.stop_join_report(policy.stop_point_scores(decisions(t), t.preds())),
-          "SELECT model_id, decision, count(*) AS decided, 0 AS missing, 0.0 AS max_abs_difference FROM v_dec WHERE decided GROUP BY 1, 2"),
+    Query("c3_stop_join_report", "copy:s model_id:s decision:s decided:i missing:i max_abs_difference:d", stop_join_reports,
+          """SELECT c.copy, d.model_id, d.decision, count(*) AS decided, count(*) FILTER (p.traj_id IS NULL) AS missing,
+               max(abs(d.decision_score - CASE WHEN d.decision = 'success' THEN p.p_success ELSE p.p_failure END)) AS max_abs_difference
+             FROM v_dec d CROSS JOIN (VALUES ('intact'), ('damaged')) c(copy)
+             LEFT JOIN (SELECT 'intact' AS copy, * FROM v_preds UNION ALL SELECT 'damaged', traj_id, prefix_step_idx, n_steps_total, p_success - 0.125, p_failure FROM v_preds WHERE traj_id % 50 <> 3) p
+               ON p.copy = c.copy AND p.traj_id = d.traj_id AND p.prefix_step_idx = d.decision_step WHERE d.decided GROUP BY 1, 2, 3"""),
     Query("c4_scan_post_stop", TAIL,
           lambda t: policy.scan_post_stop(decisions(t), events.detect_events(t.steps())), "SELECT * FROM v_tail"),
     Query("c5_late_reversal_signatures", "traj_id:i model_id:s decision_step:i direction:s signature:b",

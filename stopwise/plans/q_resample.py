@@ -16,6 +16,8 @@ from stopwise.plans.q_policy import decisions, outcomes
 from stopwise.plans.registry import Query, once
 
 REPS, TARGET_REPS = fixed.REPLICATES, fixed.TARGET_REPLICATES
+#: Each sensitivity scope draws with a seed of its own, this far from the scope before it.
+SCOPE_SEED = 100
 
 
 def weights_view(name: str, tasks: str, scope: str, reps: int, seed: str) -> None:
@@ -110,13 +112,17 @@ SELECT p.pair_id, d.decision AS head, d.instance_id, p.side, count(*) AS n, sum(
   sum({o.shift('d.decision_score', 'd.decision', 'p.log_r')}) AS sr
 FROM v_dec d JOIN v_pprior p ON p.model_id = d.model_id JOIN v_common c ON c.pair_id = p.pair_id AND c.instance_id = d.instance_id
 WHERE d.decided GROUP BY 1, 2, 3, 4""")
-view("v_h4_diffs", """
+H4_DIFFS = """
 SELECT pair_id, head, rep, abs(max(gap) FILTER (side = 'A') - max(gap) FILTER (side = 'B')) AS value
 FROM (SELECT w.pair_id, w.head, w.rep, c.side, sum(w * n) AS n, sum(w * sr) / sum(w * n) - sum(w * k) / CAST(sum(w * n) AS DOUBLE) AS gap
-      FROM v_h4_w w JOIN v_h4_cells c ON c.pair_id = w.pair_id AND c.head = w.head AND c.instance_id = w.instance_id GROUP BY 1, 2, 3, 4) x
-GROUP BY 1, 2, 3 HAVING count(*) = 2 AND min(n) >= 20""")
+      FROM {weights} w JOIN v_h4_cells c ON c.pair_id = w.pair_id AND c.head = w.head AND c.instance_id = w.instance_id GROUP BY 1, 2, 3, 4) x
+GROUP BY 1, 2, 3 HAVING count(*) = 2 AND min(n) >= 20"""
+view("v_h4_diffs", H4_DIFFS.format(weights="v_h4_w"))
 view("v_h4", ci("SELECT head, rep, median(value) AS value FROM v_h4_diffs GROUP BY 1, 2", "head"))
-H4_EXCLUDED = ci("""SELECT head, rep, median(value) AS value FROM v_h4_diffs
+weights_view("v_h4_w2", "SELECT pair_id, head, instance_id FROM v_common, v_heads", "pair_id, head", REPS,
+             f"({fixed.SEED * 100 + SCOPE_SEED} + CASE WHEN head = 'success' THEN 1 ELSE 2 END)")
+view("v_h4_diffs2", H4_DIFFS.format(weights="v_h4_w2"))
+H4_EXCLUDED = ci("""SELECT head, rep, median(value) AS value FROM v_h4_diffs2
   WHERE pair_id NOT IN (SELECT pair_id FROM v_sides WHERE model_id = '5-LOW') GROUP BY 1, 2""", "head")
 
 
@@ -182,9 +188,9 @@ def h3(t):
     return resample.residual_bootstrap(corrected(t), decisions(t), coefficients(t), t.runs(), REPS, fixed.SEED)
 
 
-def h4(t, exclude=()):
+def h4(t, exclude=(), scope=0):
     priors = pr.fold_priors(qp.task_priors(t))
-    return resample.pair_bootstrap(qp.cells(t), qp.sides(t), qp.common(t), priors, REPS, fixed.SEED * 100, exclude)
+    return resample.pair_bootstrap(qp.cells(t), qp.sides(t), qp.common(t), priors, REPS, fixed.SEED * 100 + scope * SCOPE_SEED, exclude)
 
 
 def target_folds(t):
