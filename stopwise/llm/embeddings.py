@@ -14,9 +14,10 @@
 5. Components come from the forests by distributed connected components.
 
 Defined results: a vector that is null, empty, all zero, or holds a null or a non-finite component has
-no links and is its own component. Vectors of different length don't link. Repeated rows are vectors of
-their own. A row without an id counts as a vector for others and has a null component. Extra columns are
-ignored. An empty table gives an empty result.
+no links and is its own component. Vectors of different length don't link. Rows are vectors of their own,
+also where an id repeats, with the same vector or another: each gives one row of the result. A row without
+an id counts and links like others; its component is the smallest id it reaches, null if there is none, and
+it is never kept. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -68,9 +69,8 @@ def fit_cells(sample: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 3) -
 class Cells:
     def __init__(self, centroids: np.ndarray, threshold: float):
         self.centroids = centroids
-        gap = np.linalg.norm(centroids[:, None] - centroids[None], axis=2)
-        # equal centroids have no hyperplane between them: everything is near
-        self.gap = np.where(gap > 0, gap, 1e-12)
+        # a little more than the distances, as the difference of near centroids is rounded; more only makes more guests
+        self.gap = np.sqrt(np.maximum(2 - 2 * (centroids @ centroids.T), 0)) + 1e-7
         self.near = np.sqrt(2 - 2 * threshold) / 2 + 1e-9
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,17 +106,19 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(1).to_pylist()
-            places = usable(rows)
-            raw = pa.array([payload(rows[i]) for i in places], pa.binary())
-            dims = pa.array([len(rows[i]) for i in places], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), dims, raw], ["id", "dim", "unit"])
+            raw, dims = [None] * len(rows), [None] * len(rows)
+            for i in usable(rows):
+                raw[i], dims[i] = payload(rows[i]), len(rows[i])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(raw, pa.binary())], ["id", "dim", "unit"])
 
     named = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    valid = materialize(named.mapInArrow(clean, "id long, dim int, unit binary").withColumn("key", F.sha1("unit")), "units")
-    # the smallest id stands for its class; a class of rows without ids stands for nothing
-    classes = valid.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("rep IS NOT NULL")
-    reps = valid.join(classes, "key").where("id = rep").select("rep", "copies", "dim", "unit", "key").dropDuplicates(["key"])
-    reps = materialize(reps.drop("key"), "classes")
+    rows = materialize(named.mapInArrow(clean, "id long, dim int, unit binary").withColumn("key", F.sha1("unit")), "units")
+    valid = rows.where("unit IS NOT NULL")
+    # a class has a number of its own, since an id may repeat or be missing; one of its rows brings the vector
+    classes = valid.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    reps = valid.join(classes, "key").where("id <=> least").select("key", "least", "copies", "dim", "unit").dropDuplicates(["key"])
+    classes = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    reps = classes.select("rep", "copies", "dim", "unit")
     # cells for the most frequent length; vectors of another length share one cell per length
     common = reps.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim, n = (common[0]["dim"], common[0]["count"]) if common else (1, 0)
@@ -210,12 +212,12 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     found = materialize(dealt.groupBy("dim", "cell", "i", "j", "g").applyInArrow(compare, "a long, b long, n long"), "found")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     roots = components(found.where("b IS NOT NULL")).select(F.col("node").alias("rep"), "root")
-    # back to all rows: copies share their class's links and component
-    known = valid.where("id IS NOT NULL").select("id", "key").distinct().join(classes, "key").select("id", "rep", "copies")
-    result = vectors.select(F.col(id_col).cast("long").alias("vec_id")).join(known, F.col("vec_id") == F.col("id"), "left")
-    result = result.join(counts, "rep", "left").join(roots, "rep", "left")
-    component = F.coalesce("root", "rep", "vec_id")
-    links = F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
-    return result.select(
-        "vec_id", links.cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept")
-    )
+    # a component's id is the smallest of its classes; copies share their class's links and component
+    labelled = classes.select("key", "rep", "least", "copies").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    labelled = materialize(labelled.join(counts, "rep", "left"), "labelled")
+    smallest_id = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    per_class = labelled.join(smallest_id, "root").select("key", links.cast("long").alias("n_links"), "component_id")
+    linked = valid.select("id", "key").join(per_class, "key").select(F.col("id").alias("vec_id"), "n_links", "component_id")
+    alone = rows.where("unit IS NULL").select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

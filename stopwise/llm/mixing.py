@@ -104,16 +104,27 @@ def mix(
     seed: int = 7,
     domain: Column | None = None,
     id_col: str = "doc_id",
+    epoch_col: str | None = "_epoch",
 ) -> DataFrame:
-    """The chosen rows of ``docs`` with all their columns, and ``_epoch`` (from 0).
+    """The chosen rows of ``docs`` with all their columns, and their epoch (from 0) as ``epoch_col``.
+
+    Where ``docs`` has a column of that name, the epoch's gets underscores in front until it is free;
+    with None there is no such column.
 
     share: the budget as a part of all tokens there are. weights: per level (domain, lang, source)
     a map from value to weight. domain: how the domain follows from a row's columns.
     """
-    chosen, _ = choose(docs, share, weights, max_epochs, seed, domain, id_col)
+    chosen, _ = choose(docs, share, weights, max_epochs, seed, domain, id_col, epoch_col)
     return chosen
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    taken = {column.lower() for column in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def choose(
     docs: DataFrame,
     share: float,
@@ -122,6 +133,7 @@ def choose(
     seed: int,
     domain: Column | None,
     id_col: str = "doc_id",
+    epoch_col: str | None = "_epoch",
 ) -> tuple[DataFrame, DataFrame]:
     """``mix``'s rows, and the leaf table: LEVELS, tokens, budget, taken_epochs, cut."""
     domain = F.lit("all") if domain is None else domain
@@ -160,4 +172,6 @@ def choose(
     joined = keyed.join(plan.select(*LEVELS, F.col("taken_epochs").alias("whole"), "cut"), [*LEVELS])
     last = F.when(_place("_id", seed, F.col("whole")) <= F.col("cut"), F.col("whole") + 1).otherwise(F.col("whole"))
     chosen = joined.select("row", F.explode(F.sequence(F.lit(0), last)).alias("_epoch"), last.alias("last")).where("_epoch < last")
-    return chosen.select("row.*", "_epoch"), plan
+    epoch = [F.col("_epoch").alias(free_name(docs, epoch_col))] if epoch_col else []
+    # named one by one: a column of the documents may be called like one of these
+    return chosen.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], *epoch), plan

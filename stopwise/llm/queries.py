@@ -111,7 +111,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     mixed = mixing.mix(docs, share=0.6, weights=WEIGHTS, max_epochs=2, seed=7, domain=domain_of(F.col("source")))
     return mixed.select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", F.col("_epoch").cast("long").alias("epoch"))
 

@@ -11,7 +11,7 @@
 
 Defined results: a null html is an empty payload; a null url an empty target; line breaks in a url
 are percent-encoded in the header. Pages that repeat the smallest id are all responses, and a page
-without an id is a response. Payloads below ``min_bytes`` are always responses. An empty table gives
+without an id is a response. Rows that share an id are records of their own, each with its own payload. Payloads below ``min_bytes`` are always responses. An empty table gives
 no archives and an empty index. Columns other than page_id, url and html are ignored.
 """
 
@@ -64,7 +64,7 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     first = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
     # written, so that its size is known before the pages are joined: few revisits need no shuffle of payloads
     revisits = materialize(
-        digests.join(first, "digest").where("page_id > refers_to").select("page_id", "refers_to").distinct(), "revisits"
+        digests.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct(), "revisits"
     )
     url = F.coalesce("url", F.lit(""))
     payload = F.when(F.col("refers_to").isNull(), html).otherwise("")
@@ -78,13 +78,15 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         F.concat(F.lit("WARC-Date: "), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         F.concat(F.lit("WARC-Target-URI: "), safe_url),
         F.concat(F.lit("X-URL-Key: "), F.replace(F.replace(url_key(url), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32_sha1(html)),
+        F.concat(F.lit("WARC-Payload-Digest: sha1:"), "digest"),
         F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">")),
         F.concat(F.lit("X-Payload-Length: "), size.cast("string")),
         F.lit("Content-Type: text/html; charset=utf-8"),
         F.concat(F.lit("Content-Length: "), F.octet_length(payload).cast("string")),
     )
-    known = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").join(revisits, "page_id", "left")
+    # an id may repeat with another payload, so a revisit is known by both
+    named = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", base32_sha1(html).alias("digest"))
+    known = named.join(revisits, ["page_id", "digest"], "left")
     return known.select(F.concat(lines, F.lit(END), payload).alias("record"))
 
 

@@ -223,3 +223,22 @@ def test_warc(spark, monkeypatch):
         assert (r.record_type, r.refers_to) == ("response" if expected is None else "revisit", expected)
     assert {r.record_type for r in warc.capture_histories(table, min_bytes=5).collect()} == {"response"}
     assert warc.capture_histories(table.limit(0)).count() == 0
+
+
+def test_warc_keeps_every_payload_of_a_repeated_id(spark):
+    pages = [(1, "http://a/1", "first"), (2, "http://a/2", "first"), (2, "http://a/2", "unique"), (2, "http://a/2", "first"), (3, "http://a/3", "first"), (1, "http://a/1", "first")]
+    rows = warc.capture_histories(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)).collect()
+    digest = lambda text: base64.b32encode(hashlib.sha1(text.encode()).digest()).decode()
+    expected = [(page, digest(html), *(("revisit", 1) if html == "first" and page > 1 else ("response", None))) for page, _, html in pages]
+    assert sorted(((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in rows), key=str) == sorted(expected, key=str)
+
+
+def test_embeddings_with_repeated_and_missing_ids(spark):
+    a, near, far, alone = [1.0, 0.0, 0.0], [0.99, 0.05, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(7, a), (7, far), (3, far), (None, near), (9, near), (None, alone), (None, alone), (5, None), (None, None), (7, a)]
+    found = embeddings.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in found), key=str)
+    # two rows of 7 and both rows near them link; its third row links with 3 only
+    expected = [(7, 3, 7, True), (7, 3, 7, True), (9, 3, 7, False), (None, 3, 7, False), (7, 1, 3, False), (3, 1, 3, True)]
+    expected += [(None, 1, None, False), (None, 1, None, False), (5, 0, 5, True), (None, 0, None, False)]
+    assert got == sorted(expected, key=str)

@@ -201,3 +201,12 @@ def test_pipeline_stage_by_stage(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, current, path)
     assert last.count() == current.count()
     assert corpus_pipeline.STAGES[0][1](spark, docs.limit(0), path).count() == 0
+
+
+def test_mix_keeps_a_column_called_like_the_epoch(spark):
+    docs = spark.createDataFrame([(i, "one two three", "en", "src1", f"own {i}", 1) for i in range(6)], "doc_id long, text string, lang string, source string, _epoch string, row int")
+    chosen = mixing.mix(docs, share=2.0, max_epochs=2)
+    assert chosen.columns == [*docs.columns, "__epoch"]
+    assert sorted((r["doc_id"], r["_epoch"], r["__epoch"]) for r in chosen.collect()) == [(i, f"own {i}", e) for i in range(6) for e in (0, 1)]
+    plain = mixing.mix(docs, share=0.5, epoch_col=None)
+    assert plain.columns == docs.columns and 0 < plain.count() <= 6
