@@ -37,7 +37,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, share=0.9, weights=WEIGHTS, max_epochs=1, seed=7, domain=domain_of(F.col("source"))).drop("_epoch")
+    return mixing.mix(docs, share=0.9, weights=WEIGHTS, max_epochs=1, seed=7, domain=domain_of(F.col("source")), epoch_col=None)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
