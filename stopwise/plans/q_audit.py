@@ -11,6 +11,7 @@ from stopwise.plans import oracle as o
 from stopwise.plans import q_calibration as qc
 from stopwise.plans import q_pairs as qp
 from stopwise.plans.q_coverage import combos
+from stopwise.plans.q_gates import ge, gate_sql
 from stopwise.plans.q_policy import decisions, grid, outcomes
 from stopwise.plans.q_text import run_cells, run_lengths
 from stopwise.plans.oracle import view
@@ -121,10 +122,16 @@ QUERIES = [
                avg(c.m - c.n) AS mean_offset
              FROM v_outcome_class d LEFT JOIN (SELECT traj_id, count(*) AS n, max(n_steps_total) AS m FROM v_preds GROUP BY 1) c ON c.traj_id = d.traj_id GROUP BY 1"""),
     Query("j13_pipeline_feasibility", "criterion:s value:d required:d passed:b label:s", lambda t: feasibility(t),
-          """SELECT 'runs_mapped' AS criterion, CAST((SELECT count(*) FROM v_docs WHERE status = 'PASS') AS DOUBLE) AS value, 1.0 AS required, true AS passed, NULL AS label
-             UNION ALL SELECT 'step_build_errors', (SELECT count(*) FROM v_docs WHERE stage = 'step_builder'), 0.0, (SELECT count(*) FROM v_docs WHERE stage = 'step_builder') = 0, NULL
-             UNION ALL SELECT 'late_events_observable', (SELECT count(*) FROM v_events WHERE is_edit OR is_test OR is_submit), 1.0, true, NULL
-             UNION ALL SELECT 'RESULT', NULL, NULL, NULL, CASE WHEN (SELECT count(*) FROM v_docs WHERE stage = 'step_builder') = 0 THEN 'FEASIBLE' ELSE 'PARTIALLY_FEASIBLE' END"""),
+          gate_sql(f"""SELECT (SELECT count(*) FROM v_docs) AS documents, (SELECT count(*) FROM v_docs WHERE status = 'PASS') AS mapped, (SELECT count(*) FROM v_docs WHERE stage = 'step_builder') AS errors,
+               (SELECT avg((resolved IS NOT NULL)::INT) FROM v_docs WHERE status = 'PASS') AS labelled, (SELECT count(*) FROM v_events WHERE is_edit OR is_test OR is_submit) AS late,
+               (SELECT max(is_edit::INT) + max(is_test::INT) + max(is_submit::INT) FROM v_events) AS signals,
+               (SELECT count(*) FROM v_dec d LEFT JOIN v_grid g ON g.traj_id = d.traj_id AND g.threshold = {fixed.PRIMARY_THRESHOLD} WHERE d.decision IS DISTINCT FROM g.decision) AS changed,
+               (SELECT avg((resolved IS NOT NULL)::INT) FROM v_dec WHERE decided) AS comparable""",
+                   [("decisions_reproducible", "changed", 0.0, "changed = 0"), ge("decisions_comparable", "comparable", 1), ge("documents_obtainable", "documents", 1),
+                    ge("labels_recoverable", "labelled", 1), ge("runs_mapped", "mapped", 1), ge("late_events_observable", "late", 1), ge("post_stop_signals", "signals", 2),
+                    ("step_build_errors", "errors", 0.0, "errors = 0")],
+                   """CASE WHEN changed = 0 AND comparable >= 1 AND documents >= 1 AND labelled >= 1 AND mapped >= 1 AND late >= 1 AND signals >= 2 AND errors = 0
+                        THEN 'FEASIBLE' ELSE 'PARTIALLY_FEASIBLE' END""")),
     Query("s1_union_all", "traj_id:i side:s", lambda t: t.runs().select("traj_id", F.lit("runs").alias("side")).unionByName(t.preds().select("traj_id", F.lit("preds").alias("side"))),
           "SELECT traj_id, 'runs' AS side FROM v_runs UNION ALL SELECT traj_id, 'preds' FROM v_preds"),
     Query("s2_intersect_tasks", "instance_id:s", lambda t: model_tasks(t, _A).intersect(model_tasks(t, _B)), f"{_TASKS(_A)} INTERSECT {_TASKS(_B)}"),
@@ -147,11 +154,34 @@ def sym_diff(t):
 
 def feasibility(t):
     from stopwise.operators import gates
-    from stopwise.plans.q_ingest import checked
-
-    docs = checked(t).agg(F.count_if(F.col("status") == "PASS").alias("runs_mapped"), F.count_if(F.col("stage") == "step_builder").alias("step_build_errors"))
-    seen = events.detect_events(t.steps()).agg(F.count_if(F.col("is_edit") | F.col("is_test") | F.col("is_submit")).alias("late_events"))
-    wide = gates.one_row([gates.facts(docs, [], ["runs_mapped", "step_build_errors"]), gates.facts(seen, [], ["late_events"])], ["runs_mapped", "step_build_errors", "late_events"])
-    errors = F.col("step_build_errors")
-    checks = [gates.at_least("runs_mapped", "runs_mapped", 1), ("step_build_errors", errors, 0.0, errors == 0), gates.at_least("late_events_observable", "late_events", 1)]
+    from stopwise.plans.q_ingest import checked, contract
+
+    mapped = checked(t)
+    docs = mapped.agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.count_if(F.col("status") == "PASS").alias("runs_mapped"),
+        F.count_if(F.col("stage") == "step_builder").alias("step_build_errors"),
+    )
+    labels = contract(t).agg(F.avg(F.col("resolved").isNotNull().cast("int")).alias("labelled"))
+    kinds = [F.max(F.col(c).cast("int")) for c in ("is_edit", "is_test", "is_submit")]
+    seen = events.detect_events(t.steps()).agg(F.count_if(F.col("is_edit") | F.col("is_test") | F.col("is_submit")).alias("late_events"), sum(kinds[1:], kinds[0]).alias("signals"))
+    again = grid(t).where(F.col("threshold") == fixed.PRIMARY_THRESHOLD).select("traj_id", F.col("decision").alias("other"))
+    own = decisions(t).join(again, "traj_id", "left").agg(
+        F.count_if(~F.col("decision").eqNullSafe(F.col("other"))).alias("changed"),
+        F.avg(F.when(F.col("decided"), F.col("resolved").isNotNull().cast("int"))).alias("comparable"),
+    )
+    names = ["documents", "runs_mapped", "step_build_errors", "labelled", "late_events", "signals", "changed", "comparable"]
+    parts = [(docs, names[:3]), (labels, names[3:4]), (seen, names[4:6]), (own, names[6:])]
+    wide = gates.one_row([gates.facts(frame, [], part) for frame, part in parts], names)
+    none = lambda name, c: (name, F.col(c), 0.0, F.col(c) == 0)
+    checks = [
+        none("decisions_reproducible", "changed"),
+        gates.at_least("decisions_comparable", "comparable", 1),
+        gates.at_least("documents_obtainable", "documents", 1),
+        gates.at_least("labels_recoverable", "labelled", 1),
+        gates.at_least("runs_mapped", "runs_mapped", 1),
+        gates.at_least("late_events_observable", "late_events", 1),
+        gates.at_least("post_stop_signals", "signals", 2),
+        none("step_build_errors", "step_build_errors"),
+    ]
     return gates.gate(wide, checks, lambda ok: F.when(gates._all(ok), "FEASIBLE").otherwise("PARTIALLY_FEASIBLE"))
