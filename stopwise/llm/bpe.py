@@ -28,10 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Longest pre-token kept in a worker's memo, and entries after which the memo starts anew.
-MEMO_BYTES, MEMO_ENTRIES = 64, 200_000
+from stopwise.llm.worker import released, sliced
+
+#: Longest pre-token kept in a worker's memo, and the bytes (with some 300 of Python's own an entry) after which it starts anew.
+MEMO_BYTES, MEMO_HELD = 64, 24_000_000
 #: Characters of text whose pre-tokens are looked up together; longer texts are taken alone and whole.
-BUFFER_CHARS = 3_000_000
+BUFFER_CHARS = 1_000_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -116,7 +118,7 @@ class Codec:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.pieces = regex.compile(pattern).findall
-        self.memo: dict[str, tuple[str, bytes]] = {}
+        self.start()
         self.single = np.array([ranks[bytes([b])] for b in range(256)])
         # every way to make a token of two others, as sorted keys
         pairs = [
@@ -128,6 +130,11 @@ class Codec:
         table = np.array(sorted(pairs), np.int64).reshape(-1, 2)
         self.pair_keys, self.pair_ranks = np.ascontiguousarray(table[:, 0]), np.ascontiguousarray(table[:, 1])
 
+    def start(self) -> None:
+        """An empty memo."""
+        self.memo: dict[str, tuple[str, bytes]] = {}
+        self.held = 0
+
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of the merges of neighbouring tokens, -1 where there is none."""
         keys = left << 32 | right
@@ -193,6 +200,7 @@ class Codec:
         short = [piece for piece, own in raw.items() if len(own) <= MEMO_BYTES]
         for piece, ids in zip(short, self.merge_many([raw[piece] for piece in short])):
             self.memo[piece] = ",".join(map(str, ids)), self.decode(ids)
+            self.held += 300 + 4 * len(raw[piece])
         for piece in raw.keys() - set(short):
             ids = self.merge(raw[piece])
             self.memo[piece] = ",".join(map(str, ids)), self.decode(ids)
@@ -271,11 +279,11 @@ class Codec:
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Per text: token count, digest of the decimal ids joined by commas, digest of the decoded bytes."""
-        memo, out, first = self.memo, [], 0
+        out, first = [], 0
         while first < len(texts):
-            if len(memo) >= MEMO_ENTRIES:
-                memo.clear()
-            found, chars = [], 0
+            if self.held >= MEMO_HELD:
+                self.start()
+            memo, found, chars = self.memo, [], 0
             while first < len(texts) and chars < BUFFER_CHARS:
                 found.append(self.pieces(texts[first]))
                 chars += len(texts[first])
@@ -299,6 +307,12 @@ class Codec:
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
+def forget() -> None:
+    """Drop the memos that a task filled."""
+    for own in _CODECS.values():
+        own.start()
+
+
 def codec(path: str, pattern: str) -> Codec:
     """One codec per worker process and vocabulary."""
     found = _CODECS.get((path, pattern))
@@ -312,12 +326,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [c.encode(text or "") for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
 
     kept = docs.select(id_col, text_col)
-    return kept.mapInArrow(run, f"{id_col} {kept.schema[id_col].dataType.simpleString()}, ids array<int>")
+    return kept.mapInArrow(released(run, forget), f"{id_col} {kept.schema[id_col].dataType.simpleString()}, ids array<int>")
 
 
 def decode(ids: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -330,7 +344,7 @@ def decode(ids: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], [id_col, "bytes"])
 
     kept = ids.select(id_col, ids_col)
-    return kept.mapInArrow(run, f"{id_col} {kept.schema[id_col].dataType.simpleString()}, bytes binary")
+    return kept.mapInArrow(released(run, forget), f"{id_col} {kept.schema[id_col].dataType.simpleString()}, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,7 +352,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = c.digests([text or "" for text in batch.column(1).to_pylist()])
             n, ids, raw = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -348,4 +362,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     from pyspark.sql import functions as F
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(released(run, forget), SCHEMA)

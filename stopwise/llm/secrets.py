@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stopwise.llm.sampling import smallest
+from stopwise.llm.worker import released, sliced
 from stopwise.session import materialize
 
 KEYED = r"(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)"
@@ -68,7 +69,7 @@ SHORTEST, LONGEST = 3, 12
 #: Kinds of rows of the language counts.
 PAIR, KNOWN, ALL = range(3)
 #: What a task counts at once: characters read, and distinct words.
-HELD_CHARS, HELD_WORDS = 1 << 24, 100_000
+HELD_CHARS, HELD_WORDS = 1 << 24, 50_000
 SCHEMA = "doc_id long, start int, end int, kind string, length int, digest string, features array<double>"
 
 
@@ -124,7 +125,7 @@ def _language_counts(docs: DataFrame) -> DataFrame:
             types = (pa.string(), pa.int32(), pa.string(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((langs, kinds, keys, list(out.values())), types)], ["lang", "kind", "key", "n"])
 
-        for batch in batches:
+        for batch in sliced(batches, 0):
             for text, lang in zip(*(c.to_pylist() for c in batch.columns)):
                 seen.setdefault(lang or "", Counter()).update(WORD.findall(text or ""))
                 chars += len(text or "")
@@ -134,7 +135,7 @@ def _language_counts(docs: DataFrame) -> DataFrame:
         yield flush()
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    counted = docs.select("text", lang.alias("lang")).mapInArrow(run, "lang string, kind int, key string, n long")
+    counted = docs.select("text", lang.alias("lang")).mapInArrow(released(run), "lang string, kind int, key string, n long")
     return counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -313,7 +314,7 @@ def scan(docs: DataFrame, scanner: Scanner, threshold: float = 0.5) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.float64())]
         names = [part.split()[0] for part in SCHEMA.split(", ")]
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc, text, source in zip(*(c.to_pylist() for c in batch.columns)):
                 for s, e, kind in candidates(text or ""):
@@ -322,7 +323,7 @@ def scan(docs: DataFrame, scanner: Scanner, threshold: float = 0.5) -> DataFrame
             columns = list(zip(*rows)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    found = docs.select(F.col("doc_id").cast("long"), "text", F.col("source").cast("string")).mapInArrow(run, SCHEMA)
+    found = docs.select(F.col("doc_id").cast("long"), "text", F.col("source").cast("string")).mapInArrow(released(run), SCHEMA)
     return _judged(found, scanner, threshold).select("doc_id", "start", "end", "kind", "length", "digest", "score", "secret")
 
 
@@ -338,7 +339,7 @@ def redact(docs: DataFrame, scanner: Scanner, threshold: float = 0.5, mark: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         language, trees = plain.value
-        for batch in batches:
+        for batch in sliced(batches, text_at):
             texts = batch.column(text_at).to_pylist()
             sources = batch.column(source_at).to_pylist() if source_at >= 0 else [None] * len(texts)
             changed = False
@@ -364,7 +365,7 @@ def redact(docs: DataFrame, scanner: Scanner, threshold: float = 0.5, mark: str
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def plain_trees(forest: RandomForestClassificationModel) -> list:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stopwise.llm.worker import by_size, released
+from stopwise.llm.worker import released, sliced
 
 SUFFIX = "</w>"
 #: Characters of text whose distinct words make one trie; a longer text is read in windows of about this size.
@@ -296,8 +296,6 @@ def windows(text: str) -> Iterator[str]:
 
 
 _CODECS: dict[str, Codec] = {}
-#: Bytes of text that a worker handles together.
-BATCH_BYTES = 4_000_000
 
 
 def codec(path: str) -> Codec:
@@ -317,9 +315,8 @@ def forget() -> None:
 def _map(docs: DataFrame, path: str, rows, schema: str, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
-            for part in by_size(batch, BATCH_BYTES):
-                yield rows(c, part.column(0), part.column(1))
+        for part in sliced(batches):
+            yield rows(c, part.column(0), part.column(1))
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run, forget), schema)
 

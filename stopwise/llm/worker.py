@@ -41,13 +41,18 @@ def released(run: Callable[[Batches], Batches], *forget: Callable[[], None]) ->
     return bounded
 
 
-def by_size(batch: pa.RecordBatch, limit: int, column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``limit`` bytes of a text column each; a longer text is a slice of its own."""
-    first, held = 0, 0
-    for row, size in enumerate(pc.binary_length(batch.column(column)).fill_null(0).to_pylist()):
-        if held and held + size > limit:
-            yield batch.slice(first, row - first)
-            first, held = row, 0
-        held += size
-    if first < batch.num_rows:
-        yield batch.slice(first)
+#: Bytes of text that a worker handles at a time; a longer text is taken alone.
+SLICE_BYTES = 1_000_000
+
+
+def sliced(batches: Batches, column: int = 1, limit: int = SLICE_BYTES) -> Batches:
+    """Batches cut by the bytes of a text column, whose rows may be of very different length."""
+    for batch in batches:
+        first, held = 0, 0
+        for row, size in enumerate(pc.binary_length(batch.column(column)).fill_null(0).to_pylist()):
+            if held and held + size > limit:
+                yield batch.slice(first, row - first)
+                first, held = row, 0
+            held += size
+        if first < batch.num_rows:
+            yield batch.slice(first)
