@@ -40,11 +40,13 @@ from pyspark.sql import functions as F
 
 from stopwise.llm.graph import components, forest
 from stopwise.llm.hashing import column_bytes, mix64, shingle_hashes, word_hashes
+from stopwise.llm.worker import released, sliced
 from stopwise.session import materialize
 
 SLACK, CUTS = 1, 8
-#: A fragment with more documents (classes) than this is compared by blocks of about ``BLOCK_GRAMS`` n-grams.
-PAIRED, BLOCK_GRAMS = 24, 300_000
+#: A fragment with more documents (classes) than this is compared by blocks of about ``BLOCK_GRAMS`` n-grams and at most
+#: about ``BLOCK_DOCS`` documents, which bounds a block's matrix of documents.
+PAIRED, BLOCK_GRAMS, BLOCK_DOCS = 24, 300_000, 2048
 #: Keys that are packed together.
 PACKED = 500_000
 #: Coarse fragments for counting overlaps.
@@ -169,7 +171,7 @@ def set_sizes(docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
     """``doc_id, n, cap, h1, h2``: size and digest of every row's set; cap: see ``votes_needed``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n, h1, h2 = [], [], []
             for _, grams, sizes in _sets(column_bytes(batch.column(1)), k):
                 a, b = _digest(grams, sizes)
@@ -183,7 +185,7 @@ def set_sizes(docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
             columns = [batch.column(0), *map(pa.array, (n, cap, h1, h2))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cap", "h1", "h2"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, cap long, h1 long, h2 long")
+    return docs.mapInArrow(released(run), "doc_id long, n long, cap long, h1 long, h2 long")
 
 
 def votes_needed(threshold: Threshold) -> Column:
@@ -218,7 +220,7 @@ def fragment_groups(docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         keys, owners, n = [], [], 0
-        for batch in batches:
+        for batch in sliced(batches):
             ids = np.asarray(batch.column(0))
             for first, grams, sizes in _sets(column_bytes(batch.column(1)), k):
                 new = np.zeros(len(sizes), bool)
@@ -249,7 +251,7 @@ def fragment_groups(docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
         part = data.column("part")[0].as_py()
         return pa.table({"key": key[shared] | np.int64(part << 48), "doc_id": doc[shared]})
 
-    packed = docs.mapInArrow(cut, "part int, keys binary, docs binary")
+    packed = docs.mapInArrow(released(cut), "part int, keys binary, docs binary")
     return packed.groupBy("part").applyInArrow(group, "key long, doc_id long")
 
 
@@ -257,7 +259,7 @@ def fragments(docs: DataFrame, k: int) -> DataFrame:
     """``doc_id, fragment, grams``: the coarse fragments of every row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids = np.asarray(batch.column(0))
             for first, grams, sizes in _sets(column_bytes(batch.column(1)), k):
                 owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -269,7 +271,7 @@ def fragments(docs: DataFrame, k: int) -> DataFrame:
                 columns = [pa.array(ids[first + owner[at]]), pa.array(fragment[at].astype(np.int32)), lists]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fragment", "grams"])
 
-    return docs.mapInArrow(run, "doc_id long, fragment int, grams array<long>")
+    return docs.mapInArrow(released(run), "doc_id long, fragment int, grams array<long>")
 
 
 def _parts(needed: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -282,7 +284,7 @@ def _parts(needed: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 def _products(groups: DataFrame, docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
     """Links ``a, b`` (a spanning forest) among the classes of each group; ``groups`` has root, class, n."""
-    total = F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("blocks")
+    total = F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("blocks")
     blocked = groups.join(groups.groupBy("root").agg(total), "root")
     blocked = blocked.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     parts = _parts(groups.select(F.col("class").alias("doc_id")), docs, k)
@@ -331,8 +333,10 @@ def _products(groups: DataFrame, docs: DataFrame, k: int, threshold: Threshold)
                     m[rows[here], cols[here] - first] = 1
                     dense.append(m)
                 shared += dense[0] @ dense[1].T
-        union = n_a[:, None] + n_b[None] - shared.astype(np.int64)
-        linked = shared.astype(np.int64) * threshold.den >= union * threshold.num
+        linked = np.empty(shared.shape, bool)
+        for i in range(0, len(a), 256):
+            both = shared[i : i + 256].astype(np.int64)
+            linked[i : i + 256] = both * threshold.den >= (n_a[i : i + 256, None] + n_b[None] - both) * threshold.num
         if len(sides) == 1:
             np.fill_diagonal(linked, False)
         found = forest(linked, a, b)
@@ -341,17 +345,21 @@ def _products(groups: DataFrame, docs: DataFrame, k: int, threshold: Threshold)
     return dealt.groupBy("root", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
-    """The linked ones of ``pairs`` (a, n_a, b, n_b): overlaps by fragment, summed per pair."""
+def _overlaps(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """``pairs`` (a, n_a, b, n_b) with ``shared``: overlaps by fragment, summed per pair."""
     parts = _parts(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, k)
     left = parts.select(F.col("doc_id").alias("a"), "fragment", F.col("grams").alias("x"))
     right = parts.select(F.col("doc_id").alias("b"), "fragment", F.col("grams").alias("y"))
     both = pairs.join(left, "a").join(right, ["b", "fragment"])
     # repeated rows bring equal fragments twice, so a fragment's overlap is a maximum
     partial = both.groupBy("a", "b", "n_a", "n_b", "fragment").agg(F.max(F.size(F.array_intersect("x", "y"))).alias("shared"))
-    shared = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
+    return partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
+
+
+def _links(pairs: DataFrame, docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
+    """The linked ones of ``pairs`` (a, n_a, b, n_b)."""
     union = F.col("n_a") + F.col("n_b") - F.col("shared")
-    return shared.where(F.col("shared") * threshold.den >= union * threshold.num).select("a", "b")
+    return _overlaps(pairs, docs, k).where(F.col("shared") * threshold.den >= union * threshold.num).select("a", "b")
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:

@@ -163,6 +163,69 @@ def test_near_pairs_verify_jaccard(spark):
     assert not {i for pair in found for i in pair} & {4, 5, 6}
 
 
+@pytest.mark.parametrize("paired", [24, 3])
+def test_near_groups_of_a_template_equal_brute_force(spark, monkeypatch, paired):
+    """Near and not so near texts of one template in shared buckets; buckets compared in pairs, and in blocks."""
+    monkeypatch.setattr(fingerprints.ngram_join, "PAIRED", paired)
+    monkeypatch.setattr(fingerprints.ngram_join, "BLOCK_DOCS", 16)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = [None, "", "one two"]
+    for _ in range(90):
+        words = list(base)
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            words[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(words))
+    sets = [set(zip(*[(t or "").split()[i:] for i in range(5)])) or ({tuple((t or "").split())} if (t or "").split() else set()) for t in texts]
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in linked:
+            root[i] = root[j] = min(root[i], root[j])
+    got = {r.doc_id: r.group_id for r in fingerprints.near_groups(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(root))
+    pairs = {(r.a, r.b): r.jaccard for r in fingerprints.near_pairs(frame(spark, texts)).collect()}
+    for (a, b), jaccard in pairs.items():
+        if jaccard is None:  # tied by blocks: of one component
+            assert root[a] == root[b]
+        else:
+            assert (b, a) in linked and jaccard == pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b]))
+    assert fingerprints.near_groups(frame(spark, texts).where("false")).count() == 0
+
+
+def minhash(text):
+    """Signature of a text, one shingle and permutation at a time."""
+    words = [w.lower() for w in (text or "").encode().split()]
+    grams = [words[i : i + 5] for i in range(max(1, len(words) - 4))] if words else []
+    mask = (1 << 64) - 1
+    seeds = [int(v) for v in fingerprints._seeds]
+    hashed = [int(next(hashing.word_hashes([w]))[1][0]) for w in words]
+    values = []
+    for i, gram in enumerate(grams):
+        total = 0
+        for j in range(5):
+            total = int(hashing.mix64(np.array([(total + (hashed[i + j] if j < len(gram) else 0) + j + 1) & mask], np.uint64))[0])
+        values.append(total)
+    n = fingerprints.PERMUTATIONS
+    minima = [min(((v * (seeds[p] | 1)) + seeds[n + p]) & mask for v in values) if values else mask for p in range(n)]
+    return [0xFFFF if m == mask else int(hashing.mix64(np.array([m], np.uint64))[0]) >> 48 for m in minima]
+
+
+def test_likeness_of_edited_and_following_texts(spark):
+    texts = ["a b c d e f g h i j", "a b c d e f g h i k", None, "é " * 30, "A B C D E F G H I J", "x"]
+    rows = {r.doc_id: r for r in fingerprints.edited_fingerprints(frame(spark, texts)).collect()}
+    like = lambda a, b: float(a == b) if not a or not b else sum(x == y for x, y in zip(minhash(a), minhash(b))) / 64
+    for i, text in enumerate(texts):
+        text, following = text or "", texts[(i + 1) % len(texts)] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        assert rows[i].fingerprint == "".join(f"{v:04x}" for v in minhash(text))
+        assert rows[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        blank = lambda t: t if t.split() else ""
+        assert rows[i].near_edited == pytest.approx(like(blank(text), blank(edited)))
+        assert rows[i].near_next == pytest.approx(like(blank(text), blank(following)))
+
+
 def test_query_over_test_tables(spark):
     path = "/root/testdata/sf0.001"
     n = queries.table(spark, path, "documents").count()
