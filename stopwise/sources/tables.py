@@ -82,6 +82,7 @@ class Tables:
         return self.read("lineitem").select(
             F.col("l_orderkey").alias("traj_id"),
             (F.row_number().over(order) - 1).alias("prefix_step_idx"),
+            (F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")) - 1).cast("int").alias("n_steps_total"),
             F.col("l_quantity").alias("quantity"),
             F.col("l_discount").alias("discount"),
             F.col("l_tax").alias("min_tax"),
@@ -90,13 +91,20 @@ class Tables:
             ((F.col("l_linestatus") == "O") & (F.col("l_tax") >= 0.07)).alias("traceback"),
         )
 
+    def lines(self) -> DataFrame:
+        """Numbered lines, written once per query: predictions and steps are both read from them.
+
+        Columns are named anew at every call, so that two views can be joined.
+        """
+        kept = self.once("lines", self._lines, keep=True)
+        return kept.select(*[F.col(c).alias(c) for c in kept.columns])
+
     def preds(self) -> DataFrame:
         """One row per scored prefix: two head scores."""
-        whole = Window.partitionBy("traj_id")
-        return self._lines().select(
+        return self.lines().select(
             "traj_id",
             "prefix_step_idx",
-            F.max("prefix_step_idx").over(whole).alias("n_steps_total"),
+            "n_steps_total",
             F.round(0.5 + F.col("quantity") / 100, 6).alias("p_success"),
             F.round(0.5 + 4.9 * F.col("discount"), 6).alias("p_failure"),
         )
@@ -110,7 +118,7 @@ class Tables:
         """One row per executed step, 1-based."""
         texts = F.array(*[F.lit(a) for a in ACTIONS])
         step = F.col("prefix_step_idx") + 1
-        return self._lines().select(
+        return self.lines().select(
             "traj_id",
             step.alias("step_idx"),
             F.get(texts, (F.col("prefix_step_idx") % 7).cast("int")).alias("action_text"),
