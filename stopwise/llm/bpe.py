@@ -14,7 +14,7 @@ rescans its parts, which is what makes very long pre-tokens cheap.
 
 Defined results: a null text counts as empty; an empty text has no ids, its digests are those of
 the empty string; rows are independent, so repeated rows give repeated results, and columns other
-than the id and the text are ignored.
+than the id and the text are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

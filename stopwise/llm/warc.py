@@ -39,9 +39,12 @@ RUN = (
 )
 
 
-def base32_sha1(text: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a UTF-8 text: five hex digits make four letters."""
-    digest = F.sha1(F.encode(text, "UTF-8"))
+def hex_sha1(text: Column) -> Column:
+    return F.sha1(F.encode(text, "UTF-8"))
+
+
+def base32_of(digest: Column) -> Column:
+    """Upper-case base32 of a digest of 40 hex digits: five of them make four letters."""
     letters = []
     for group in range(8):
         value = F.conv(F.substring(digest, 5 * group + 1, 5), 16, 10).cast("int")
@@ -59,7 +62,7 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """One column ``record``: the full text of each record without its end mark."""
     html = F.coalesce("html", F.lit(""))
     size = F.octet_length(html).cast("long")
-    cut = pages.select(F.col("page_id").cast("long").alias("page_id"), base32_sha1(html).alias("digest"), size.alias("bytes"))
+    cut = pages.select(F.col("page_id").cast("long").alias("page_id"), hex_sha1(html).alias("digest"), size.alias("bytes"))
     digests = materialize(cut.where(F.col("bytes") >= min_bytes), "digests")
     first = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
     # written, so that its size is known before the pages are joined: few revisits need no shuffle of payloads
@@ -78,14 +81,14 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         F.concat(F.lit("WARC-Date: "), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         F.concat(F.lit("WARC-Target-URI: "), safe_url),
         F.concat(F.lit("X-URL-Key: "), F.replace(F.replace(url_key(url), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), "digest"),
+        F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32_of(F.col("digest"))),
         F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">")),
         F.concat(F.lit("X-Payload-Length: "), size.cast("string")),
         F.lit("Content-Type: text/html; charset=utf-8"),
         F.concat(F.lit("Content-Length: "), F.octet_length(payload).cast("string")),
     )
     # an id may repeat with another payload, so a revisit is known by both
-    named = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", base32_sha1(html).alias("digest"))
+    named = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", hex_sha1(html).alias("digest"))
     known = named.join(revisits, ["page_id", "digest"], "left")
     return known.select(F.concat(lines, F.lit(END), payload).alias("record"))
 
