@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from stopwise import fixed
 from stopwise.functions import stats
+from stopwise.operators.ingest import evaluate_once
 from stopwise.operators.ranking import range_ids, top_by
+from stopwise.session import materialize
 
 
 def tokens(text: str | Column) -> Column:
@@ -24,13 +26,26 @@ def grams(toks: Column) -> Column:
     return F.concat(toks, pairs)
 
 
+def row_counts(rows: DataFrame, keys: Sequence[str], text: str, **carried: Column) -> DataFrame:
+    """One row per key with ``items array<struct<term, cnt>>`` of its whole texts, and the aggregates ``carried``.
+
+    Texts meet by key, so a key that repeats is counted as one; only texts are shuffled, never terms. A row's
+    terms are sorted inside the row and counted by the lengths of equal runs. Keys without terms have no row.
+    """
+    grouped = rows.groupBy(*keys).agg(F.collect_list(text).alias("_texts"), *[c.alias(n) for n, c in carried.items()])
+    terms = F.sort_array(F.flatten(F.transform(F.transform("_texts", tokens), grams)))
+    n = F.size("_terms")
+    sorted_terms = evaluate_once(grouped, _terms=terms).where(n > 0)
+    first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("_terms", i) != F.get("_terms", i - 1)))
+    runs = evaluate_once(sorted_terms, _first=first)
+    ends = F.concat(F.slice("_first", F.lit(2), F.size("_first")), F.array(n))
+    items = F.zip_with("_first", ends, lambda a, b: F.struct(F.get("_terms", a).alias("term"), (b - a).cast("long").alias("cnt")))
+    return runs.select(*keys, *carried, items.alias("items"))
+
+
 def term_counts(rows: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """(row, term, count) of the whole text."""
-    return (
-        rows.select(*keys, F.explode(grams(tokens(text))).alias("term"))
-        .groupBy(*keys, "term")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
+    return row_counts(rows, keys, text).select(*keys, F.inline("items"))
 
 
 def prefix_term_counts(runs: DataFrame, actions: str = "actions") -> DataFrame:
@@ -92,52 +107,68 @@ def global_encode(counts: DataFrame, n_rows: DataFrame) -> DataFrame:
     return counts.join(vocab, "term")
 
 
+def train_folds(cells: DataFrame) -> DataFrame:
+    """Per (model, task) cell the folds that train on it."""
+    return cells.where(F.col("role") == "train").groupBy("model_id", "instance_id").agg(F.collect_list("fold").alias("folds"))
+
+
 def fold_vocabulary(
-    counts: DataFrame, rows: DataFrame, cells: DataFrame, max_features: int = fixed.MAX_FEATURES
+    rows: DataFrame, cells: DataFrame, text: str = "text", min_df: int = fixed.MIN_DOCUMENT_FREQUENCY, max_features: int = fixed.MAX_FEATURES
 ) -> DataFrame:
     """Vocabulary of each fold's TRAIN rows.
 
-    df and tf are additive, so they are summed once per (model, task, term) and a fold adds up its
-    training cells; the text counts are read once for all folds.
+    A row brings the folds that train on its cell, so the sums of all folds are columns of one aggregate
+    per term, and terms that no fold keeps end there. Cells and fold names are dimensions, not rows: the
+    cell table is sent to every task.
     """
-    located = counts.join(rows.select("row_id", "model_id", "instance_id"), "row_id")
-    per_cell = term_stats(located, ["model_id", "instance_id"])
-    train = cells.where(F.col("role") == "train").select("fold", "model_id", "instance_id")
-    per_fold = (
-        per_cell.join(train, ["model_id", "instance_id"])
-        .groupBy("fold", "term")
-        .agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
-    )
-    sizes = rows.groupBy("model_id", "instance_id").agg(F.count(F.lit(1)).alias("k"))
-    n = sizes.join(train, ["model_id", "instance_id"]).groupBy("fold").agg(F.sum("k").alias("n"))
-    return vocabulary(per_fold, n, ["fold"], max_features=max_features)
-
-
-def fold_tfidf(counts: DataFrame, rows: DataFrame, cells: DataFrame, max_features: int = fixed.MAX_FEATURES) -> DataFrame:
-    """(fold, row, term, weight): (1 + ln count) x idf of the fold, each row scaled to length one.
-
-    Terms outside the fold's vocabulary add nothing. Counts meet one row per term that packs all folds, and
-    travel by row before they fan out to folds, so the fan-out and the norm's window (the terms of one row)
-    stay inside a task.
+    trains = materialize(train_folds(cells), "trains")
+    names = [r[0] for r in trains.select(F.explode("folds").alias("fold")).distinct().orderBy("fold").collect()]
+    placed = rows.join(F.broadcast(trains), ["model_id", "instance_id"])
+    n = placed.select(F.explode("folds").alias("fold")).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    counts = row_counts(placed.where(F.col("row_id").isNotNull()), ["row_id"], text, folds=F.flatten(F.collect_list("folds")))
+    times = lambda name: F.size(F.filter("folds", lambda f: f == name))
+    terms = evaluate_once(counts, times=F.array(F.lit(0), *[times(name) for name in names])).select("times", F.inline("items"))
+    sums = [
+        F.sum(value).alias(f"{kind}{i}")
+        for i in range(1, len(names) + 1)
+        for kind, value in (("df", F.get("times", F.lit(i))), ("tf", F.get("times", F.lit(i)) * F.col("cnt")))
+    ]
+    per_term = terms.groupBy("term").agg(F.sum(F.lit(0)).alias("df0"), *sums)
+    per_term = per_term.where(F.array_max(F.array("df0", *[f"df{i + 1}" for i in range(len(names))])) >= min_df)
+    none = F.struct(F.lit(None).cast("string").alias("fold"), F.lit(0).cast("long").alias("df"), F.lit(0).cast("long").alias("tf"))
+    per_fold = F.array(none, *[F.struct(F.lit(f).alias("fold"), F.col(f"df{i}").alias("df"), F.col(f"tf{i}").alias("tf")) for i, f in enumerate(names, 1)])
+    return vocabulary(per_term.select("term", F.inline(per_fold)).where("df > 0"), n, ["fold"], min_df, max_features)
+
+
+def raw_tfidf(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(fold, row, term, raw weight): (1 + ln count) x idf of the fold.
+
+    Terms outside the fold's vocabulary add nothing. The vocabularies have at most ``max_features`` terms a
+    fold; one row per term packs all folds and is sent to every task, so the counts stay where they are.
     """
-    vocab = fold_vocabulary(counts, rows, cells, max_features)
     packed = vocab.groupBy("term").agg(F.collect_list(F.struct("fold", "term_id", "idf")).alias("folds"))
-    placed = counts.join(packed, "term").repartition("row_id")
-    raw = placed.select("row_id", "term", "cnt", F.inline("folds")).withColumn("w", (1 + F.ln("cnt")) * F.col("idf"))
+    placed = counts.join(F.broadcast(packed), "term").select("row_id", "term", "cnt", F.inline("folds"))
+    return placed.select("fold", "row_id", "term", "term_id", ((1 + F.ln("cnt")) * F.col("idf")).alias("raw_weight"))
+
+
+def fold_tfidf(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``raw_tfidf`` with each row of a fold also scaled to length one (``weight``)."""
     row = Window.partitionBy("fold", "row_id")
-    return raw.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(row))).select(
-        "fold", "row_id", "term", "term_id", F.col("w").alias("raw_weight"), stats.ratio("w", "norm").alias("weight")
-    )
+    normed = raw_tfidf(counts, vocab).withColumn("norm", F.sqrt(F.sum(F.col("raw_weight") * F.col("raw_weight")).over(row)))
+    return normed.withColumn("weight", stats.ratio("raw_weight", "norm")).drop("norm")
 
 
-def tfidf_summary(weights: DataFrame) -> DataFrame:
-    return weights.groupBy("fold", "row_id").agg(
+def tfidf_summary(raw: DataFrame) -> DataFrame:
+    """Per fold and row what its weights add up to; a row's length divides its sums, so no row is gathered."""
+    sums = raw.groupBy("fold", "row_id").agg(
         F.count(F.lit(1)).alias("terms"),
         F.sum("term_id").alias("id_sum"),
         F.sum(F.col("raw_weight") * F.col("raw_weight")).alias("squared_norm"),
-        F.sum("weight").alias("weight_sum"),
-        F.max("weight").alias("max_weight"),
+        F.sum("raw_weight").alias("raw_sum"),
+        F.max("raw_weight").alias("raw_max"),
     )
+    norm = F.sqrt("squared_norm")
+    return sums.withColumns({"weight_sum": stats.ratio("raw_sum", norm), "max_weight": stats.ratio("raw_max", norm)}).drop("raw_sum", "raw_max")
 
 
 def token_profile(rows: DataFrame, by: Sequence[str], text: str, full: DataFrame) -> DataFrame:
