@@ -4,21 +4,25 @@ Randomised range finder: a thin block V of random columns is multiplied by the f
 and made orthonormal after each, which turns it towards the leading right singular vectors; the final
 product gives the small matrix V'A'AV, whose eigenvectors are the components.
 
-* A fold's rows lie in packed blocks of about ``BLOCK_ENTRIES`` entries, so a fold that holds most rows is
-  many tasks, and a task holds one block and one V.
-* V is a table (one packed row per fold). A product sends a copy of it to each block of its fold, which
-  is less than the block itself, and adds up A_b'(A_b V) per (fold, term) on the map side first.
-* Orthonormalisation sees one V per fold: vocabulary size x (components + ``SPARE``) numbers, bounded by
-  two parameters whatever the number of rows. Nothing goes through the driver, and no loop is over folds.
+* Rows lie in packed blocks of about ``BLOCK_ENTRIES`` entries. A block holds rows of one fold and role, or
+  (``pack_counts``) the term counts of rows of any cell, which all folds share: a task makes a fold's weights
+  from them when it needs them, so the matrix is stored once and not once a fold.
+* V is a table (one packed row per fold): vocabulary size x (components + ``SPARE``) numbers, bounded by two
+  parameters whatever the number of rows. A product broadcasts it; blocks are read where they lie and never
+  shuffled. There are at most as many tasks as slots, and each adds up A_b'(A_b V) over its blocks first, so a
+  product shuffles slots x folds x V at most, however many rows there are.
+* Orthonormalisation sees one V per fold. No loop is over folds but inside a task.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +34,7 @@ SPARE, ITERATIONS = 8, 5
 #: Entries that are multiplied together; bounds the work arrays of a task.
 STRIP = 20_000
 BLOCKS = "fold string, role string, block int, rows binary, starts binary, terms binary, weights binary"
+SHARED = "rows binary, starts binary, terms binary, weights binary, cells binary"
 BASIS = "fold string, size int, width int, singular array<double>, basis binary"
 
 
@@ -62,10 +67,13 @@ def pack_rows(weights: DataFrame, roles: DataFrame) -> DataFrame:
 class Block:
     """One packed block; ``times`` is A_b V and ``back`` is A_b' Y."""
 
-    def __init__(self, data: pa.Table):
-        one = lambda c, kind: np.frombuffer(data.column(c)[0].as_py(), kind)
-        self.rows, self.starts = one("rows", np.int64), one("starts", np.int64)
-        self.terms, self.weights = one("terms", np.int32), one("weights", np.float64)
+    def __init__(self, rows: np.ndarray, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray):
+        self.rows, self.starts, self.terms, self.weights = rows, starts, terms, weights
+
+    @classmethod
+    def read(cls, data: pa.RecordBatch) -> Block:
+        kinds = {"rows": np.int64, "starts": np.int64, "terms": np.int32, "weights": np.float64}
+        return cls(*[np.frombuffer(data.column(c)[0].as_py(), kind) for c, kind in kinds.items()])
 
     def _strips(self) -> Iterator[tuple[int, int]]:
         """Row ranges of about STRIP entries."""
@@ -107,37 +115,144 @@ def _row(fold: str, v: np.ndarray, singular: list[float] | None) -> pa.Table:
     return pa.table([pa.array(x, f.type) for x, f in zip(values, kinds)], schema=kinds)
 
 
-def _beside(blocks: DataFrame, basis: DataFrame, multiply: Callable, schema: str) -> DataFrame:
-    """``multiply`` on each block with a copy of its fold's V."""
-    names = {c: f"{c}_of" for c in ("fold", "role", "block")}
-    copies = blocks.select(*[F.col(c).alias(n) for c, n in names.items()]).join(basis, F.col("fold_of") == F.col("fold"))
-    return blocks.groupBy(*names).cogroup(copies.groupBy(*names.values())).applyInArrow(multiply, schema)
+@dataclass
+class Folds:
+    """What shared blocks need to become a fold's rows; dimensions and vocabularies, bounded by parameters."""
+
+    terms: list[str]  # of all vocabularies, in order
+    places: dict[str, np.ndarray]  # per fold, the places of its terms in ``terms``: term_id is the rank
+    idf: dict[str, np.ndarray]
+    roles: dict[str, np.ndarray]  # per fold the role of each cell, "" for none
+
+    @classmethod
+    def collect(cls, vocab: DataFrame, cells: DataFrame) -> Folds:
+        """``vocab`` has fold, term, term_id, idf; ``cells`` has fold, cell (0 ..) and role."""
+        found = vocab.select("fold", "term", "term_id", "idf").toArrow()
+        terms = pa.array(sorted(set(found.column("term").to_pylist()), key=str.encode), pa.string())
+        place = pa.compute.index_in(found.column("term").combine_chunks(), value_set=terms).to_numpy(zero_copy_only=False)
+        fold, ids, idf = np.array(found.column("fold").to_pylist(), object), found.column("term_id").to_numpy(), found.column("idf").to_numpy()
+        by_fold = {f: np.flatnonzero(fold == f) for f in sorted(set(fold.tolist()))}
+        by_fold = {f: at[np.argsort(ids[at])] for f, at in by_fold.items()}
+        split = cells.select("fold", "cell", "role").collect()
+        roles = {f: np.full(1 + max((r["cell"] for r in split), default=0), "", object) for f in by_fold}
+        for r in split:
+            if r["fold"] in roles:
+                roles[r["fold"]][r["cell"]] = r["role"]
+        return cls(terms.to_pylist(), {f: place[at] for f, at in by_fold.items()}, {f: idf[at] for f, at in by_fold.items()}, roles)
+
+    def blocks(self, data: pa.RecordBatch) -> Iterator[tuple[str, str, Block]]:
+        """The rows of a shared block in each fold and role: (1 + ln count) x idf, rows of length one."""
+        whole = Block.read(data)
+        cells = np.frombuffer(data.column("cells")[0].as_py(), np.int32)
+        sizes = np.diff(whole.starts)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        base = 1 + np.log(whole.weights)
+        for fold, places in self.places.items():
+            own = np.full(len(self.terms), -1, np.int32)
+            own[places] = np.arange(len(places), dtype=np.int32)
+            ids, role = own[whole.terms], self.roles[fold][cells]
+            for name in sorted(set(role.tolist()) - {""}):
+                at = np.flatnonzero((ids >= 0) & (role == name)[owner])
+                rows, first = np.unique(owner[at], return_index=True)
+                if not len(rows):
+                    continue
+                weights = base[at] * self.idf[fold][ids[at]]
+                norm = np.sqrt(np.add.reduceat(weights * weights, first))
+                weights /= np.repeat(norm, np.diff(np.append(first, len(at))))
+                yield fold, name, Block(whole.rows[rows], np.append(first, len(at)), ids[at], weights)
+
+
+def pack_counts(rows: DataFrame, folds: Folds) -> DataFrame:
+    """Shared blocks of ``rows`` (row_id, cell, items array<struct<term, cnt>>); terms outside all vocabularies end here."""
+    shared = rows.sparkSession.sparkContext.broadcast(folds.terms)
+
+    def block(parts: list[tuple]) -> pa.RecordBatch:
+        rows, cells, sizes, terms, counts = (np.concatenate(x) for x in zip(*parts))
+        raw = [rows, np.append(0, np.cumsum(sizes)), terms, counts, cells]
+        raw = [x.astype(kind).tobytes() for x, kind in zip(raw, (np.int64, np.int64, np.int32, np.float64, np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in raw], ["rows", "starts", "terms", "weights", "cells"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, parts, held = pa.array(shared.value, pa.string()), [], 0
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                items = part.column("items")
+                flat = items.flatten()
+                sizes = pa.compute.list_value_length(items).to_numpy(zero_copy_only=False)
+                at = pa.compute.fill_null(pa.compute.index_in(flat.field("term"), value_set=known), -1).to_numpy(zero_copy_only=False)
+                kept = at >= 0
+                own = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept], minlength=len(sizes))
+                some = own > 0
+                counts = flat.field("cnt").to_numpy(zero_copy_only=False)[kept]
+                ids, cells = (part.column(c).to_numpy(zero_copy_only=False)[some] for c in ("row_id", "cell"))
+                parts.append((ids, cells, own[some], at[kept], counts))
+                held += len(counts)
+                if held >= BLOCK_ENTRIES:
+                    yield block(parts)
+                    parts, held = [], 0
+        if held:
+            yield block(parts)
+
+    return materialize(rows.select("row_id", "cell", "items").mapInArrow(run, SHARED), "blocks")
+
+
+def _each(blocks: DataFrame, folds: Folds | None, basis: DataFrame | None = None) -> Callable:
+    """For use in tasks: (fold, role, Block) of the blocks in a batch, and the fold's V."""
+    context = blocks.sparkSession.sparkContext
+    state = context.broadcast(folds)
+    thin = context.broadcast({r["fold"]: (r["basis"], r["size"], r["width"]) for r in basis.collect()} if basis is not None else {})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, Block, np.ndarray | None]]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                if state.value is None:
+                    found = [(one.column("fold")[0].as_py(), one.column("role")[0].as_py(), Block.read(one))]
+                else:
+                    found = state.value.blocks(one)
+                for fold, role, block in found:
+                    raw = thin.value.get(fold)
+                    yield fold, role, block, np.frombuffer(raw[0], np.float64).reshape(raw[1], raw[2]) if raw else None
+
+    return run
 
 
-def _gram_times(blocks: DataFrame, basis: DataFrame, width: int) -> DataFrame:
-    """A'A V: ``fold, term_id, z0 ..``."""
-    names = [f"z{j}" for j in range(width)]
+def _few(blocks: DataFrame) -> DataFrame:
+    """As many tasks as slots at most; each adds up over its blocks."""
+    return blocks.coalesce(blocks.sparkSession.sparkContext.defaultParallelism)
 
-    def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
-        v = _thin(right)
-        block = Block(left)
-        seen, z = block.back(block.times(v))
-        z = np.pad(z, ((0, 0), (0, width - z.shape[1])))
-        columns = [pa.array([left.column("fold")[0].as_py()] * len(seen), pa.string()), pa.array(seen, pa.int32())]
-        return pa.table([*columns, *map(pa.array, z.T)], names=["fold", "term_id", *names])
+
+def _gram_times(blocks: DataFrame, basis: DataFrame, width: int, folds: Folds | None = None) -> DataFrame:
+    """A'A V of the train rows: ``fold, term_id, z0 ..``."""
+    names = [f"z{j}" for j in range(width)]
+    each = _each(blocks, folds, basis)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for fold, role, block, v in each(batches):
+            if role == "train" and v is not None:
+                seen, z = block.back(block.times(v))
+                if fold not in sums:
+                    sums[fold] = np.zeros_like(v)
+                sums[fold][seen] += z
+        for fold, z in sums.items():
+            seen = np.flatnonzero(z.any(1))
+            columns = np.pad(z[seen], ((0, 0), (0, width - z.shape[1]))).T
+            head = [pa.array([fold] * len(seen), pa.string()), pa.array(seen, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*head, *map(pa.array, columns)], ["fold", "term_id", *names])
 
     schema = "fold string, term_id int, " + ", ".join(f"{n} double" for n in names)
-    return _beside(blocks, basis, multiply, schema).groupBy("fold", "term_id").agg(*[F.sum(n).alias(n) for n in names])
+    return _few(blocks).mapInArrow(multiply, schema).groupBy("fold", "term_id").agg(*[F.sum(n).alias(n) for n in names])
 
 
-def fold_components(blocks: DataFrame, sizes: DataFrame, k: int = fixed.COMPONENTS, iterations: int = ITERATIONS, seed: int = fixed.SEED) -> DataFrame:
+def fold_components(blocks: DataFrame, sizes: DataFrame, k: int = fixed.COMPONENTS, iterations: int = ITERATIONS, seed: int = fixed.SEED, folds: Folds | None = None) -> DataFrame:
     """Per fold the leading right singular vectors of its train rows (see BASIS; vectors are the columns).
 
     ``sizes`` has the vocabulary size per fold. A fold gets min(k, size) components; a fold without train
     rows gets singular values 0.
     """
     width = k + SPARE
-    train = blocks.where(F.col("role") == "train")
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +280,7 @@ def fold_components(blocks: DataFrame, sizes: DataFrame, k: int = fixed.COMPONEN
 
     basis = materialize(sizes.select("fold", F.col("size").cast("int").alias("size")).mapInArrow(start, BASIS), "basis")
     for step in range(iterations + 1):
-        z = _gram_times(train, basis, width)
+        z = _gram_times(blocks, basis, width, folds)
         turned = z.groupBy("fold").cogroup(basis.withColumnRenamed("fold", "fold_of").groupBy("fold_of")).applyInArrow(turn(step == iterations), BASIS)
         basis = materialize(turned, "basis")
     return basis
@@ -185,17 +300,18 @@ def loadings(basis: DataFrame) -> DataFrame:
     return basis.mapInArrow(run, "fold string, term_id int, load array<double>")
 
 
-def project(blocks: DataFrame, basis: DataFrame) -> DataFrame:
+def project(blocks: DataFrame, basis: DataFrame, folds: Folds | None = None) -> DataFrame:
     """``fold, role, row_id, score array<double>`` of the rows of every role."""
+    each = _each(blocks, folds, basis)
 
-    def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block(left)
-        y = block.times(_thin(right))
-        n = len(y)
-        columns = [pa.array([left.column(c)[0].as_py()] * n, pa.string()) for c in ("fold", "role")]
-        return pa.table([*columns, pa.array(block.rows), pa.array(y.tolist(), pa.list_(pa.float64()))], names=["fold", "role", "row_id", "score"])
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fold, role, block, v in each(batches):
+            y = block.times(v)
+            scores = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * y.shape[1], pa.int32()), pa.array(y.ravel()))
+            columns = [pa.array([name] * len(y), pa.string()) for name in (fold, role)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(block.rows), scores], ["fold", "role", "row_id", "score"])
 
-    return _beside(blocks, basis, multiply, "fold string, role string, row_id long, score array<double>")
+    return blocks.mapInArrow(multiply, "fold string, role string, row_id long, score array<double>")
 
 
 def orthonormality(basis: DataFrame) -> DataFrame:
@@ -213,10 +329,33 @@ def column_moments(weights: DataFrame, roles: DataFrame) -> DataFrame:
     Rows without a term of the vocabulary count as zero rows.
     """
     train = roles.where(F.col("role") == "train").select("fold", "row_id")
-    n = train.groupBy("fold").agg(F.count("*").alias("rows"))
     terms = weights.join(train, ["fold", "row_id"], "left_semi").groupBy("fold", "term_id").agg(
         F.sum("weight").alias("total"), F.sum(F.col("weight") * F.col("weight")).alias("squares")
     )
+    return _moments(terms, train.groupBy("fold").agg(F.count("*").alias("rows")))
+
+
+def block_moments(blocks: DataFrame, folds: Folds, rows: DataFrame) -> DataFrame:
+    """``column_moments`` from shared blocks; ``rows`` has the number of train rows per fold."""
+    each = _each(blocks, folds)
+    size = {fold: len(places) for fold, places in folds.places.items()}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {fold: np.zeros((2, n)) for fold, n in size.items()}
+        for fold, role, block, _ in each(batches):
+            if role == "train":
+                for own, w in zip(sums[fold], (block.weights, block.weights**2)):
+                    own += np.bincount(block.terms, w, minlength=len(own))
+        for fold, (total, squares) in sums.items():
+            seen = np.flatnonzero(squares)
+            columns = [pa.array([fold] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(total[seen]), pa.array(squares[seen])]
+            yield pa.RecordBatch.from_arrays(columns, ["fold", "term_id", "total", "squares"])
+
+    parts = _few(blocks).mapInArrow(add, "fold string, term_id int, total double, squares double")
+    return _moments(parts.groupBy("fold", "term_id").agg(F.sum("total").alias("total"), F.sum("squares").alias("squares")), rows)
+
+
+def _moments(terms: DataFrame, n: DataFrame) -> DataFrame:
     sums = terms.groupBy("fold").agg(F.sum("squares").alias("trace"), F.sum(F.col("total") * F.col("total")).alias("square_sums"))
     return n.join(sums, "fold").select("fold", "rows", "trace", (F.col("trace") / F.col("rows") - F.col("square_sums") / (F.col("rows") * F.col("rows"))).alias("variance"))
 
