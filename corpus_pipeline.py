@@ -23,7 +23,7 @@ from stopwise.session import materialize
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(~held_out())
-    return toxicity.keep_clean(docs, toxicity.fit(*toxicity.training_sample(docs, labels)))
+    return toxicity.keep_clean(docs, toxicity.learn(docs, labels))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
