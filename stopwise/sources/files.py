@@ -24,7 +24,7 @@ def run_files(spark: SparkSession, path: str, glob: str, **options) -> DataFrame
 
 
 def write_run_files(df: DataFrame, path: str) -> str:
-    """One file per row: ``file`` is its name below ``path``, ``content`` its bytes."""
+    """One file per row, in bundles: ``file`` is its name below ``path``, ``content`` its bytes."""
     df.sparkSession.dataSource.register(source.RunFiles)
     df.select("file", "content").write.format("run_files").mode("append").save(path)
     return path
