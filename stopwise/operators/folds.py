@@ -60,7 +60,7 @@ def short_runs(runs: DataFrame, minimum: int = fixed.MIN_STEPS_FOR_TRAINING) ->
 
 def assign_roles(rows: DataFrame, cells: DataFrame, minimum: int = fixed.MIN_STEPS_FOR_TRAINING) -> DataFrame:
     """Rows with fold and role; short runs stay in test only."""
-    joined = rows.join(cells, ["model_id", "instance_id"])
+    joined = rows.join(F.broadcast(cells), ["model_id", "instance_id"])
     return joined.where((F.col("role") == "test") | (F.col("n_steps_total") >= minimum))
 
 
@@ -140,26 +140,29 @@ def dense_features(
     moments = train.groupBy("fold").agg(
         *[F.avg(c).alias(f"{c}_mean") for c in numeric], *[F.stddev_pop(c).alias(f"{c}_std") for c in numeric]
     )
-    out = filled.join(moments, "fold", "left")
+    # a handful of fold keys: a shuffle by them would put a fold into one task
+    out = filled.join(F.broadcast(moments), "fold", "left")
     for c in numeric:
         scale = F.when(F.col(f"{c}_std") > 0, F.col(f"{c}_std")).otherwise(1.0)
         out = out.withColumn(f"{c}_z", (F.col(c) - F.col(f"{c}_mean")) / scale)
     for c in categorical:
         seen = train.select("fold", c).distinct().withColumn("seen", F.lit(True))
-        out = out.join(seen, ["fold", c], "left").withColumn(
+        out = out.join(F.broadcast(seen), ["fold", c], "left").withColumn(
             f"{c}_cat", F.when(F.col("seen"), F.col(c)).otherwise("__MISSING__")
         ).drop("seen")
     return out.drop(*[f"{c}_mean" for c in numeric], *[f"{c}_std" for c in numeric])
 
 
-def calibration_summary(scored: DataFrame) -> DataFrame:
-    """Brier score, log loss and rates per (fold, head, role); scored has p and y."""
+def calibration_summary(scored: DataFrame, copies: str | None = None) -> DataFrame:
+    """Brier score, log loss and rates per (fold, head, role); scored has p and y, packed rows also ``copies``."""
     p = F.least(F.greatest(F.col("p"), F.lit(fixed.LOGIT_EPS)), F.lit(1 - fixed.LOGIT_EPS))
     y = F.col("y")
+    n = F.col(copies) if copies else F.lit(1)
+    mean = (lambda c: F.sum(n * c) / F.sum(n)) if copies else F.avg
     return scored.groupBy("fold", "head", "role").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(y).alias("positive_rate"),
-        F.avg("p").alias("mean_score"),
-        F.avg((F.col("p") - y) * (F.col("p") - y)).alias("brier"),
-        F.avg(-(y * F.ln(p) + (1 - y) * F.ln(1 - p))).alias("log_loss"),
+        F.sum(n).alias("n"),
+        mean(y).alias("positive_rate"),
+        mean(F.col("p")).alias("mean_score"),
+        mean((F.col("p") - y) * (F.col("p") - y)).alias("brier"),
+        mean(-(y * F.ln(p) + (1 - y) * F.ln(1 - p))).alias("log_loss"),
     )

@@ -16,10 +16,11 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stopwise import fixed
 from stopwise.functions import stats
-from stopwise.session import materialize
+from stopwise.session import materialize, shared_dir
 
 MISSING = "__MISSING__"
 #: Fits that run side by side.
@@ -133,27 +134,34 @@ def train_head(rows: DataFrame, target: str, trees: int = 20, depth: int = 3, se
     return Head(cut(whole, best), curve, best)
 
 
+def pack(rows: DataFrame, copies: str = "copies") -> DataFrame:
+    """Distinct rows with their number; weighted fits and sums don't tell them from the rows."""
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias(copies))
+
+
 def train_dual_heads(rows: DataFrame, fold_names: Sequence[str], keys: Sequence[str], trees: int = 20) -> tuple[DataFrame, list[tuple[str, str, int, int]]]:
     """``fold, role, keys, head, target, sample_weight, prob, prob_cal`` of every row, and (fold, head, trees, best iteration).
 
-    ``rows`` carry features, role, sample_weight and ``target_<head>``. Fits run side by side, each in a
-    scheduler pool of its own.
+    ``rows`` carry features, role, sample_weight (of packed rows: of all copies) and ``target_<head>``. Fits
+    run side by side, each in a scheduler pool of its own; a fit reads its fold's files only.
     """
     spark = rows.sparkSession
+    path = shared_dir(spark, "folds")
+    rows.withColumn("_fold", F.col("fold")).write.partitionBy("_fold").parquet(path)
+    stored = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_fold", T.StringType())])).parquet(path)
+    of = lambda fold: stored.where(F.col("_fold") == fold).drop("_fold").withColumn("features", array_to_vector("features"))
 
     def fit(job: tuple[str, str]) -> tuple[str, str, Head]:
         fold, head = job
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{fold}-{head}")
-        part = rows.where(F.col("fold") == fold).withColumn("features", array_to_vector("features"))
-        return fold, head, train_head(part, f"target_{head}", trees)
+        return fold, head, train_head(of(fold), f"target_{head}", trees)
 
     jobs = [(fold, head) for fold in fold_names for head in fixed.HEADS]
     with ThreadPoolExecutor(POOLS) as threads:
         fitted = list(threads.map(inheritable_thread_target(spark)(fit), jobs))
     scored = None
     for fold, head, own in fitted:
-        part = rows.where(F.col("fold") == fold).withColumn("features", array_to_vector("features"))
-        part = own.model.transform(part).select(
+        part = own.model.transform(of(fold)).select(
             "fold", "role", *keys, F.lit(head).alias("head"), F.col(f"target_{head}").cast("double").alias("target"), "sample_weight", vector_to_array("probability")[1].alias("prob")
         )
         scored = part if scored is None else scored.unionByName(part)
