@@ -160,14 +160,24 @@ def parsed_steps(classified: DataFrame) -> DataFrame:
 
 def step_histograms(classified: DataFrame, top: int = 50) -> DataFrame:
     """Counts of step keys, sources, the most frequent tool names and step-list lengths."""
-    steps = parsed_steps(classified)
-    keys = steps.select(F.lit("key").alias("kind"), F.explode("keys").alias("value"))
-    sources = steps.select(F.lit("src").alias("kind"), F.coalesce("step.src", F.lit("None")).alias("value"))
-    tools = steps.select(F.lit("tool").alias("kind"), F.explode("step.tools.fn").alias("value")).where(F.col("value").isNotNull())
-    lengths = classified.where("usable").select(F.lit("length").alias("kind"), F.col("n_steps").cast("string").alias("value"))
-    count = lambda df: df.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
-    top_tools = count(tools).orderBy(F.desc("n"), "value").limit(top)
-    return count(keys.unionByName(sources).unionByName(lengths)).unionByName(top_tools)
+    typed, maps = F.from_json("steps", STEP_SCHEMA), F.from_json("steps", "array<map<string,string>>")
+    usable = evaluate_once(classified.where("usable").select("steps", "n_steps"), typed=typed, maps=maps)
+    # all of a row's values side by side, so that a row is parsed once
+    values = F.array_compact(
+        F.concat(
+            F.transform(F.flatten(F.transform("maps", lambda m: F.map_keys(m))), lambda k: _valued("key", k)),
+            F.transform("typed", lambda s: _valued("src", F.coalesce(s["src"], F.lit("None")))),
+            F.transform(F.flatten(F.transform("typed", lambda s: F.coalesce(s["tools"]["fn"], F.array().cast("array<string>")))), lambda f: F.when(f.isNotNull(), _valued("tool", f))),
+            F.array(_valued("length", F.col("n_steps").cast("string"))),
+        )
+    )
+    counts = materialize(usable.select(F.inline(values)).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")), "steps")
+    tool = F.col("kind") == "tool"
+    return counts.where(~tool).unionByName(counts.where(tool).orderBy(F.desc("n"), "value").limit(top))
+
+
+def _valued(kind: str, value: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
 
 
 def step_quality(classified: DataFrame) -> DataFrame:

@@ -18,6 +18,12 @@ def classified(t):
     return cov.classify_usability(t.trials())
 
 
+@once(keep=True)
+def lengths(t):
+    """What quantiles read of the classified rows, so that these are parsed once."""
+    return classified(t).select("model", "usable", "n_steps")
+
+
 @once(keep=True)
 def counts(t):
     return cov.task_counts(classified(t))
@@ -193,7 +199,7 @@ QUERIES = [
     Query("e22_quantiles", "model:s q10:d q50:d q90:d nearest_rank:i",
           lambda t: (lambda c: quantiles.exact_quantiles(c.where("usable"), ["model"], "n_steps", (0.1, 0.5, 0.9)).select(
               "model", F.col("q")[0].alias("q10"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q90")).join(
-                  cov.nearest_rank(c.where("usable"), ["model"], "n_steps", 0.9), "model"))(classified(t)),
+                  cov.nearest_rank(c.where("usable"), ["model"], "n_steps", 0.9), "model"))(lengths(t)),
           """SELECT model, quantile_cont(n_steps, 0.1) AS q10, quantile_cont(n_steps, 0.5) AS q50, quantile_cont(n_steps, 0.9) AS q90,
                (list_sort(list(n_steps)))[CAST(round_even(0.9 * (count(*) - 1), 0) AS BIGINT) + 1] AS nearest_rank FROM v_tri WHERE usable GROUP BY 1"""),
     Query("e23_missingness_audit",
