@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -119,16 +120,17 @@ class Codec:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.pieces = regex.compile(pattern).findall
         self.start()
-        self.single = np.array([ranks[bytes([b])] for b in range(256)])
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         # every way to make a token of two others, as sorted keys
-        pairs = [
-            (ranks[token[:cut]] << 32 | ranks[token[cut:]], rank)
-            for token, rank in ranks.items()
-            for cut in range(1, len(token))
-            if token[:cut] in ranks and token[cut:] in ranks
-        ]
-        table = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-        self.pair_keys, self.pair_ranks = np.ascontiguousarray(table[:, 0]), np.ascontiguousarray(table[:, 1])
+        keys, made = array("q"), array("i")
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    keys.append(left << 32 | right)
+                    made.append(rank)
+        order = np.argsort(np.frombuffer(keys, np.int64))
+        self.pair_keys, self.pair_ranks = np.frombuffer(keys, np.int64)[order], np.frombuffer(made, np.int32)[order]
 
     def start(self) -> None:
         """An empty memo."""
@@ -137,7 +139,7 @@ class Codec:
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of the merges of neighbouring tokens, -1 where there is none."""
-        keys = left << 32 | right
+        keys = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
 
@@ -218,17 +220,17 @@ class Codec:
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         flat = np.frombuffer(b"".join(pieces), np.uint8)
         n = len(flat)
-        owner = np.repeat(np.arange(len(pieces)), size)
+        owner = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
         last = np.cumsum(size) - 1
-        token = np.append(self.single[flat], 0)
-        after = np.arange(1, n + 2)
+        token = np.append(self.single[flat], np.int32(0))
+        after = np.arange(1, n + 2, dtype=np.int32)
         after[last] = n
-        before = np.arange(-1, n)
+        before = np.arange(-1, n, dtype=np.int32)
         before[:-1][last[:-1] + 1] = -1
         before[0] = -1
-        pair = np.full(n + 1, -1)
+        pair = np.full(n + 1, -1, np.int32)
         live = np.ones(n + 1, bool)
-        at = np.flatnonzero(after[:n] < n)
+        at = np.flatnonzero(after[:n] < n).astype(np.int32)
         pair[at] = self.lookup(token[at], token[after[at]])
         queue = RankQueue()
 
