@@ -506,7 +506,7 @@ def sample_constraints(sample: DataFrame, prefixes: DataFrame) -> DataFrame:
     )
     present = sum(c in prefixes.columns for c in PREFIX_COLUMNS)
     per_run = prefixes.groupBy("traj_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct("prefix_step_idx").alias("steps"), F.max("n_steps_total").alias("n"), F.max("prefix_step_idx").alias("last")
+        F.count(F.lit(1)).alias("rows"), F.size(F.collect_set("prefix_step_idx")).alias("steps"), F.max("n_steps_total").alias("n"), F.max("prefix_step_idx").alias("last")
     )
     whole = (F.col("rows") == F.col("n") + 1) & (F.col("steps") == F.col("n") + 1) & (F.col("last") == F.col("n"))
     exact = per_run.agg(F.avg(whole.cast("int")).alias("prefix_rule"), F.lit(present).alias("required_columns"))

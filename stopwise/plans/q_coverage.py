@@ -147,7 +147,7 @@ SELECT model, agent, reward, row_key, rn, position FROM (
 view("v_pick", PICK_SQL)
 
 
-@once(keep=True)
+@once()
 def prefixes(t):
     from stopwise.plans.q_ingest import trial_runs
 
