@@ -42,18 +42,21 @@ def parse_documents(docs: DataFrame) -> DataFrame:
 
 
 def validate_fields(doc: str = "doc") -> Column:
-    """First failing rule in fixed order, NULL when every rule holds. Types are strict."""
+    """First failing rule in fixed order, NULL when every rule holds. Types are strict.
+
+    The type of a whole document or list is a walk through all of it, so it is looked up only where a
+    field inside it is missing: what has an instance id is an object, and what has a first element is a list.
+    """
     v = F.col(doc)
     empty = lambda path: F.coalesce(_get(v, path, "string"), F.lit("")) == ""
-    no_list = ~_kind(_get(v, "$.messages")).startswith("ARRAY") | (
-        F.coalesce(F.size(_get(v, "$.messages", "array<variant>")), F.lit(0)) <= 0
-    )
+    no_object = lambda c: ~_kind(c).startswith("OBJECT")
     return (
-        F.when(~_kind(v).startswith("OBJECT"), "NOT_A_JSON_OBJECT")
-        .when(empty("$.instance_id"), "MISSING_INSTANCE_ID")
-        .when(no_list, "MISSING_OR_EMPTY_MESSAGES")
-        .when(~_kind(_get(v, "$.info")).startswith("OBJECT"), "MISSING_INFO")
-        .when(_kind(_get(v, "$.info.resolved")) != "BOOLEAN", "MISSING_RESOLVED_BOOL")
+        F.when(empty("$.instance_id"), F.when(no_object(v), "NOT_A_JSON_OBJECT").otherwise("MISSING_INSTANCE_ID"))
+        .when(_get(v, "$.messages[0]").isNull(), "MISSING_OR_EMPTY_MESSAGES")
+        .when(
+            _kind(_get(v, "$.info.resolved")) != "BOOLEAN",
+            F.when(no_object(_get(v, "$.info")), "MISSING_INFO").otherwise("MISSING_RESOLVED_BOOL"),
+        )
         .when(empty("$.info.docent.model_label"), "MISSING_MODEL_LABEL")
     )
 
@@ -138,6 +141,11 @@ def message_type(role: Column) -> Column:
     )
 
 
+def resolved(doc: str = "doc") -> Column:
+    """The outcome of a run; without one it is not resolved."""
+    return F.coalesce(_get(F.col(doc), "$.info.resolved", "boolean"), F.lit(False))
+
+
 def to_contract(parsed: DataFrame) -> DataFrame:
     """Normalised run rows of documents that passed ``quarantine``."""
     v = F.col("doc")
@@ -147,7 +155,7 @@ def to_contract(parsed: DataFrame) -> DataFrame:
         instance.alias("instance_id"),
         F.concat_ws("::", model, instance).alias("traj_id"),
         model.alias("model_id"),
-        F.coalesce(_get(v, "$.info.resolved", "boolean"), F.lit(False)).alias("resolved"),
+        resolved().alias("resolved"),
         adapt_messages(F.col("messages")).alias("messages"),
         F.coalesce(_get(v, "$.info.submission", "string"), F.lit("")).alias("patch"),
     )
