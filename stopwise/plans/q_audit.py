@@ -155,16 +155,16 @@ def sym_diff(t):
 
 
 def feasibility(t):
-    from stopwise.operators import gates
-    from stopwise.plans.q_ingest import checked, contract
+    from stopwise.operators import gates, ingest
+    from stopwise.plans.q_ingest import checked
 
     mapped = checked(t)
     docs = mapped.agg(
         F.count(F.lit(1)).alias("documents"),
         F.count_if(F.col("status") == "PASS").alias("runs_mapped"),
         F.count_if(F.col("stage") == "step_builder").alias("step_build_errors"),
+        F.avg(F.when(F.col("status") == "PASS", ingest.resolved().isNotNull().cast("int"))).alias("labelled"),
     )
-    labels = contract(t).agg(F.avg(F.col("resolved").isNotNull().cast("int")).alias("labelled"))
     kinds = [F.max(F.col(c).cast("int")) for c in ("is_edit", "is_test", "is_submit")]
     seen = events.detect_events(t.steps()).agg(F.count_if(F.col("is_edit") | F.col("is_test") | F.col("is_submit")).alias("late_events"), sum(kinds[1:], kinds[0]).alias("signals"))
     again = grid(t).where(F.col("threshold") == fixed.PRIMARY_THRESHOLD).select("traj_id", F.col("decision").alias("other"))
@@ -173,7 +173,7 @@ def feasibility(t):
         F.avg(F.when(F.col("decided"), F.col("resolved").isNotNull().cast("int"))).alias("comparable"),
     )
     names = ["documents", "runs_mapped", "step_build_errors", "labelled", "late_events", "signals", "changed", "comparable"]
-    parts = [(docs, names[:3]), (labels, names[3:4]), (seen, names[4:6]), (own, names[6:])]
+    parts = [(docs, names[:4]), (seen, names[4:6]), (own, names[6:])]
     wide = gates.one_row([gates.facts(frame, [], part) for frame, part in parts], names)
     none = lambda name, c: (name, F.col(c), 0.0, F.col(c) == 0)
     checks = [
