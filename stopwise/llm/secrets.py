@@ -27,16 +27,18 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stopwise.llm.sampling import smallest
 from stopwise.llm.worker import released, sliced
-from stopwise.session import materialize
+from stopwise.session import local_frame, materialize
+
+if TYPE_CHECKING:  # workers import this module and need no Spark ML, which takes 26 MB of each
+    from pyspark.ml.classification import RandomForestClassificationModel
 
 KEYED = r"(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)"
 #: A PEM block up to its END line, or where it is cut off, up to the last line of key characters.
@@ -261,7 +263,7 @@ def planted_findings(docs: DataFrame, rows: int = 1500, each: int = 4, longest:
     short = docs.where(F.col("doc_id").isNotNull() & (F.char_length("text") <= longest) & (F.col("text") != ""))
     # ids first, then the texts of these few
     picked = smallest(short.select("doc_id").distinct(), "doc_id", rows, seed)
-    chosen = docs.sparkSession.createDataFrame(picked, docs.select("doc_id").schema)
+    chosen = local_frame(docs.sparkSession, picked, docs.select("doc_id").schema)
     found = short.select("doc_id", "text", F.col("source").cast("string").alias("source")).join(F.broadcast(chosen), "doc_id")
     sample = found.groupBy("doc_id").agg(F.min(F.struct("text", "source")).alias("r")).orderBy("doc_id").select("doc_id", "r.*").collect()
     out = []
@@ -289,6 +291,9 @@ class Scanner:
 
 def train(docs: DataFrame, findings: list[tuple] | None = None, trees: int = 30, depth: int = 8, seed: int = 11) -> Scanner:
     """Fit on labelled findings (text, source, start, end, kind, label), or on planted ones of ``docs``."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+
     spark = docs.sparkSession
     labelled = findings if findings is not None else planted_findings(docs, seed=seed)
     language = learn_language(docs)
@@ -296,13 +301,15 @@ def train(docs: DataFrame, findings: list[tuple] | None = None, trees: int = 30,
     if len({label for label, _ in rows}) < 2:  # too little text to learn from: one clear case of each kind
         clear = (("token = 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", 8, 48, "keyed", 1), ("card 4994226020900891 of", 5, 21, "run", 0))
         rows += [(float(y), features(t, s, e, k, None, language)) for t, s, e, k, y in clear]
-    data = spark.createDataFrame(rows, "label double, raw array<double>").repartition(4)
+    data = local_frame(spark, rows, "label double, raw array<double>").repartition(4)
     data = materialize(data, "findings").select("label", array_to_vector("raw").alias("features"))
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", cacheNodeIds=False).fit(data)
     return Scanner(language, forest)
 
 
 def _judged(found: DataFrame, scanner: Scanner, threshold: float) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
     scored = scanner.forest.transform(found.withColumn("features", array_to_vector("features")))
     return scored.withColumn("score", vector_to_array("probability")[1]).withColumn("secret", F.col("score") >= threshold)
 
