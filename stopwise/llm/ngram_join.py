@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from stopwise.llm.graph import components, forest
 from stopwise.llm.hashing import column_bytes, mix64, shingle_hashes, word_hashes
 from stopwise.llm.worker import released, sliced
-from stopwise.session import materialize
+from stopwise.session import discard, materialize
 
 SLACK, CUTS = 1, 8
 #: A fragment with more documents (classes) than this is compared by blocks of about ``BLOCK_GRAMS`` n-grams and at most
@@ -200,7 +200,7 @@ def votes_needed(threshold: Threshold) -> Column:
 
 
 def fragment_groups(docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
-    """``key, doc_id`` of the fragments that at least two documents have.
+    """``key, doc_id`` of the fragments that at least two ids have, each id once.
 
     Keys travel as packed arrays, dealt out by key range; copies inside a task are sent once.
     """
@@ -245,6 +245,9 @@ def fragment_groups(docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
         key, doc = np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+        key, doc = key[fresh], doc[fresh]
         head = np.ones(len(key) + 1, bool)
         head[1:-1] = key[1:] != key[:-1]
         shared = ~(head[:-1] & head[1:])
@@ -274,6 +277,20 @@ def fragments(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(released(run), "doc_id long, fragment int, grams array<long>")
 
 
+def representatives(docs: DataFrame, info: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id stands for its class in ``info`` (doc_id, class).
+
+    The fewer ids, theirs or those of the copies, are sent to the tasks, which spares the texts a shuffle.
+    """
+    ids = info.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("class")).alias("first"))
+    ids = materialize(ids.where("first IS NOT NULL"), "firsts")
+    n = {r["first"]: r["count"] for r in ids.groupBy("first").count().collect()}
+    first = n.get(True, 0) <= n.get(False, 0)
+    some = ids.where(F.col("first") == first).select("doc_id")
+    some = F.broadcast(some) if n.get(first, 0) <= BROADCAST_IDS else some
+    return docs.join(some, "doc_id", "left_semi" if first else "left_anti")
+
+
 def _parts(needed: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Fragments of the documents in ``needed`` (doc_id)."""
     needed = materialize(needed.distinct(), "needed")
@@ -282,12 +299,24 @@ def _parts(needed: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return materialize(fragments(docs.join(some, "doc_id", "left_semi"), k), "fragments")
 
 
-def _products(groups: DataFrame, docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
-    """Links ``a, b`` (a spanning forest) among the classes of each group; ``groups`` has root, class, n."""
+def _alive(classes: DataFrame, parts: DataFrame, threshold: Threshold) -> DataFrame:
+    """Those of ``classes`` (class, n) that can link to another one: enough of their n-grams lie in other sets of ``parts`` too."""
+    grams = parts.select("doc_id", F.explode("grams").alias("gram"))
+    shared = grams.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    # repeated rows only add to the count, and n-grams of the whole are at least those shared with any one set
+    counts = grams.join(shared.select("gram"), "gram").groupBy(F.col("doc_id").alias("class")).agg(F.count("*").alias("shared"))
+    return classes.join(counts, "class").where(F.col("shared") * threshold.den >= F.col("n") * threshold.num).select("class", "n")
+
+
+def _products(groups: DataFrame, docs: DataFrame, k: int, threshold: Threshold, parts: DataFrame | None = None) -> DataFrame:
+    """Links ``a, b`` (a spanning forest) among the classes of each group; ``groups`` has root, class, n.
+
+    parts: ``fragments`` that have those of all the classes, if they are known.
+    """
     total = F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("blocks")
     blocked = groups.join(groups.groupBy("root").agg(total), "root")
     blocked = blocked.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    parts = _parts(groups.select(F.col("class").alias("doc_id")), docs, k)
+    parts = parts or _parts(groups.select(F.col("class").alias("doc_id")), docs, k)
     rows = blocked.join(parts, F.col("class") == F.col("doc_id")).select("root", "blocks", "block", "class", "n", "fragment", "grams")
 
     def pack(data: pa.Table) -> pa.Table:
@@ -345,9 +374,13 @@ def _products(groups: DataFrame, docs: DataFrame, k: int, threshold: Threshold)
     return dealt.groupBy("root", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def _overlaps(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def _sides(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    return _parts(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, k)
+
+
+def _overlaps(pairs: DataFrame, docs: DataFrame, k: int, parts: DataFrame | None = None) -> DataFrame:
     """``pairs`` (a, n_a, b, n_b) with ``shared``: overlaps by fragment, summed per pair."""
-    parts = _parts(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, k)
+    parts = parts or _sides(pairs, docs, k)
     left = parts.select(F.col("doc_id").alias("a"), "fragment", F.col("grams").alias("x"))
     right = parts.select(F.col("doc_id").alias("b"), "fragment", F.col("grams").alias("y"))
     both = pairs.join(left, "a").join(right, ["b", "fragment"])
@@ -356,10 +389,14 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
 
 
-def _links(pairs: DataFrame, docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
-    """The linked ones of ``pairs`` (a, n_a, b, n_b)."""
+def _links(pairs: DataFrame, docs: DataFrame, k: int, threshold: Threshold, name: str) -> DataFrame:
+    """The linked ones of ``pairs`` (a, n_a, b, n_b), written; the sets read for them are deleted."""
     union = F.col("n_a") + F.col("n_b") - F.col("shared")
-    return _overlaps(pairs, docs, k).where(F.col("shared") * threshold.den >= union * threshold.num).select("a", "b")
+    parts = _sides(pairs, docs, k)
+    found = _overlaps(pairs, docs, k, parts).where(F.col("shared") * threshold.den >= union * threshold.num)
+    found = materialize(found.select("a", "b"), name)
+    discard(parts)
+    return found
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -373,10 +410,9 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[Da
     sized = materialize(set_sizes(kept, k, threshold), "sets")
     same = sized.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class"))
     info = materialize(sized.join(same, ["h1", "h2", "n"], "left").select("doc_id", "n", "cap", "class"), "classes")
-    # fragment groups at the level of classes; a group of one class is none
-    known = info.where("class IS NOT NULL").select("doc_id", "class").distinct()
-    found = fragment_groups(kept.where("doc_id IS NOT NULL"), k, threshold)
-    groups = materialize(found.join(known, "doc_id").select("key", "class").distinct(), "groups")
+    # fragment groups of the classes' first documents
+    firsts = representatives(kept.where("doc_id IS NOT NULL"), info)
+    groups = materialize(fragment_groups(firsts, k, threshold).withColumnRenamed("doc_id", "class"), "groups")
     heads = groups.groupBy("key").agg(F.min("class").alias("head"), F.max("class").alias("last")).where("head < last")
     sizes = info.where("doc_id = class").select("class", "n", "cap").distinct()
     size_of = lambda side: sizes.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col("cap").alias(f"cap_{side}"))
@@ -388,7 +424,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[Da
     stars = stars.join(size_of("a"), "a").join(size_of("b"), "b").where(bound)
     # its votes are only those of groups with this head, so half of what a link needs is worth a look
     stars = materialize(stars.where(2 * F.col("votes") >= votes_needed(threshold)).select("a", "b", "n_a", "n_b"), "stars")
-    near = materialize(_links(stars, kept, k, threshold), "near")
+    near = _links(stars, kept, k, threshold, "near")
     labels = components(near)
     # second step: candidates between different components
     placed = groups.join(labels.select(F.col("node").alias("class"), "root"), "class", "left")
@@ -397,12 +433,16 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[Da
     open_ = materialize(placed.join(mixed.where("low < high").select("key", "classes"), "key"), "open")
     # fragments of many documents: those that such fragments connect are compared by blocks
     wide = open_.where(F.col("classes") > PAIRED)
+    classes = materialize(wide.select("class").distinct().join(sizes.select("class", "n"), "class"), "wide")
+    parts = _parts(classes.select(F.col("class").alias("doc_id")), kept, k)
+    members = materialize(_alive(classes, parts, threshold), "alive")
+    wide = wide.join(members.select("class"), "class")
     first = wide.groupBy("key").agg(F.min("class").alias("first"))
     tied = materialize(wide.join(first, "key").select("class", "first").distinct(), "tied")
     families = components(tied, "class", "first").select(F.col("node").alias("class"), "root")
-    members = tied.select("class").distinct().join(families, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    members = materialize(members.join(sizes.select("class", "n"), "class"), "families")
-    dense = materialize(_products(members, kept, k, threshold), "dense")
+    members = members.join(families, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    dense = materialize(_products(materialize(members, "families"), kept, k, threshold, parts), "dense")
+    discard(parts)
     # the others: pairs. A pair that shares a wide fragment too has been compared above
     open_ = open_.where(F.col("classes") <= PAIRED)
     left = open_.select("key", F.col("class").alias("a"), F.col("comp").alias("comp_a"))
@@ -410,7 +450,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[Da
     cross = left.join(right, "key").where("a < b AND comp_a != comp_b").groupBy("a", "b").agg(F.count("*").alias("votes"))
     cross = cross.join(size_of("a"), "a").join(size_of("b"), "b").where(bound & (F.col("votes") >= votes_needed(threshold)))
     cross = materialize(cross.select("a", "b", "n_a", "n_b"), "cross")
-    far = materialize(_links(cross, kept, k, threshold), "far")
+    far = _links(cross, kept, k, threshold, "far")
     return info, near.union(far).union(dense)
 
 
