@@ -4,14 +4,15 @@
 2. Spherical k-means gives the cells. Centroids are fitted on a bounded sample (``SAMPLE`` vectors, the
    smallest by a hash of the id); every vector is assigned, to the nearest centroid.
 3. Exactness across cells: let x and y link, so |x - y| <= d with d = sqrt(2 - 2 t), and let c, e be
-   their centroids. Their distances from the hyperplane between c and e add up to d at most, so one of
-   the two lies within d / 2 of it. A vector is therefore a guest in every cell whose hyperplane is
-   that near; home vectors of a cell are compared with each other and with its guests. Where both are
-   guests of each other's cell, the cell with the smaller number counts the pair. No linked pair is lost.
-4. Cells are cut into blocks of about ``BLOCK`` vectors by a hash, so a cell with a third of all
-   vectors is many tasks. A task multiplies two blocks and returns per vector a sum of links, and a
+   their centroids. Their distances from the hyperplane between c and e add up to d at most. So a vector of
+   a cell is compared with one of another cell unless its distance and the other block's least distance add up to more.
+   No linked pair is lost.
+4. Cells are cut into blocks of about ``BLOCK`` vectors by a hash, and a vector lies in one block only. Neighbouring
+   blocks make tiles. A task multiplies the blocks of two tiles and returns per vector a sum of links, and a
    spanning forest of the links it saw; pairs are never listed.
-5. Components come from the forests by distributed connected components.
+5. Tiles meet in waves. A wave sends twice as many tiles as there are and its shuffle ends with it, so disk grows with the
+   vectors, and not with the pairs of tiles, whatever their number.
+6. Components come from the forests by distributed connected components.
 
 Defined results: a vector that is null, empty, all zero, or holds a null or a non-finite component has
 no links and is its own component. Vectors of different length don't link. Rows are vectors of their own,
@@ -31,11 +32,15 @@ from pyspark.sql import functions as F
 
 from stopwise.llm.graph import components, forest
 from stopwise.llm.sampling import smallest
-from stopwise.session import materialize
+from stopwise.session import discard, local_frame, materialize, materialize_all
 
 SAMPLE = 20_000
 CELL, MAX_CELLS = 4096, 1024
 BLOCK = 2048
+#: A tile has so many vectors at most (and one block at least), or this share of all vectors, if that is less.
+TILE, TILES = 32_768, 8
+#: A wave sends so many bytes of vectors at least.
+WAVE_BYTES = 64_000_000
 ROUNDS = 8
 
 
@@ -71,16 +76,35 @@ class Cells:
         self.centroids = centroids
         # a little more than the distances, as the difference of near centroids is rounded; more only makes more guests
         self.gap = np.sqrt(np.maximum(2 - 2 * (centroids @ centroids.T), 0)) + 1e-7
-        self.near = np.sqrt(2 - 2 * threshold) / 2 + 1e-9
+        self.most = np.sqrt(2 - 2 * threshold) + 1e-8
 
-    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Home cell, and a mask of the cells where the vector is a guest."""
-        s = x @ self.centroids.T
-        home = s.argmax(1)
-        rows = np.arange(len(x))
-        guest = (s[rows, home][:, None] - s) <= self.near * self.gap[home]
-        guest[rows, home] = False
-        return home, guest
+    def home(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.centroids.T).argmax(1)
+
+    def distances(self, x: np.ndarray, cell: int, others: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Distances of vectors of ``cell`` from the hyperplanes between it and other cells; 0 for its own."""
+        s = x @ self.centroids[others].T
+        return ((x @ self.centroids[cell])[:, None] - s) / self.gap[cell, others]
+
+
+def tiles_of(sizes: np.ndarray, dims: np.ndarray) -> np.ndarray:
+    """Tile of each block, by the blocks' numbers of vectors; blocks of a tile are neighbours and have one length."""
+    most = max(min(TILE, -(-int(sizes.sum()) // TILES)), BLOCK)
+    tile, held, out = -1, most, []
+    for i, size in enumerate(sizes.tolist()):
+        if held + size > most or dims[i] != dims[i - 1]:
+            tile, held = tile + 1, 0
+        held += size
+        out.append(tile)
+    return np.array(out, np.int64)
+
+
+def waves(pairs: list[tuple[int, int]], tiles: int, tile_bytes: float) -> Iterator[list[tuple[int, int]]]:
+    """Tile pairs dealt out so that a wave sends each tile about twice, or WAVE_BYTES."""
+    pairs = sorted(pairs, key=lambda p: (p[1] - p[0], p[0]))
+    step = max(tiles, int(WAVE_BYTES / (2 * max(tile_bytes, 1))))
+    for first in range(0, len(pairs), step):
+        yield pairs[first : first + step]
 
 
 def payload(v: list) -> bytes:
@@ -112,13 +136,15 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(raw, pa.binary())], ["id", "dim", "unit"])
 
     named = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = materialize(named.mapInArrow(clean, "id long, dim int, unit binary").withColumn("key", F.sha1("unit")), "units")
-    valid = rows.where("unit IS NOT NULL")
-    # a class has a number of its own, since an id may repeat or be missing; one of its rows brings the vector
-    classes = valid.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
-    reps = valid.join(classes, "key").where("id <=> least").select("key", "least", "copies", "dim", "unit").dropDuplicates(["key"])
-    classes = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    reps = classes.select("rep", "copies", "dim", "unit")
+    cleaned = named.mapInArrow(clean, "id long, dim int, unit binary").withColumn("key", F.unhex(F.sha1("unit")))
+    rows = materialize(cleaned.select("id", "key"), "rows")
+    valid = rows.where("key IS NOT NULL")
+    # a class has a number of its own, since an id may repeat or be missing; its rows have the same vector
+    same = cleaned.where("key IS NOT NULL").groupBy("key")
+    same = same.agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("unit").alias("unit"))
+    whole = materialize(same.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    classes = materialize(whole.select("key", "rep", "least", "copies"), "numbers")
+    reps = whole.select("rep", "copies", "dim", "unit")
     # cells for the most frequent length; vectors of another length share one cell per length
     common = reps.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim, n = (common[0]["dim"], common[0]["count"]) if common else (1, 0)
@@ -129,87 +155,99 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     shared = spark.sparkContext.broadcast(cells)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["dim", "cell", "guest", "home", "rep", "copies", "unit"]
         for batch in batches:
             dims = np.asarray(batch.column(2))
-            for own in np.unique(dims):
-                at = np.flatnonzero(dims == own)
-                if own == dim:
-                    home, guest = shared.value.assign(unpack(batch.column(3).take(pa.array(at)).to_pylist(), dim))
-                else:
-                    home, guest = np.zeros(len(at), np.int64), np.zeros((len(at), 1), bool)
-                who, where = np.nonzero(guest)
-                row = np.concatenate((np.arange(len(at)), who))
-                cell = np.concatenate((home, where)).astype(np.int32)
-                is_guest = np.repeat([False, True], [len(at), len(who)])
-                taken = batch.take(pa.array(at[row]))
-                yield pa.RecordBatch.from_arrays(
-                    [taken.column(2), pa.array(cell), pa.array(is_guest), pa.array(home[row].astype(np.int32)), *[taken.column(c) for c in (0, 1, 3)]],
-                    names,
-                )
-
-    placed = reps.mapInArrow(assign, "dim int, cell int, guest boolean, home int, rep long, copies long, unit binary")
-    placed = materialize(placed, "cells")
-    # at most two rows for each cell
-    sizes = placed.groupBy("dim", "cell").agg(
-        F.ceil(F.count_if(~F.col("guest")) / BLOCK).cast("int").alias("homes"), F.ceil(F.count_if("guest") / BLOCK).cast("int").alias("guests")
-    ).where("homes > 0")
-    blocked = placed.join(sizes, ["dim", "cell"])
-    count = F.when(F.col("guest"), F.col("guests")).otherwise(F.col("homes"))
-    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("rep"), count).cast("int"))
+            home = np.zeros(len(dims), np.int32)
+            at = np.flatnonzero(dims == dim)
+            if len(at):
+                home[at] = shared.value.home(unpack(batch.column(3).take(pa.array(at)).to_pylist(), dim))
+            yield pa.RecordBatch.from_arrays([pa.array(home), *batch.columns], ["cell", *batch.schema.names])
+
+    placed = reps.mapInArrow(assign, "cell int, rep long, copies long, dim int, unit binary")
+    # one row for each cell
+    sizes = materialize(placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
+    blocked = placed.join(sizes, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
 
     def pack(data: pa.Table) -> pa.Table:
-        one = {c: data.column(c)[:1] for c in ("dim", "cell", "guest", "block", "homes", "guests")}
-        packed = {c: np.asarray(data.column(c)).astype(np.int64).tobytes() for c in ("rep", "copies", "home")}
-        vectors = data.column("unit").to_pylist()
+        one = {c: data.column(c)[:1] for c in ("dim", "cell", "block")}
+        packed = {c: np.asarray(data.column(c)).astype(np.int64).tobytes() for c in ("rep", "copies")}
+        vectors, own, cell = data.column("unit").to_pylist(), data["dim"][0].as_py(), data["cell"][0].as_py()
         if len({len(v) for v in vectors}) > 1:  # mixed widths: all as doubles
-            vectors = [np.frombuffer(v, np.float32).astype(np.float64).tobytes() if len(v) == 4 * data["dim"][0].as_py() else v for v in vectors]
+            vectors = [np.frombuffer(v, np.float32).astype(np.float64).tobytes() if len(v) == 4 * own else v for v in vectors]
         packed["unit"] = b"".join(vectors)
+        least = shared.value.distances(unpack(vectors, own), cell).min(0) if own == dim else np.empty(0)
+        packed["least"] = least.tobytes()
         return pa.table(one | {c: pa.array([v], pa.binary()) for c, v in packed.items()})
 
-    schema = "dim int, cell int, guest boolean, block int, homes int, guests int, rep binary, copies binary, home binary, unit binary"
-    blocks = materialize(blocked.groupBy("dim", "cell", "guest", "block").applyInArrow(pack, schema), "blocks")
-    # every block goes to the pairs of blocks it is part of: home i with home j >= i, and home i with guest j
-    other = F.sequence(F.lit(0), F.col("homes") - 1)
-    with_homes = F.transform(other, lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), F.lit(False).alias("g")))
-    with_guests = F.when(
-        F.col("guests") > 0,
-        F.transform(F.sequence(F.lit(0), F.greatest(F.col("guests") - 1, F.lit(0))), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(True).alias("g"))),
-    ).otherwise(F.array().cast("array<struct<i:int,j:int,g:boolean>>"))
-    as_guest = F.transform(other, lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(True).alias("g")))
-    pairs = F.when(F.col("guest"), as_guest).otherwise(F.concat(with_homes, with_guests))
-    dealt = blocks.select("dim", "cell", "guest", "block", "rep", "copies", "home", "unit", F.explode(pairs).alias("p"))
-    dealt = dealt.select("dim", "cell", "guest", "block", "rep", "copies", "home", "unit", "p.i", "p.j", "p.g")
+    schema = "dim int, cell int, block int, rep binary, copies binary, unit binary, least binary"
+    blocks = materialize(blocked.groupBy("dim", "cell", "block").applyInArrow(pack, schema), "blocks")
+    discard(whole)
+    # what the driver sees of a block: its size, and its least distance from each cell
+    known = blocks.select("dim", "cell", "block", (F.length("rep") / 8).cast("long").alias("n"), F.length("unit").alias("bytes"), "least")
+    known = sorted(known.collect(), key=lambda r: (r["dim"], r["cell"], r["block"]))
+    tile = tiles_of(np.array([r["n"] for r in known], np.int64), np.array([r["dim"] for r in known]))
+    members: dict[int, list] = {}
+    for r, t in zip(known, tile.tolist()):
+        members.setdefault(t, []).append(r)
+    least = {t: np.stack([np.frombuffer(r["least"]) for r in own]) for t, own in members.items()}
+    cell_of = {t: np.array([r["cell"] for r in own]) for t, own in members.items()}
+
+    def near(i: int, j: int) -> bool:
+        if members[i][0]["dim"] != dim:
+            return True
+        a, b = cell_of[i], cell_of[j]
+        return bool((least[i][:, b] + least[j][:, a].T <= cells.most).any())
+
+    pairs = [(i, j) for i in members for j in members if i <= j and members[i][0]["dim"] == members[j][0]["dim"] and near(i, j)]
 
     def compare(data: pa.Table) -> pa.Table:
-        rows = sorted(data.to_pylist(), key=lambda r: (r["guest"], r["block"]))
-        a, b = rows[0], rows[-1]
-        x, y = (unpack_block(r["unit"], len(r["rep"]) // 8, r["dim"]) for r in (a, b))
-        ids, other_ids = np.frombuffer(a["rep"], np.int64), np.frombuffer(b["rep"], np.int64)
-        weights, other_weights = np.frombuffer(a["copies"], np.int64), np.frombuffer(b["copies"], np.int64)
+        both: dict[int, list[dict]] = {}
+        for r in data.to_pylist():
+            r["x"] = unpack_block(r.pop("unit"), len(r["rep"]) // 8, r["dim"])
+            r |= {c: np.frombuffer(r[c], np.int64) for c in ("rep", "copies")} | {"least": np.frombuffer(r["least"])}
+            both.setdefault(r["tile"], []).append(r)
+        i, j = min(both), max(both)
         out: list[tuple] = []
-        if len(rows) == 2 or not a["g"]:
-            linked = np.empty((len(x), len(y)), bool)
-            for i in range(0, len(x), 256):
-                np.greater_equal(x[i : i + 256] @ y.T, threshold, out=linked[i : i + 256])
-            if len(rows) == 1:
-                np.fill_diagonal(linked, False)
-            elif a["g"]:
-                homes = np.frombuffer(b["home"], np.int64)
-                mutual = shared.value.assign(x)[1][:, homes] & (homes < a["cell"])
-                linked &= ~mutual
-            for own, n in ((ids, linked @ other_weights), (other_ids, weights @ linked)):
-                at = np.flatnonzero(n)
-                out += zip(own[at].tolist(), [None] * len(at), n[at].tolist())
-                if len(rows) == 1:
-                    break
-            out += [(u, v, None) for u, v in forest(linked, ids, other_ids)]
+        for at, a in enumerate(both[i]):
+            for b in both[j][at:] if i == j else both[j]:
+                out += links_between(a, b)
         names, kinds = ("a", "b", "n"), (pa.int64(),) * 3
         columns = list(zip(*out)) if out else [()] * 3
         return pa.table({c: pa.array(v, t) for c, v, t in zip(names, columns, kinds)})
 
-    # block pairs meet over their numbers; each group holds two blocks at most
-    found = materialize(dealt.groupBy("dim", "cell", "i", "j", "g").applyInArrow(compare, "a long, b long, n long"), "found")
+    def links_between(a: dict, b: dict) -> list[tuple]:
+        """(vector, null, links) and (vector, smallest vector, null) of two blocks, which may be the same."""
+        own, other = slice(None), slice(None)
+        if a["cell"] != b["cell"]:
+            most = shared.value.most
+            if a["least"][b["cell"]] + b["least"][a["cell"]] > most:
+                return []
+            own = np.flatnonzero(shared.value.distances(a["x"], a["cell"], [b["cell"]])[:, 0] + b["least"][a["cell"]] <= most)
+            other = np.flatnonzero(shared.value.distances(b["x"], b["cell"], [a["cell"]])[:, 0] + a["least"][b["cell"]] <= most)
+        x, y = a["x"][own], b["x"][other]
+        ids, other_ids, weights, other_weights = a["rep"][own], b["rep"][other], a["copies"][own], b["copies"][other]
+        linked = np.empty((len(x), len(y)), bool)
+        for first in range(0, len(x), 256):
+            np.greater_equal(x[first : first + 256] @ y.T, threshold, out=linked[first : first + 256])
+        if a is b:
+            np.fill_diagonal(linked, False)
+        out = []
+        for who, n in ((ids, linked @ other_weights), (other_ids, weights @ linked)):
+            at = np.flatnonzero(n)
+            out += zip(who[at].tolist(), [None] * len(at), n[at].tolist())
+            if a is b:
+                break
+        return out + [(u, v, None) for u, v in forest(linked, ids, other_ids)]
+
+    def met(wave: list[tuple[int, int]]) -> DataFrame:
+        deal = [(r["dim"], r["cell"], r["block"], t, i, j) for i, j in wave for t in sorted({i, j}) for r in members[t]]
+        deal = local_frame(spark, deal, "dim int, cell int, block int, tile long, i long, j long")
+        return blocks.join(F.broadcast(deal), ["dim", "cell", "block"]).groupBy("i", "j").applyInArrow(compare, "a long, b long, n long")
+
+    # tile pairs meet over their numbers; a group holds two tiles at most
+    bytes_of_tile = sum(r["bytes"] for r in known) / max(len(members), 1)
+    found = materialize_all(map(met, [*waves(pairs, len(members), bytes_of_tile)] or [[]]), "found")
+    discard(blocks)
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     roots = components(found.where("b IS NOT NULL")).select(F.col("node").alias("rep"), "root")
     # a component's id is the smallest of its classes; copies share their class's links and component
@@ -219,5 +257,5 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
     per_class = labelled.join(smallest_id, "root").select("key", links.cast("long").alias("n_links"), "component_id")
     linked = valid.select("id", "key").join(per_class, "key").select(F.col("id").alias("vec_id"), "n_links", "component_id")
-    alone = rows.where("unit IS NULL").select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    alone = rows.where("key IS NULL").select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
