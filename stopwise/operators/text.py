@@ -11,7 +11,7 @@ from stopwise import fixed
 from stopwise.functions import stats
 from stopwise.operators.ingest import evaluate_once
 from stopwise.operators.ranking import range_ids, top_by
-from stopwise.session import materialize
+from stopwise.session import materialize, materialize_all
 
 
 def tokens(text: str | Column) -> Column:
@@ -26,13 +26,33 @@ def grams(toks: Column) -> Column:
     return F.concat(toks, pairs)
 
 
+#: So many keys that repeat are sent to the tasks at most.
+BROADCAST_KEYS = 1_000_000
+
+
+def texts_by_key(rows: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """One row per key with the list ``_texts``; only texts whose key repeats are shuffled. Null keys are one key."""
+    again = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
+    again = materialize(again, "again")
+    some = F.broadcast(again) if again.count() <= BROADCAST_KEYS else again
+    same = F.lit(True)
+    for key in keys:
+        same = same & rows[key].eqNullSafe(some[key])
+    alone = rows.join(some, same, "left_anti").select(*keys, F.array_compact(F.array(text)).alias("_texts"))
+    return alone.union(rows.join(some, same, "left_semi").groupBy(*keys).agg(F.collect_list(text).alias("_texts")))
+
+
 def row_counts(rows: DataFrame, keys: Sequence[str], text: str, **carried: Column) -> DataFrame:
     """One row per key with ``items array<struct<term, cnt>>`` of its whole texts, and the aggregates ``carried``.
 
-    Texts meet by key, so a key that repeats is counted as one; only texts are shuffled, never terms. A row's
-    terms are sorted inside the row and counted by the lengths of equal runs. Keys without terms have no row.
+    Texts meet by key, so a key that repeats is counted as one; only texts are shuffled, never terms, and without
+    aggregates only those whose key repeats. A row's terms are sorted inside the row and counted by the lengths of
+    equal runs. Keys without terms have no row.
     """
-    grouped = rows.groupBy(*keys).agg(F.collect_list(text).alias("_texts"), *[c.alias(n) for n, c in carried.items()])
+    if carried:
+        grouped = rows.groupBy(*keys).agg(F.collect_list(text).alias("_texts"), *[c.alias(n) for n, c in carried.items()])
+    else:
+        grouped = texts_by_key(rows, keys, text)
     terms = F.sort_array(F.flatten(F.transform(F.transform("_texts", tokens), grams)))
     n = F.size("_terms")
     sorted_terms = evaluate_once(grouped, _terms=terms).where(n > 0)
@@ -101,10 +121,36 @@ def term_stats(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return counts.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("cnt").alias("tf"))
 
 
+def global_ids(counts: DataFrame, n_rows: DataFrame) -> DataFrame:
+    """``term, term_id`` of every term that any fold could keep."""
+    return vocabulary(term_stats(counts), n_rows, max_features=None).select("term", "term_id")
+
+
 def global_encode(counts: DataFrame, n_rows: DataFrame) -> DataFrame:
     """Counts with global term ids; the vocabulary is every term that any fold could keep."""
-    vocab = vocabulary(term_stats(counts), n_rows, max_features=None).select("term", "term_id")
-    return counts.join(vocab, "term")
+    return counts.join(global_ids(counts, n_rows), "term")
+
+
+#: Rows that are encoded in one wave, at least, and waves at most.
+WAVE_ROWS, WAVES = 20_000, 8
+
+
+def global_totals(rows: DataFrame, n_rows: DataFrame, text: str = "text") -> DataFrame:
+    """Per row the terms that ``global_encode`` keeps, their counts and ids, summed up.
+
+    Where the vocabulary is too large to be sent to the tasks, counts are shuffled by term. Each wave does so for a share of the
+    rows, dealt by a hash of their id, and its shuffle ends with it; all rows are encoded, each in one wave.
+    """
+    n = n_rows.select("n").first()[0]
+    vocab = materialize(global_ids(term_counts(rows, ["row_id"], text), n_rows), "vocabulary")
+    waves = max(1, min(WAVES, -(-n // WAVE_ROWS)))
+
+    def totals(wave: int) -> DataFrame:
+        own = rows.where(F.pmod(F.xxhash64("row_id"), F.lit(waves)) == wave)
+        encoded = term_counts(own, ["row_id"], text).join(vocab, "term")
+        return encoded.groupBy("row_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("cnt").alias("total"), F.sum("term_id").alias("id_sum"))
+
+    return materialize_all(map(totals, range(waves)), "encoded")
 
 
 def train_folds(cells: DataFrame) -> DataFrame:
